@@ -64,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP3_SQL = r"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
@@ -73,10 +73,10 @@ sets AS (
   FROM words),
 classes AS (
   SELECT list_sort(s) AS s, min(doc_id) AS rep, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1),
-rows AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
+shingles AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
 pairs AS (
   SELECT a.rep AS x, b.rep AS y, count(*) AS o, any_value(a.n) AS xn, any_value(b.n) AS yn
-  FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   GROUP BY 1, 2),
 links AS (SELECT x, y FROM pairs WHERE 100 * o >= 80 * (xn + yn - o) UNION ALL SELECT y, x FROM pairs WHERE 100 * o >= 80 * (xn + yn - o)),
 reach(node, root) AS (
