@@ -12,7 +12,8 @@
    compared. So a group of k near copies costs k comparisons, not k * k, and no link between different groups is lost.
 5. Links and equal sets give components (alternating large-star and small-star steps on written tables).
 
-Comparisons read the sets again from the texts; sets are 64-bit shingle hashes, classes 128-bit hashes of whole sets.
+Before two sets are compared, their parity bitmaps (a bit for each shingle) have to leave room for a link. Comparisons read
+the sets again from the texts; sets are 64-bit shingle hashes, classes 128-bit hashes of whole sets.
 
 Defined cases: null or blank text has the empty set (0 shingles) and is its own component; fewer words than `width` give one
 shingle, the whole sequence; null ids count as larger than all others, a component of null ids only has a null id;
@@ -108,14 +109,52 @@ def _in_order(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     return s[np.argsort(key, kind="stable")], cold
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of about one bit for each shingle, the parity of how many fall there: the bits in which two bitmaps differ
+    are at most the shingles in which the sets differ."""
+    size = 64
+    while size < len(s):
+        size *= 2
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def difference_at_least(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference's size from two bitmaps; the larger is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(percent: int):
+    """(x, y, bits, n of each) -> the pairs that the bitmaps don't rule out: overlap = (n + m - difference) / 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            differ = np.array([difference_at_least(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)) for a, b in zip(batch.column(2), batch.column(3), strict=True)], np.int64)
+            keep = (n + m - differ) * (100 + percent) >= 2 * percent * (n + m)
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["x", "y"])
+
+    return run
+
+
+def possible(pairs: DataFrame, bitmaps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) whose parity bitmaps (rep, n, bits) leave room for a link."""
+    one = pairs.join(bitmaps.select(F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits")), "x")
+    two = one.join(bitmaps.select(F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits")), "y")
+    return two.select("x", "y", "x_bits", "y_bits", "x_n", "y_n").mapInArrow(_possible(percent), "x long, y long")
+
+
 def _indexed(width: int, percent: int, shared):
-    """(row, doc_id, text) -> row, doc_id, n, class, cold, prefix (null after the first of a class in a task)."""
+    """(row, doc_id, text) -> row, doc_id, n, class, cold, prefix, bits (the last three null after the first of a class in a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, classes, prefixes, colds = [], [], [], []
+            sizes, classes, prefixes, colds, bits = [], [], [], [], []
             for text in texts_of(batch.column(2)):
                 s = set_of(text, width)
                 n = len(s)
@@ -127,12 +166,14 @@ def _indexed(width: int, percent: int, shared):
                     ordered, cold = _in_order(s, known, rank)
                     prefixes.append(ordered[: n + (-percent * n) // 100 + 1].view(np.int64))
                     colds.append(cold)
+                    bits.append(parity(s))
                 else:
                     prefixes.append(None)
                     colds.append(None)
+                    bits.append(None)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(colds, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n", "class", "cold", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(colds, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["row", "doc_id", "n", "class", "cold", "prefix", "bits"],
             )
 
     return run
@@ -205,10 +246,11 @@ def room(a, i, b, j, percent: int = PERCENT):
     return ((1 + F.least(a - i - 1, b - j - 1)) * (100 + percent) >= needed(a, b, percent)) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def links(entries: DataFrame, classes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Pairs (x, y) of classes that link; of classes that a leader links, only those with the leader.
 
-    entries: rep, n, pos, shingle, hot (a ranked shingle); classes: class, rep, n; texts: one column.
+    entries: rep, n, pos, shingle, hot (a ranked shingle); classes: class, rep, n; bitmaps: rep, n, bits;
+    texts: one column.
     """
     first = F.min(F.struct("pos", "rep", "n"))
     # A shingle that no task saw often has a short list: one shuffle and a window. The others' lists may hold many of all
@@ -221,7 +263,7 @@ def links(entries: DataFrame, classes: DataFrame, texts: DataFrame, width: int =
     lists = written(cold.unionByName(some.join(leads, "shingle").select("shingle", "rep", "n", "pos", "lead")), "lists")
     mine = lists.filter(F.col("rep") != F.col("lead.rep"))
     star = mine.filter(room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent)).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")).distinct()
-    known = compare(written(star, "star"), classes, texts, width)
+    known = compare(written(possible(star, bitmaps, percent), "star"), classes, texts, width)
 
     held = lists.select("shingle", "rep", "n", "pos", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
     o = known.select(F.col("x").alias("rep"), F.col("y").alias("lead"), "overlap")
@@ -246,7 +288,7 @@ def links(entries: DataFrame, classes: DataFrame, texts: DataFrame, width: int =
     )
     pair = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     done = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = compare(written(pair.join(done, ["x", "y"], "left_anti"), "rest"), classes, texts, width)
+    more = compare(written(possible(pair.join(done, ["x", "y"], "left_anti"), bitmaps, percent), "rest"), classes, texts, width)
     sizes = classes.select("rep", "n")
     both = known.unionByName(more).join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("x_n")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("y_n")), "y")
     return both.filter(F.col("overlap") * 100 >= (F.col("x_n") + F.col("y_n") - F.col("overlap")) * percent).select("x", "y")
@@ -283,13 +325,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), doc_id_column(docs, id_col).cast("long").alias("doc_id"), doc_id_column(docs, text_col).alias("text"))
     texts = rows.select("text")
     order = ranked(texts, width)
-    sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>"), "index")
+    sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary"), "index")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = sets.filter("n > 0").groupBy("class").agg(F.min(F.when(F.col("prefix").isNotNull(), F.col("row"))).alias("rep"), F.max("n").alias("n"), first.alias("first"))
     classes = written(classes.select("class", "rep", "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "classes")
     entries = sets.filter("prefix is not null").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "cold", F.posexplode("prefix").alias("pos", "shingle"))
     entries = entries.select("rep", "n", "pos", "shingle", (F.col("pos") >= F.col("cold")).alias("hot"))
-    found = links(entries, classes, texts, width, percent)
+    found = links(entries, classes, sets.filter("prefix is not null").select(F.col("row").alias("rep"), "n", "bits"), texts, width, percent)
     roots = components(found)
     labelled = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     least = labelled.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_row")).alias("least"))
