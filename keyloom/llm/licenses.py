@@ -18,21 +18,26 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id_column
+from keyloom.llm.common import doc_id_column, written
 
-# Equivalent spellings, pattern and replacement, applied in this order to lower-case text.
+# Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [
     ("licence", "license"),
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("copyright owner", "copyright holder"),
     ("whilst", "while"),
-    ("https?://", ""),
+    ("http://", ""),
+    ("https://", ""),
     ("&", " and "),
 ]
 # What a copyright line begins with.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
+OTHER_IN_LINE = r"[^\p{L}\p{N}\n]+"
+
+#: Known licences that are broadcast, at most.
+BROADCAST = 100_000
 
 # Known notices and short licences.
 KNOWN = [
@@ -69,23 +74,19 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The text with each line in canonical form but for spaces at its ends."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for pattern, other in SPELLINGS:
-        out = F.regexp_replace(out, pattern, other)
-    return F.trim(F.regexp_replace(out, OTHER, " "))
-
-
-def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+        out = F.replace(out, F.lit(pattern), F.lit(other))
+    return F.regexp_replace(out, OTHER_IN_LINE, " ")
 
 
 def digest_of(text: str) -> str:
     """The same for one text on the driver; for ASCII texts such as KNOWN."""
     out = re.sub(COPYRIGHT_LINE, " ", text.lower())
     for pattern, other in SPELLINGS:
-        out = re.sub(pattern, other, out)
+        out = out.replace(pattern, other)
     return hashlib.sha256(re.sub(r"[^a-z0-9]+", " ", out).strip().encode()).hexdigest()
 
 
@@ -96,25 +97,30 @@ def known_digests() -> list[tuple[str, str]]:
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_digest, license (of the whole text), notices (of lines, sorted), n_notices.
 
-    known: (digest, license); joined by hash, so it may be of any size.
+    known: (digest, license); joined by hash, broadcast if it has `BROADCAST` rows at most.
     """
     if known is None:
         known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license string")
     known = known.groupBy("digest").agg(F.min("license").alias("license"))
-    rows = docs.select(doc_id_column(docs, id_col).alias("doc_id"), doc_id_column(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    # The digest is computed below the join, line by line; only lines that match go on to the shuffle by document.
-    lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "").select(F.col("row").alias("of"), digest(F.col("line")).alias("digest"))
-    notices = lines.join(known, "digest").groupBy("of").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    whole = rows.select("doc_id", "row", digest(F.col("text")).alias("text_digest"))
-    out = whole.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(notices, F.col("row") == F.col("of"), "left")
-    return out.select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    known = known.select(F.unhex("digest").alias("digest"), "license")
+    if known.limit(BROADCAST + 1).count() <= BROADCAST:
+        known = F.broadcast(known)
+    rows = docs.select(doc_id_column(docs, id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical_lines(doc_id_column(docs, text_col)).alias("form"))
+    parts = rows.select("doc_id", "row", F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    sha = lambda x: F.unhex(F.sha2(x.cast("binary"), 256))
+    # The texts are read and normalised once; the digests are what both joins read.
+    found = written(parts.select("doc_id", "row", F.when(F.size("lines") > 0, sha(F.array_join("lines", " "))).alias("whole"), F.transform("lines", sha).alias("units")), "digests")
+    units = found.select(F.col("row").alias("of"), F.explode("units").alias("digest"))
+    notices = units.join(known, "digest").groupBy("of").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices"))
+    out = found.select("doc_id", "row", "whole").join(known.withColumnRenamed("digest", "whole"), "whole", "left").join(notices, F.col("row") == F.col("of"), "left")
+    return out.select("doc_id", F.lower(F.hex("whole")).alias("text_digest"), "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def oracle_sql() -> str:
     def form(x: str) -> str:
         out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g')"
         for pattern, other in SPELLINGS:
-            out = f"regexp_replace({out}, '{pattern}', '{other}', 'g')"
+            out = f"replace({out}, '{pattern}', '{other}')"
         return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
 
     values = ", ".join(f"('{d}', '{name}')" for d, name in known_digests())
