@@ -190,21 +190,20 @@ class Filter:
         return self.means[levels]
 
 
-def log_probabilities(tokens: np.ndarray, docs: np.ndarray, held: Filter, order: int, n: int, v: int, prior: float = PRIOR) -> np.ndarray:
-    """log10 p of each token but the begins. tokens: texts one after another, each from its begin to its end; docs: the text of each."""
-    counted = lambda h: (lambda u, back: held.counts(u)[back])(*np.unique(h, return_inverse=True))
-    single = counted(mix(tokens) & _48)
+def log_probabilities(tokens: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], docs: np.ndarray, held: Filter, order: int, n: int, v: int, prior: float = PRIOR) -> np.ndarray:
+    """log10 p of each token but the begins. tokens: texts one after another, each from its begin to its end; distinct: the
+    different tokens and the place of each token among them; docs: the text of each."""
+    single = held.counts(mix(distinct[0]) & _48)[distinct[1]]
     p = (single + 1.0) / (n + v + 1.0)
     last, context = tokens, single
     for k in range(2, order + 1):
         last = joined(last[:-1], tokens[k - 1 :])
         inside = docs[k - 1 :] == docs[: len(docs) - k + 1]
-        c = np.zeros(len(last))
-        c[inside] = counted(mix(last[inside]) & _48)
-        c = np.minimum(c, context[: len(last)])
-        before = context[: len(last)]
-        smooth = (c + prior * p[k - 1 :]) / (before + prior)
-        p[k - 1 :] = np.where(inside, smooth, p[k - 1 :])
+        values, place = np.unique(mix(last[inside]) & _48, return_inverse=True)
+        before, c = context[: len(last)], np.zeros(len(last))
+        c[inside] = held.counts(values)[place]
+        c = np.minimum(c, before)
+        p[k - 1 :] = np.where(inside, (c + prior * p[k - 1 :]) / (before + prior), p[k - 1 :])
         context = c
     return np.log10(p)
 
@@ -215,36 +214,34 @@ def _scored(shared, order: int, n: int, v: int):
     unseen = -math.log10(n + v + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, ends = shared.value
+        held, head, logs_of = shared.value  # head: sorted hashes of the frequent tokens and of the end
         for batch in batches:
             at = 0
             while at < len(batch):
-                texts, n_tokens, known, base, tails, size, first = [], [], [], [], [], 0, at
+                texts, size, first = [], 0, at
                 while at < len(batch) and size < SCORED:
-                    words = words_of(batch.column(3)[at].as_py())
-                    tail = Counter()
-                    here, total = 0, unseen * (len(words) + 1)
-                    for word, times in Counter(words).items():
-                        if (c := head.get(word)) is None:
-                            tail[word] = times
-                        else:
-                            here += times
-                            total += times * c
-                    texts.append(np.concatenate(([BEGIN], hashes_of(words), [END])))
-                    n_tokens.append(len(words) + 1)
-                    known.append(here + (ends > 0))
-                    base.append(total + math.log10(ends + 1.0))
-                    tails.append([{"token": k, "n": c} for k, c in tail.items()])
-                    size += len(words)
+                    texts.append(words_of(batch.column(3)[at].as_py()))
+                    size += len(texts[-1])
                     at += 1
-                tokens = np.concatenate(texts)
-                lengths = np.array([len(x) for x in texts])
+                tokens = np.concatenate([x for words in texts for x in ([BEGIN], hashes_of(words), [END])])
+                lengths = np.array([len(words) + 2 for words in texts])
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                logs = log_probabilities(tokens, np.repeat(np.arange(len(texts)), lengths), held, order, n, v)
+                distinct, place = np.unique(tokens, return_inverse=True)
+                near = np.minimum(np.searchsorted(head, distinct), len(head) - 1)
+                frequent = head[near] == distinct
+                known = frequent[place]
+                base = np.add.reduceat(np.where(frequent, logs_of[near], 0.0)[place], starts) + unseen * (lengths - 1)
+                n_known = np.add.reduceat(known.astype(np.int64), starts)
+                known[starts] = known[starts + lengths - 1] = True  # begin and end are no words
+                tails = []
+                for words, start, length in zip(texts, starts, lengths, strict=True):
+                    rare = Counter(words[k] for k in np.flatnonzero(~known[start + 1 : start + length - 1]))
+                    tails.append([{"token": k, "n": c} for k, c in rare.items()])
+                logs = log_probabilities(tokens, (distinct, place), np.repeat(np.arange(len(texts)), lengths), held, order, n, v)
                 logs[starts] = 0.0  # the begin is given
                 part = batch.slice(first, at - first)
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), part.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.add.reduceat(logs, starts)), pa.array(tails, kind)],
+                    [part.column(0), part.column(1), part.column(2), pa.array(lengths - 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(logs, starts)), pa.array(tails, kind)],
                     names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
                 )
 
@@ -284,8 +281,12 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             edge = r["level"] + 1
             break
     top = words.filter(level >= edge).toArrow()
-    head = dict(zip(top.column("token").to_pylist(), np.log10(top.column("c").to_numpy() + 1.0).tolist(), strict=True))
-    shared = context.broadcast((held, head, ends))
+    hashes = np.concatenate((hashes_of(top.column("token").to_pylist()), [END]))
+    logs = np.log10(np.concatenate((top.column("c").to_numpy(), [ends])) + 1.0)
+    if not ends:  # nothing is known without training texts
+        hashes[-1] = 0
+    by_hash = np.argsort(hashes)
+    shared = context.broadcast((held, hashes[by_hash], logs[by_hash]))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
