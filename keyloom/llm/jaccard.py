@@ -257,15 +257,16 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     # rows: counts are combined before the shuffle, and the join's large partitions can be split.
     by = Window.partitionBy("shingle")
     cold = entries.filter("not hot").select("shingle", "rep", "n", "pos").repartition(F.col("shingle"))
-    cold = cold.withColumn("k", F.count("*").over(by)).withColumn("lead", first.over(by)).filter("k > 1").select("shingle", "rep", "n", "pos", "lead")
+    cold = cold.withColumn("k", F.count("*").over(by)).withColumn("lead", first.over(by)).filter("k > 1").select("shingle", "rep", "n", "pos", "k", "lead")
     some = entries.filter("hot").select("shingle", "rep", "n", "pos")
-    leads = some.groupBy("shingle").agg(F.count("*").alias("k"), first.alias("lead")).filter("k > 1").select("shingle", "lead")
-    lists = written(cold.unionByName(some.join(leads, "shingle").select("shingle", "rep", "n", "pos", "lead")), "lists")
+    leads = some.groupBy("shingle").agg(F.count("*").alias("k"), first.alias("lead")).filter("k > 1")
+    lists = written(cold.unionByName(some.join(leads, "shingle").select("shingle", "rep", "n", "pos", "k", "lead")), "lists")
     mine = lists.filter(F.col("rep") != F.col("lead.rep"))
     star = mine.filter(room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent)).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")).distinct()
     known = compare(written(possible(star, bitmaps, percent), "star"), classes, texts, width)
 
-    held = lists.select("shingle", "rep", "n", "pos", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+    # A list of two has no pair but the one with its leader.
+    held = lists.filter("k > 2").select("shingle", "rep", "n", "pos", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
     o = known.select(F.col("x").alias("rep"), F.col("y").alias("lead"), "overlap")
     held = held.join(o, ["rep", "lead"], "left")
     linked = F.coalesce(F.col("overlap") * (100 + percent) >= needed(F.col("n"), F.col("lead_n"), percent), F.lit(False)) | (F.col("rep") == F.col("lead"))

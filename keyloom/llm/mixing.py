@@ -132,6 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fine = inside.filter("key is not null and size > 0").withColumn("sub", F.floor((F.col("key") * BINS - F.col("bin")) * BINS).cast("int"))
     second = _threshold(fine, rough.select("source", F.col("left").alias("need")), "sub").select(F.col("source").alias("of2"), F.col("edge").alias("edge2"))
     edges = rough.select(F.col("source").alias("of"), "edge").join(second, F.col("of").eqNullSafe(F.col("of2")), "left").select("of", "edge", "edge2")
+    edges = written(edges, "edges")  # a row for each source; its size decides how it is joined
     sub = F.floor((F.col("key") * BINS - F.col("bin")) * BINS)
     chosen = F.coalesce((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (sub < F.col("edge2"))), F.lit(False))
     rows = written(rows.join(edges, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", F.col("whole") + chosen.cast("long")).drop("of", "edge", "edge2"), "rates")
