@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +103,22 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
 def doc_id_column(docs: DataFrame, name: str) -> Column:
     """A column by its exact name; other columns of clashing names (in other letter cases) don't matter."""
     return F.col(f"`{next(c for c in docs.columns if c == name)}`")
+
+
+def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as differences, and counts, byte plane by byte plane."""
+    planes = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.compress(planes, 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(12, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel()
+
+
+def added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, each once, with the sums of their counts."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[first], np.add.reduceat(counts, first)

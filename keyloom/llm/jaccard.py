@@ -1,8 +1,8 @@
 """Exact Jaccard join of word-shingle sets, by set-relation skipping, and the components that its links form.
 
 1. Equal sets are one class; a class has one entry in the index.
-2. Each set is put in one global order, rare shingles first (their counts are only a help, any common order is right), and
-   enters the index lists of its first n - ceil(0.8 n) + 1 shingles with its position there: two linked sets share a list.
+2. Each set is put in one global order, rare shingles first (by counts in hash cells over all documents; they are only a
+   help, any common order is right), and enters the index lists of its first n - ceil(0.8 n) + 1 shingles with its position there: two linked sets share a list.
 3. Block skipping: in a list an entry is skipped for another when the positions leave no room for the overlap needed, or
    the sizes differ too much; what every entry of a block (one list's entries that link to its leader) rules out is skipped
    with the whole block.
@@ -30,15 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id_column, drop_written, hashes_of, shingle_hashes, texts_of, words_of, written
+from keyloom.llm.common import added, doc_id_column, drop_written, hashes_of, packed, shingle_hashes, texts_of, unpacked, words_of, written
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingle hashes that a task counts at a time, and how often one has to occur among them to be told to the others.
-COUNT_AT, OFTEN = 4_000_000, 3
-#: Shingles ranked by count, at most; the rarer ones beyond are ordered by hash.
-RANKED = 1_000_000
+#: Shingle hashes that a task counts at a time; cells that a bucket's task adds up, about.
+COUNT_AT, BUCKET = 4_000_000, 8_000_000
+#: A cell is ranked if this many sets fall there; cells ranked, at most: rarer ones beyond stay unranked.
+OFTEN, RANKED = 4, 2_000_000
 #: 64-bit words of the bitmap of classes whose sets are read again.
 BITMAP = 1 << 21
 
@@ -51,37 +51,54 @@ def class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _counted(width: int):
-    """Texts -> (shingle, n) of shingles that are frequent among a task's different sets."""
+def _counted(width: int, bits: int, buckets: int):
+    """Texts -> (bucket, packed counts of cells): the cell of a shingle is the first bits of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
+        step = -(-(1 << bits) // buckets)
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                values, n = np.unique(np.concatenate(held), return_counts=True)
-                often = n >= OFTEN
-                yield pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
+                cells, n = np.unique(np.concatenate(held), return_counts=True)
+                edges = np.searchsorted(cells, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(step))
+                some = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+                blobs = [packed(cells[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]) for k in some]
+                yield pa.record_batch([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 s = set_of(text, width)
                 if len(s) and (key := class_of(s)) not in seen:
                     seen.add(key)
-                    held.append(s)
+                    held.append(s >> np.uint64(64 - bits))
                     size += len(s)
-            if size >= COUNT_AT:
-                yield from out()
-                held, size, seen = [], 0, set()
+                if size >= COUNT_AT:
+                    yield from out()
+                    held, size, seen = [], 0, set()
         yield from out()
 
     return run
 
 
-def ranked(texts: DataFrame, width: int = WIDTH, at_most: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and the rank of each by (count, shingle)."""
-    counts = texts.mapInArrow(_counted(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = written(counts, "shingle-counts")
+def _frequent(key, table):
+    """A bucket's packed counts -> (cell, n) of the frequent cells."""
+    parts = [unpacked(x.as_py()) for x in table.column("packed")]
+    cells, n = added(np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts]))
+    often = n >= OFTEN
+    return pa.table({"cell": pa.array(cells[often].astype(np.int64)), "n": pa.array(n[often])})
+
+
+def ranked(texts: DataFrame, width: int = WIDTH, at_most: int = RANKED) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bits of a cell; the frequent cells, sorted; the rank of each by (count, cell).
+
+    There are two to four cells for each word of all texts, so a cell's count is that of its most frequent shingle or little more.
+    """
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    bits = max(16, min(48, (size // 6).bit_length() + 1))
+    buckets = max(4, size // 6 // BUCKET)
+    counts = texts.mapInArrow(_counted(width, bits, buckets), "bucket long, packed binary").groupBy("bucket").applyInArrow(_frequent, "cell long, n long")
+    counts = written(counts, "cells")
     level = F.floor(F.log2("n") * 4).cast("int")
     left, edge = at_most, 0
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -91,19 +108,20 @@ def ranked(texts: DataFrame, width: int = WIDTH, at_most: int = RANKED) -> tuple
             break
     rows = counts.filter(level >= edge).toArrow()
     drop_written(counts)
-    shingles, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    cells, n = rows.column("cell").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
     rank = np.empty(len(n), np.uint64)
-    rank[np.lexsort((shingles, n))] = np.arange(len(n), dtype=np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], rank[order]
+    rank[np.lexsort((cells, n))] = np.arange(len(n), dtype=np.uint64)
+    order = np.argsort(cells)
+    return bits, cells[order], rank[order]
 
 
-def _in_order(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+def _in_order(s: np.ndarray, bits: int, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     """The set in the global order, and how many of it aren't ranked; those stand first."""
     key, cold = s >> np.uint64(1), len(s)
     if len(known):
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        hot = known[at] == s
+        cell = s >> np.uint64(64 - bits)
+        at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+        hot = known[at] == cell
         key = np.where(hot, np.uint64(1 << 63) | rank[at], key)
         cold -= int(hot.sum())
     return s[np.argsort(key, kind="stable")], cold
@@ -151,7 +169,7 @@ def _indexed(width: int, percent: int, shared):
     """(row, doc_id, text) -> row, doc_id, n, class, cold, prefix, bits (the last three null after the first of a class in a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        order = shared.value
         seen: set[bytes] = set()
         for batch in batches:
             sizes, classes, prefixes, colds, bits = [], [], [], [], []
@@ -163,7 +181,7 @@ def _indexed(width: int, percent: int, shared):
                 classes.append(key)
                 if n and key not in seen:
                     seen.add(key)
-                    ordered, cold = _in_order(s, known, rank)
+                    ordered, cold = _in_order(s, *order)
                     prefixes.append(ordered[: n + (-percent * n) // 100 + 1].view(np.int64))
                     colds.append(cold)
                     bits.append(parity(s))
@@ -253,7 +271,7 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     texts: one column.
     """
     first = F.min(F.struct("pos", "rep", "n"))
-    # A shingle that no task saw often has a short list: one shuffle and a window. The others' lists may hold many of all
+    # An unranked shingle is in few sets, so its list is short: one shuffle and a window. The others' lists may hold many of all
     # rows: counts are combined before the shuffle, and the join's large partitions can be split.
     by = Window.partitionBy("shingle")
     cold = entries.filter("not hot").select("shingle", "rep", "n", "pos").repartition(F.col("shingle"))

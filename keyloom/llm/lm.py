@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id_column, drop_written, hashes_of, joined, mix, remainder_is, texts_of, words_of, written
+from keyloom.llm.common import added, doc_id_column, hashes_of, joined, mix, packed, remainder_is, texts_of, unpacked, words_of, written
 
 ORDER = 2
 BASE = 1.5
@@ -77,24 +76,6 @@ def sequence(text: str | None) -> np.ndarray:
     return np.concatenate(([BEGIN], hashes_of(words_of(text)), [END]))
 
 
-def _packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as differences, and counts, byte plane by byte plane."""
-    planes = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.compress(planes, 1)
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(12, -1)
-    return np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel()
-
-
-def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    return hashes[first], np.add.reduceat(counts, first)
-
-
 def _gathered(order: int, buckets: int):
     """Texts -> (bucket, packed n-gram counts)."""
 
@@ -108,7 +89,7 @@ def _gathered(order: int, buckets: int):
                 at = np.argsort(of, kind="stable")
                 edges = np.searchsorted(of[at], np.arange(buckets + 1))
                 some = [k for k in range(buckets) if edges[k] < edges[k + 1]]
-                blobs = [_packed(values[at[edges[k] : edges[k + 1]]], n[at[edges[k] : edges[k + 1]]]) for k in some]
+                blobs = [packed(values[at[edges[k] : edges[k + 1]]], n[at[edges[k] : edges[k + 1]]]) for k in some]
                 yield pa.record_batch([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
         for batch in batches:
@@ -139,8 +120,8 @@ def _filled(bytes_: int):
     """A bucket's packed counts -> its filter: bucket, size, least, bits, sums, ns (count and number of n-grams by level)."""
 
     def run(key, table):
-        parts = [_unpacked(x.as_py()) for x in table.column("packed")]
-        hashes, counts = _added(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
+        parts = [unpacked(x.as_py()) for x in table.column("packed")]
+        hashes, counts = added(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
         levels = level_of(counts)
         least = 1
         while BITS * int(levels[counts >= least].sum()) > 8 * bytes_:
@@ -312,4 +293,4 @@ def held_out_column(docs: DataFrame, id_col: str = "doc_id") -> Column:
     return remainder_is(doc_id_column(docs, id_col), 7, 2)
 
 
-__all__ = ["Filter", "drop_written", "held_out_column", "lm_scores", "train"]
+__all__ = ["Filter", "held_out_column", "lm_scores", "train"]
