@@ -1,11 +1,325 @@
-"""All registered queries and their SQL."""
+"""All registered queries over keyed objects, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.functions import models
+from keyloom.functions.codec import digest
+from keyloom.operators import checks, graph, history, merge, tree
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+
+# ---- inputs, in Spark and in SQL ----------------------------------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as objects: object_id, kind, digest of the content."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("object_id"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("kind"), "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return o.select("object_id", "kind", digest("object", F.col("object_id"), F.col("kind"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("cents")).alias("digest"))
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch: replaces ids that end in 3, deletes those that end in 7, inserts new ones from every 50th."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("object_id"))
+    put = o.filter("object_id % 10 = 3").unionByName(o.filter("object_id % 50 = 1").select((F.col("object_id") + 100_000_000).alias("object_id")))
+    put = put.select("object_id", F.lit("put").alias("op"), F.lit(9).alias("kind"), digest("object", F.col("object_id"), F.lit("new")).alias("digest"))
+    gone = o.filter("object_id % 10 = 7").select("object_id", F.lit("delete").alias("op"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("string").alias("digest"))
+    return put.unionByName(gone)
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log: one commit a day, each user an object, its last event of the day the change; every 7th a delete."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    first = e.agg(F.min("day").alias("first"))
+    last = e.crossJoin(F.broadcast(first)).select(F.datediff("day", "first").cast("long").alias("seq"), (F.col("user_id") + 1).alias("object_id"), "event_id").groupBy("seq", "object_id").agg(F.max("event_id").alias("event_id"))
+    return last.select("seq", "object_id", F.when(F.col("event_id") % 7 == 0, "delete").otherwise("put").alias("op"), digest("event", F.col("event_id")).alias("digest"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as framed records, one file for each part key's remainder by 16; some damaged on purpose."""
+    x = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_partkey").alias("p"))
+    r = x.select((F.col("l_orderkey") % 16).alias("file"), (F.floor(F.col("l_orderkey") / 16) * 100).alias("offset"), F.when(F.col("l_orderkey") % 997 == 5, 0).otherwise(F.col("l_orderkey") + 1).cast("long").alias("object_id"), (F.col("p") % 5 + 1).alias("kind"), F.when(F.col("l_orderkey") % 1013 == 7, 130).otherwise(100).cast("long").alias("stored_len"), F.col("l_orderkey").alias("key"))
+    return r.select("file", "offset", "object_id", "kind", "stored_len", F.lit(100).cast("long").alias("logical_len"), digest("record", F.when(F.col("key") % 1511 == 9, F.lit(-1)).otherwise(F.col("key"))).alias("digest"), digest("record", F.col("key")).alias("expected"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot candidates from events: a chain by event id, with forks, gaps, progress and unverified ones."""
+    e = table(spark, sf_dir, "events").filter("event_id < 400")
+    i = F.col("event_id")
+    return e.select(i.alias("id"), F.when(i == 0, 0).when(i % 97 == 13, i + 1).otherwise(i).cast("long").alias("sequence"), F.when(i > 0, F.when(i % 89 == 17, i + 100_000).otherwise(i - 1)).cast("long").alias("parent"), (i * 4096).alias("footer_offset"), F.lit(True).alias("exact_end"), F.when(i % 101 == 60, "progress").otherwise("complete").alias("checkpoint"), F.when(i % 103 == 70, "invalid").otherwise("verified").alias("status"))
+
+
+SQL = {
+    "objects": "SELECT o_orderkey + 1 AS object_id, CAST(o_orderkey % 5 + 1 AS INT) AS kind, sha256('keyloom:object:' || concat_ws('|', o_orderkey + 1, o_orderkey % 5 + 1, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT))) AS digest FROM orders",
+    "ops": "SELECT object_id, 'put' AS op, 9 AS kind, sha256('keyloom:object:' || concat_ws('|', object_id, 'new')) AS digest FROM (SELECT o_orderkey + 1 AS object_id FROM orders WHERE (o_orderkey + 1) % 10 = 3 UNION ALL SELECT o_orderkey + 100000001 FROM orders WHERE (o_orderkey + 1) % 50 = 1) p UNION ALL SELECT o_orderkey + 1, 'delete', NULL, NULL FROM orders WHERE (o_orderkey + 1) % 10 = 7",
+    "log": "SELECT seq, object_id, CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'put' END AS op, sha256('keyloom:event:' || event_id) AS digest FROM (SELECT CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS seq, user_id + 1 AS object_id, max(event_id) AS event_id FROM events GROUP BY 1, 2) x",
+    "records": "SELECT l_orderkey % 16 AS file, l_orderkey // 16 * 100 AS \"offset\", CASE WHEN l_orderkey % 997 = 5 THEN 0 ELSE l_orderkey + 1 END AS object_id, p % 5 + 1 AS kind, CASE WHEN l_orderkey % 1013 = 7 THEN 130 ELSE 100 END AS stored_len, 100 AS logical_len, sha256('keyloom:record:' || CASE WHEN l_orderkey % 1511 = 9 THEN -1 ELSE l_orderkey END) AS digest, sha256('keyloom:record:' || l_orderkey) AS expected FROM (SELECT l_orderkey, max(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) x",
+    "candidates": "SELECT event_id AS id, CASE WHEN event_id = 0 THEN 0 WHEN event_id % 97 = 13 THEN event_id + 1 ELSE event_id END AS sequence, CASE WHEN event_id > 0 THEN CASE WHEN event_id % 89 = 17 THEN event_id + 100000 ELSE event_id - 1 END END AS parent, event_id * 4096 AS footer_offset, CASE WHEN event_id % 101 = 60 THEN 'progress' ELSE 'complete' END AS checkpoint, CASE WHEN event_id % 103 = 70 THEN 'invalid' ELSE 'verified' END AS status FROM events WHERE event_id < 400",
+}
+
+
+def page_sql(rank: str, total: str, c: int, least: int) -> str:
+    return (
+        f"CASE WHEN {total} <= {c} OR {total} % {c} = 0 OR {total} % {c} >= {least} THEN ({rank} - 1) // {c} "
+        f"WHEN {rank} <= ({total} // {c} - 1) * {c} THEN ({rank} - 1) // {c} WHEN {rank} <= ({total} // {c} - 1) * {c} + {c} - ({least} - {total} % {c}) THEN {total} // {c} - 1 ELSE {total} // {c} END"
+    )
+
+
+def pages_sql(source: str) -> str:
+    """CTE text: leaves l0 and up to three levels above, as `pages`."""
+    body = lambda lv: f"sha256('keyloom:page:' || concat_ws('|', {lv}, string_agg(low || ':' || digest, ',' ORDER BY low))) AS page_digest"
+    leaf = f"l0 AS (SELECT 0 AS level, page_no, min(low) AS min_id, max(low) AS max_id, count(*) AS entry_count, {body(0)} FROM (SELECT {page_sql('rn', 'n', tree.LEAF, tree.LEAF_LEAST)} AS page_no, low, digest FROM (SELECT object_id AS low, digest, row_number() OVER (ORDER BY object_id) AS rn, count(*) OVER () AS n FROM ({source}) s) r) p GROUP BY page_no)"
+    up = [f"l{k} AS (SELECT {k} AS level, up AS page_no, min(low) AS min_id, max(high) AS max_id, count(*) AS entry_count, {body(k)} FROM (SELECT {page_sql('(page_no + 1)', 'n', tree.FANOUT, tree.FANOUT_LEAST)} AS up, min_id AS low, max_id AS high, page_digest AS digest FROM (SELECT *, count(*) OVER () AS n FROM l{k - 1}) a WHERE n > 1) p GROUP BY up)" for k in (1, 2, 3)]
+    return ", ".join([leaf, *up, "pages AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"])
+
+
+MERGED = f"SELECT coalesce(s.object_id, o.object_id) AS object_id, CASE WHEN o.op = 'put' THEN o.kind ELSE s.kind END AS kind, CASE WHEN o.op = 'put' THEN o.digest ELSE s.digest END AS digest FROM ({SQL['objects']}) s FULL JOIN ({SQL['ops']}) o ON s.object_id = o.object_id WHERE o.op IS NULL OR o.op <> 'delete'"
+EDGES = "SELECT 1000000 + n_regionkey AS src, 2000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 2000000 + c_nationkey, 10000000 + c_custkey FROM customer UNION ALL SELECT 10000000 + o_custkey, 100000000 + o_orderkey FROM orders UNION ALL SELECT 2000000 + n_nationkey, 1000000 + n_regionkey FROM nation"
+NODES = "SELECT 1000000 + r_regionkey AS id FROM region UNION ALL SELECT 2000000 + n_nationkey FROM nation UNION ALL SELECT 10000000 + c_custkey FROM customer WHERE c_custkey % 50 <> 7 UNION ALL SELECT 100000000 + o_orderkey FROM orders"
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return keep
+
+
+@query("objects_digest", SQL["objects"])
+def _(s, d):
+    return objects(s, d)
+
+
+@query("tree_leaf_pages", f"WITH {pages_sql(SQL['objects'])} SELECT * FROM l0")
+def _(s, d):
+    return tree.leaf_pages(objects(s, d)).withColumn("level", F.col("level").cast("int"))
+
+
+@query("tree_index_pages", f"WITH {pages_sql(SQL['objects'])} SELECT * FROM pages")
+def _(s, d):
+    return tree.index_pages(objects(s, d))
+
+
+def _keys(s, d):
+    return table(s, d, "orders").filter("o_orderkey % 37 = 0").select((F.col("o_orderkey") * 2 + 1).alias("key"))
+
+
+@query("index_lookup", f"WITH {pages_sql(SQL['objects'])}, keys AS (SELECT o_orderkey * 2 + 1 AS key FROM orders WHERE o_orderkey % 37 = 0) SELECT k.key, (SELECT min(page_no) FROM l0 WHERE max_id >= k.key) AS routed_page, (SELECT min(page_no) FROM l0 WHERE k.key BETWEEN min_id AND max_id) AS page_no, EXISTS (SELECT 1 FROM orders WHERE o_orderkey + 1 = k.key) AS found FROM keys k")
+def _(s, d):
+    o = objects(s, d)
+    return tree.lookup(tree.leaf_pages(o), o, _keys(s, d))
+
+
+@query("select_objects", f"SELECT object_id, kind, digest FROM ({SQL['objects']}) s WHERE object_id IN (SELECT l_orderkey + 1 FROM lineitem WHERE l_returnflag = 'R')")
+def _(s, d):
+    wanted = table(s, d, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_orderkey") + 1).alias("object_id"))
+    return objects(s, d).join(wanted, "object_id", "left_semi")
+
+
+@query("missing_roots", "SELECT DISTINCT l_partkey + 1 AS object_id FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def _(s, d):
+    asked = table(s, d, "lineitem").filter("l_partkey % 3 = 0").select((F.col("l_partkey") + 1).alias("object_id")).distinct()
+    return asked.join(table(s, d, "part").filter("p_size > 10").select((F.col("p_partkey") + 1).alias("object_id")), "object_id", "left_anti")
+
+
+@query("batch_violations", f"WITH st AS ({SQL['objects']}), op AS (SELECT object_id, op FROM ({SQL['ops']}) o UNION ALL SELECT o_orderkey + 500000000, 'delete' FROM orders WHERE o_orderkey % 1000 = 1 UNION ALL SELECT o_orderkey + 1, 'delete' FROM orders WHERE o_orderkey % 1000 = 6) SELECT 'one operation per object' AS \"check\", 'DuplicateObject' AS category, object_id FROM op GROUP BY object_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'delete of a missing object', 'MissingObject', object_id FROM op WHERE op = 'delete' AND object_id NOT IN (SELECT object_id FROM st)")
+def _(s, d):
+    o = table(s, d, "orders")
+    extra = o.filter("o_orderkey % 1000 = 1").select((F.col("o_orderkey") + 500_000_000).alias("object_id")).unionByName(o.filter("o_orderkey % 1000 = 6").select((F.col("o_orderkey") + 1).alias("object_id")))
+    extra = extra.select("object_id", F.lit("delete").alias("op"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("string").alias("digest"))
+    return merge.violations(objects(s, d), operations(s, d).unionByName(extra))
+
+
+@query("batch_classified", f"SELECT o.object_id, CASE WHEN op = 'put' THEN CASE WHEN s.object_id IS NULL THEN 'insert' ELSE 'replace' END ELSE CASE WHEN s.object_id IS NULL THEN 'missing' ELSE 'delete' END END AS action FROM ({SQL['ops']}) o LEFT JOIN ({SQL['objects']}) s ON s.object_id = o.object_id")
+def _(s, d):
+    return merge.classified(objects(s, d), operations(s, d))
+
+
+@query("batch_applied", MERGED)
+def _(s, d):
+    return merge.applied(objects(s, d), operations(s, d))
+
+
+@query("batch_mode", f"SELECT count_if(a = 'insert') AS \"insert\", count_if(a = 'replace') AS \"replace\", count_if(a = 'delete') AS \"delete\", 'canonical_mixed' AS mode FROM (SELECT CASE WHEN op = 'put' THEN CASE WHEN s.object_id IS NULL THEN 'insert' ELSE 'replace' END ELSE 'delete' END AS a FROM ({SQL['ops']}) o LEFT JOIN ({SQL['objects']}) s ON s.object_id = o.object_id) x")
+def _(s, d):
+    return merge.mode(objects(s, d), operations(s, d))
+
+
+@query("snapshot_diff", f"SELECT coalesce(a.object_id, b.object_id) AS object_id, CASE WHEN a.object_id IS NULL THEN 'added' WHEN b.object_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({SQL['objects']}) a FULL JOIN ({MERGED}) b ON a.object_id = b.object_id WHERE a.digest IS DISTINCT FROM b.digest OR a.kind IS DISTINCT FROM b.kind")
+def _(s, d):
+    o = objects(s, d)
+    return merge.diff(o, merge.applied(o, operations(s, d)))
+
+
+APPENDED = f"SELECT object_id, digest FROM ({SQL['objects']}) x UNION ALL SELECT object_id, digest FROM ({SQL['ops']}) y WHERE object_id > 100000000"
+
+
+@query("page_reuse", f"WITH old AS (WITH {pages_sql(SQL['objects'])} SELECT * FROM pages), new AS (WITH {pages_sql(APPENDED)} SELECT * FROM pages) SELECT n.level, count(*) AS pages, count_if(o.page_digest IS NOT NULL) AS reused, count_if(o.page_digest IS NULL) AS written FROM new n LEFT JOIN (SELECT DISTINCT level, page_digest FROM old) o ON o.level = n.level AND o.page_digest = n.page_digest GROUP BY 1")
+def _(s, d):
+    o = objects(s, d)
+    new = o.unionByName(operations(s, d).filter("object_id > 100000000").select("object_id", "kind", "digest"))
+    return merge.page_reuse(tree.index_pages(o), tree.index_pages(new))
+
+
+@query("touched_pages", f"WITH {pages_sql(SQL['objects'])} SELECT level, count(*) AS pages, count_if(hit) AS touched FROM (SELECT level, EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 1000 = 3 AND o_orderkey + 1 BETWEEN p.min_id AND p.max_id) AS hit FROM pages p) x GROUP BY level")
+def _(s, d):
+    keys = table(s, d, "orders").filter("o_orderkey % 1000 = 3").select((F.col("o_orderkey") + 1).alias("key"))
+    pages = tree.index_pages(objects(s, d))
+    hit = pages.join(keys, (F.col("key") >= F.col("min_id")) & (F.col("key") <= F.col("max_id")), "left_semi").groupBy("level").agg(F.count("*").alias("touched"))
+    return pages.groupBy("level").agg(F.count("*").alias("pages")).join(hit, "level", "left").select("level", "pages", F.coalesce("touched", F.lit(0)).cast("long").alias("touched"))
+
+
+@query("time_travel", f"SELECT object_id, seq, digest FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq DESC) AS k FROM ({SQL['log']}) l WHERE seq <= 10) x WHERE k = 1 AND op = 'put'")
+def _(s, d):
+    return history.state_at(change_log(s, d), 10)
+
+
+@query("state_sizes", f"SELECT seq, count(*) AS changes, count_if(op = 'put') AS puts, count_if(op = 'delete') AS deletes FROM ({SQL['log']}) l GROUP BY seq")
+def _(s, d):
+    return change_log(s, d).groupBy("seq").agg(F.count("*").alias("changes"), F.count_if(F.col("op") == "put").alias("puts"), F.count_if(F.col("op") == "delete").alias("deletes"))
+
+
+@query("history_breaks", f"SELECT sequence AS seq, unnest(list_filter([CASE WHEN before IS NOT NULL AND sequence <> before + 1 THEN 'sequence gap' END, CASE WHEN before IS NOT NULL AND parent IS DISTINCT FROM before_id THEN 'parent digest' END, CASE WHEN before IS NULL AND (sequence <> 0 OR parent IS NOT NULL) THEN 'genesis' END], lambda x: x IS NOT NULL)) AS \"check\" FROM (SELECT *, lag(sequence) OVER (ORDER BY sequence, id) AS before, lag(id) OVER (ORDER BY sequence, id) AS before_id FROM ({SQL['candidates']}) c WHERE id % 97 <> 14) x")
+def _(s, d):
+    return history.history_breaks(candidates(s, d).filter("id % 97 <> 14").select(F.col("sequence").alias("seq"), "parent", "id"))
+
+
+@query("root_enumeration", f"WITH c AS ({SQL['candidates']}) SELECT c.id, c.sequence, CASE WHEN c.status <> 'verified' THEN 'NotVerified' WHEN c.checkpoint <> 'complete' THEN 'Progress' WHEN c.parent IS NULL AND c.sequence <> 0 THEN 'GenesisSequence' WHEN c.parent IS NOT NULL AND p.id IS NULL THEN 'MissingParent' WHEN p.status <> 'verified' OR p.checkpoint <> 'complete' THEN 'ParentNotVerified' WHEN p.sequence >= c.sequence THEN 'SequenceNotIncreasing' WHEN p.sequence + 1 <> c.sequence THEN 'SequenceGap' ELSE 'Valid' END AS verdict, row_number() OVER (ORDER BY c.footer_offset DESC, c.id) AS rank FROM c LEFT JOIN c p ON p.id = c.parent")
+def _(s, d):
+    return history.enumerated(candidates(s, d))
+
+
+@query("root_selection", f"WITH RECURSIVE c AS ({SQL['candidates']}), chain AS (SELECT id, sequence, parent FROM c WHERE parent IS NULL AND sequence = 0 AND status = 'verified' AND checkpoint = 'complete' UNION ALL SELECT c.id, c.sequence, c.parent FROM c JOIN chain ON c.parent = chain.id WHERE c.status = 'verified' AND c.checkpoint = 'complete' AND c.sequence = chain.sequence + 1), t AS (SELECT * FROM chain WHERE id NOT IN (SELECT parent FROM chain WHERE parent IS NOT NULL)) SELECT sequence, CASE WHEN count(*) = 1 THEN min(id) END AS id, count(*) AS terminals, CASE WHEN count(*) = 1 THEN 'Selected' ELSE 'AmbiguousFork' END AS outcome FROM t WHERE sequence = (SELECT max(sequence) FROM t) GROUP BY sequence")
+def _(s, d):
+    return history.selected(candidates(s, d))
+
+
+@query("freshness", f"SELECT sequence, digest, CASE WHEN sequence < 50 THEN 'Rollback' WHEN sequence > 50 THEN 'Advances' WHEN digest = 50 THEN 'Current' ELSE 'ForkAtTrustedSequence' END AS freshness FROM (SELECT sequence, id AS digest FROM ({SQL['candidates']}) c) x")
+def _(s, d):
+    trusted = s.range(1).select(F.lit(50).cast("long").alias("t_sequence"), F.lit(50).cast("long").alias("t_digest"))
+    return history.freshness(candidates(s, d).select("sequence", F.col("id").alias("digest")), trusted)
+
+
+@query("freshness_stream", "WITH e AS (SELECT user_id, event_id, user_id * 7 % 5 + event_id % 9 AS sequence FROM events), w AS (SELECT *, max(sequence) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trusted FROM e) SELECT user_id, event_id, sequence, CASE WHEN trusted IS NULL THEN 'Unpinned' WHEN sequence < trusted THEN 'Rollback' WHEN sequence = trusted THEN 'Current' ELSE 'Advances' END AS verdict FROM w")
+def _(s, d):
+    from pyspark.sql import Window
+
+    e = table(s, d, "events").select("user_id", "event_id", (F.col("user_id") * 7 % 5 + F.col("event_id") % 9).alias("sequence"))
+    t = F.max("sequence").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("t", t)
+    return e.select("user_id", "event_id", "sequence", F.when(F.col("t").isNull(), "Unpinned").when(F.col("sequence") < F.col("t"), "Rollback").when(F.col("sequence") == F.col("t"), "Current").otherwise("Advances").alias("verdict"))
+
+
+@query("retention", f"WITH c AS (SELECT DISTINCT seq FROM ({SQL['log']}) l) SELECT seq, newest, pinned FROM (SELECT seq, row_number() OVER (ORDER BY seq DESC) <= 3 AS newest, seq IN (0, 2) AS pinned FROM c) x WHERE newest OR pinned")
+def _(s, d):
+    return history.retained(change_log(s, d).select("seq").distinct(), 3, [0, 2])
+
+
+@query("history_reissue", f"SELECT seq, dense_rank() OVER (ORDER BY seq) - 1 AS reissued, changes FROM (SELECT seq, count(*) AS changes FROM ({SQL['log']}) l WHERE seq % 3 = 0 GROUP BY seq) x")
+def _(s, d):
+    from pyspark.sql import Window
+
+    kept = change_log(s, d).filter("seq % 3 = 0").groupBy("seq").agg(F.count("*").alias("changes"))
+    return kept.select("seq", (F.dense_rank().over(Window.orderBy("seq")) - 1).cast("long").alias("reissued"), "changes")
+
+
+def _graph(s, d):
+    t = {n: table(s, d, n) for n in ("region", "nation", "customer", "orders")}
+    key = lambda base, c: F.col(c) + F.lit(base).cast("long")
+    up = t["nation"].select(key(1_000_000, "n_regionkey").alias("src"), key(2_000_000, "n_nationkey").alias("dst"))
+    edges = up.unionByName(t["customer"].select(key(2_000_000, "c_nationkey").alias("src"), key(10_000_000, "c_custkey").alias("dst"))).unionByName(t["orders"].select(key(10_000_000, "o_custkey").alias("src"), key(100_000_000, "o_orderkey").alias("dst"))).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = t["region"].select(key(1_000_000, "r_regionkey").alias("id")).unionByName(t["nation"].select(key(2_000_000, "n_nationkey").alias("id"))).unionByName(t["customer"].filter("c_custkey % 50 <> 7").select(key(10_000_000, "c_custkey").alias("id"))).unionByName(t["orders"].select(key(100_000_000, "o_orderkey").alias("id")))
+    return nodes, edges, s.range(1).select(F.lit(1_000_001).cast("long").alias("id"))
+
+
+@query("reachability", f"WITH RECURSIVE e AS ({EDGES}), n AS ({NODES}), r(id, depth) AS (SELECT CAST(1000001 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT coalesce(n.id, m.id) AS id, CASE WHEN n.id IS NULL THEN 'missing' WHEN m.id IS NULL THEN 'orphaned' ELSE 'reachable' END AS status, m.depth FROM n FULL JOIN m ON n.id = m.id")
+def _(s, d):
+    return graph.compaction(*_graph(s, d))
+
+
+@query("repair_plan", "WITH l AS (SELECT l_orderkey + 1 AS object_id, min(l_partkey) * 40 AS record_offset, CAST(sum(l_linenumber) AS BIGINT) AS record_len FROM lineitem WHERE l_orderkey % 4 = 1 GROUP BY 1) SELECT object_id, record_offset, record_len, coalesce(max(record_offset + record_len) OVER (ORDER BY record_offset, object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > record_offset, FALSE) AS overlaps FROM l WHERE object_id % 3 = 0")
+def _(s, d):
+    x = table(s, d, "lineitem").filter("l_orderkey % 4 = 1").groupBy((F.col("l_orderkey") + 1).alias("object_id")).agg((F.min("l_partkey") * 40).alias("record_offset"), F.sum("l_linenumber").cast("long").alias("record_len"))
+    return graph.repair_plan(x, x.filter("object_id % 3 = 0").select(F.col("object_id").alias("id")))
+
+
+VIOLATIONS = f"SELECT file, \"offset\", unnest(v).c AS \"check\", unnest(v).k AS category FROM (SELECT file, \"offset\", list_filter([CASE WHEN stored_len <> logical_len THEN {{'c': 'length', 'k': 'InvalidLength'}} END, CASE WHEN object_id = 0 THEN {{'c': 'identifier', 'k': 'InvalidIdentifier'}} END, CASE WHEN digest <> expected THEN {{'c': 'digest', 'k': 'DigestMismatch'}} END, CASE WHEN upto > \"offset\" THEN {{'c': 'overlap', 'k': 'OverlappingRange'}} END, CASE WHEN last_id >= object_id THEN {{'c': 'order', 'k': 'NotCanonical'}} END], lambda x: x IS NOT NULL) AS v FROM (SELECT *, lag(object_id) OVER (PARTITION BY file ORDER BY \"offset\") AS last_id, max(\"offset\" + stored_len) OVER (PARTITION BY file ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ({SQL['records']}) r) x) y"
+
+
+@query("record_violations", VIOLATIONS)
+def _(s, d):
+    return checks.violations(records(s, d))
+
+
+@query("diagnosis", f"WITH v AS ({VIOLATIONS}), f AS (SELECT DISTINCT l_orderkey % 16 AS file FROM lineitem) SELECT f.file, CASE WHEN n IS NULL THEN 'Verified' ELSE 'Invalid' END AS status, category, coalesce(n, 0) AS failed FROM f LEFT JOIN (SELECT file, min({{'o': \"offset\", 'c': \"check\", 'k': category}}).k AS category, count(*) AS n FROM v GROUP BY file) x ON x.file = f.file")
+def _(s, d):
+    return checks.diagnosis(records(s, d))
+
+
+@query("salvage", f"WITH v AS (SELECT file, min(\"offset\") AS stop FROM ({VIOLATIONS}) a GROUP BY file) SELECT r.file, r.\"offset\", r.object_id FROM ({SQL['records']}) r LEFT JOIN v ON v.file = r.file WHERE stop IS NULL OR r.\"offset\" < stop")
+def _(s, d):
+    return checks.salvaged(records(s, d))
+
+
+@query("recovery_candidates", f"WITH v AS (SELECT file, min(\"offset\") AS stop FROM ({VIOLATIONS}) a GROUP BY file), c AS (SELECT r.file, r.\"offset\" + r.stored_len AS ends, row_number() OVER (PARTITION BY r.file ORDER BY r.\"offset\" DESC) AS newest FROM ({SQL['records']}) r LEFT JOIN v ON v.file = r.file WHERE (stop IS NULL OR r.\"offset\" < stop) AND r.\"offset\" % 400 = 0) SELECT file, ends, newest, count(*) OVER (PARTITION BY file) > 8 AS truncated FROM c WHERE newest <= 64")
+def _(s, d):
+    from pyspark.sql import Window
+
+    kept = checks.salvaged(records(s, d)).filter("offset % 400 = 0").join(records(s, d).select("file", "offset", "stored_len"), ["file", "offset"])
+    c = kept.select("file", (F.col("offset") + F.col("stored_len")).alias("ends"), F.row_number().over(Window.partitionBy("file").orderBy(F.col("offset").desc())).cast("long").alias("newest"))
+    return c.filter("newest <= 64").withColumn("truncated", F.count("*").over(Window.partitionBy("file")) > 8)
+
+
+@query("encoded_values")
+def _(s, d):
+    from keyloom.operators import planning
+
+    return planning.encoded(table(s, d, "part"))
+
+
+@query("mixed_leaf_plan")
+def _(s, d):
+    from keyloom.operators import planning
+
+    sizes = table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("parent"), F.col("o_custkey").alias("page_no")).agg(F.count("*").alias("entries"))
+    return planning.repaired(sizes, least=6, capacity=30)
+
+
+@query("occupancy_simulation")
+def _(s, d):
+    from keyloom.operators import planning
+
+    return planning.simulated(s.range(1, 17).withColumnRenamed("id", "seed"), cycles=400)
+
+
+def _model(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if f" {name}" in sql:
+                table(spark, sf_dir, name).createOrReplaceTempView(name)
+        return spark.sql(sql)
+
+    return run
+
+
+for _name, _sql in models.MODELS.items():
+    QUERIES[_name] = (_model(_sql), models.for_duckdb(_sql))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
