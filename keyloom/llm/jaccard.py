@@ -348,7 +348,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = sets.filter("n > 0").groupBy("class").agg(F.min(F.when(F.col("prefix").isNotNull(), F.col("row"))).alias("rep"), F.max("n").alias("n"), first.alias("first"))
     classes = written(classes.select("class", "rep", "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "classes")
-    entries = sets.filter("prefix is not null").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "cold", F.posexplode("prefix").alias("pos", "shingle"))
+    # Classes that several tasks met first have a prefix for each; few rows, so these are taken away rather than the others kept.
+    firsts = sets.filter("prefix is not null").select("row", "class")
+    again = written(firsts.join(classes.select("class", "rep"), "class").filter("row <> rep").select("row"), "again")
+    entries = sets.filter("prefix is not null").join(again, "row", "left_anti").select(F.col("row").alias("rep"), "n", "cold", F.posexplode("prefix").alias("pos", "shingle"))
     entries = entries.select("rep", "n", "pos", "shingle", (F.col("pos") >= F.col("cold")).alias("hot"))
     found = links(entries, classes, sets.filter("prefix is not null").select(F.col("row").alias("rep"), "n", "bits"), texts, width, percent)
     roots = components(found)
