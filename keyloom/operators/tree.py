@@ -57,10 +57,9 @@ def next_level(pages: DataFrame, level: int) -> DataFrame:
 
 def index_pages(objects: DataFrame) -> DataFrame:
     """All levels, leaves to root."""
-    level, pages = 0, leaf_pages(objects)
+    pages = leaf_pages(objects)
     out = pages
-    while pages.count() > 1:
-        level += 1
+    for level in range(1, len(shape(objects.count()))):  # as many levels as the count of objects asks for
         pages = next_level(pages, level)
         out = out.unionByName(pages)
     return out
