@@ -6,8 +6,9 @@ filter once for each level up to that. The buckets' filters, side by side, are t
 until the first miss gives back the level, and the mean count of the level stands for the count. Probabilities are smoothed
 with a Dirichlet prior: p(w) = (c(w) + 1) / (N + V + 1), p(w | u) = (c(uw) + PRIOR * p(w)) / (c(u) + PRIOR), and so on.
 
-The filter grows with the corpus up to `FILTER_BYTES`; beyond, each bucket leaves out its rarest n-grams, whose probability
-then is the smoothed one. Exact token counts (for n_known and base_score) come from a join: the `HEAD` most frequent tokens
+The filter grows with the corpus and holds every n-gram. Up to `FILTER_BYTES` it is broadcast. Beyond, it stays in its buckets
+and the questions go there: texts are put together in chunks, a chunk asks each bucket for the levels of its different n-grams,
+and the answers come back to the chunk. Both ways probe the same bits and give the same scores. Exact token counts (for n_known and base_score) come from a join: the `HEAD` most frequent tokens
 are broadcast, the other tokens of a document are joined to the table of counts by token.
 
 Defined cases: null text is empty and has one token, its end; null ids and repeated rows are rows like any other; without
@@ -116,28 +117,20 @@ def _halves(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return e & np.uint64(0xFFFFFFFF), (e >> np.uint64(32)) | np.uint64(1)
 
 
-def _filled(bytes_: int):
-    """A bucket's packed counts -> its filter: bucket, size, least, bits, sums, ns (count and number of n-grams by level)."""
-
-    def run(key, table):
-        parts = [unpacked(x.as_py()) for x in table.column("packed")]
-        hashes, counts = added(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
-        levels = level_of(counts)
-        least = 1
-        while BITS * int(levels[counts >= least].sum()) > 8 * bytes_:
-            least += 1
-        hashes, counts, levels = hashes[counts >= least], counts[counts >= least], levels[counts >= least]
-        size = max(64, BITS * int(levels.sum()) + 7 & ~7)
-        bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            one, two = _halves(hashes[levels >= level], level)
-            for k in range(PROBES):
-                bits[(one + np.uint64(k) * two) % np.uint64(size)] = True
-        top = int(levels.max(initial=0)) + 1
-        sums, ns = np.bincount(levels, counts, top), np.bincount(levels, minlength=top)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([size], pa.int64()), "least": pa.array([least], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "sums": pa.array([sums.tolist()], pa.list_(pa.float64())), "ns": pa.array([ns.tolist()], pa.list_(pa.int64()))})
-
-    return run
+def _filled(key, table):
+    """A bucket's packed counts -> its filter: bucket, size, bits, sums, ns (count and number of n-grams by level)."""
+    parts = [unpacked(x.as_py()) for x in table.column("packed")]
+    hashes, counts = added(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
+    levels = level_of(counts)
+    size = max(64, BITS * int(levels.sum()) + 7 & ~7)
+    bits = np.zeros(size, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        one, two = _halves(hashes[levels >= level], level)
+        for k in range(PROBES):
+            bits[(one + np.uint64(k) * two) % np.uint64(size)] = True
+    top = int(levels.max(initial=0)) + 1
+    sums, ns = np.bincount(levels, counts, top), np.bincount(levels, minlength=top)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([size], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "sums": pa.array([sums.tolist()], pa.list_(pa.float64())), "ns": pa.array([ns.tolist()], pa.list_(pa.int64()))})
 
 
 class Filter:
@@ -155,6 +148,10 @@ class Filter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """About the count of each n-gram: its level's mean, 0 where no level is there."""
+        return self.means[self.levels(hashes)]
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each n-gram: the last one before the first that misses."""
         of = hashes % np.uint64(self.buckets)
         levels = np.zeros(len(hashes), np.int64)
         at = np.arange(len(hashes))
@@ -168,7 +165,17 @@ class Filter:
             if not len(at):
                 break
             levels[at] = level
-        return self.means[levels]
+        return levels
+
+
+class Answers:
+    """The levels of a chunk's different n-grams, as the buckets gave them; counts as a `Filter` has."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray, means: np.ndarray):
+        self.hashes, self.levels, self.means = hashes, levels, means
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return self.means[self.levels[np.searchsorted(self.hashes, hashes)]]
 
 
 def log_probabilities(tokens: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], docs: np.ndarray, held: Filter, order: int, n: int, v: int, prior: float = PRIOR) -> np.ndarray:
@@ -189,61 +196,141 @@ def log_probabilities(tokens: np.ndarray, distinct: tuple[np.ndarray, np.ndarray
     return np.log10(p)
 
 
+KIND_OF_TAIL = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
+
+
+def laid_out(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Words of each text -> the tokens of all, lengths, the different tokens with the place of each token, the text of each."""
+    tokens = np.concatenate([x for words in texts for x in ([BEGIN], hashes_of(words), [END])])
+    lengths = np.array([len(words) + 2 for words in texts])
+    return tokens, lengths, np.unique(tokens, return_inverse=True), np.repeat(np.arange(len(texts)), lengths)
+
+
+def scores_of(columns: list[pa.Array], texts: list[list[bytes]], held: Filter | Answers, head: np.ndarray, logs_of: np.ndarray, order: int, n: int, v: int) -> pa.RecordBatch:
+    """row, doc_id, held_out and the words of their texts -> row, doc_id, held_out, n_tokens, known, base, score, tail.
+
+    head: sorted hashes of the frequent tokens and of the end; logs_of: the log10 of each one's count + 1.
+    """
+    tokens, lengths, (distinct, place), docs = laid_out(texts)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    near = np.minimum(np.searchsorted(head, distinct), len(head) - 1)
+    frequent = head[near] == distinct
+    known = frequent[place]
+    base = np.add.reduceat(np.where(frequent, logs_of[near], 0.0)[place], starts) - math.log10(n + v + 1.0) * (lengths - 1)
+    n_known = np.add.reduceat(known.astype(np.int64), starts)
+    known[starts] = known[starts + lengths - 1] = True  # begin and end are no words
+    tails = []
+    for words, start, length in zip(texts, starts, lengths, strict=True):
+        rare = Counter(words[k] for k in np.flatnonzero(~known[start + 1 : start + length - 1]))
+        tails.append([{"token": k, "n": c} for k, c in rare.items()])
+    logs = log_probabilities(tokens, (distinct, place), docs, held, order, n, v)
+    logs[starts] = 0.0  # the begin is given
+    return pa.record_batch(
+        [*columns, pa.array(lengths - 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(logs, starts)), pa.array(tails, KIND_OF_TAIL)],
+        names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
+    )
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """(row, doc_id, held_out, text) in parts of about `SCORED` tokens, with the words of their texts."""
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            texts, size, first = [], 0, at
+            while at < len(batch) and size < SCORED:
+                texts.append(words_of(batch.column(3)[at].as_py()))
+                size += len(texts[-1])
+                at += 1
+            yield batch.slice(first, at - first), texts
+
+
 def _scored(shared, order: int, n: int, v: int):
-    """(row, doc_id, held_out, text) -> row, doc_id, held_out, n_tokens, known, base, score, tail."""
-    kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-    unseen = -math.log10(n + v + 1.0)
+    """(row, doc_id, held_out, text) -> the columns of scores_of, by the broadcast filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, head, logs_of = shared.value
+        for part, texts in _pieces(batches):
+            yield scores_of(part.columns[:3], texts, held, head, logs_of, order, n, v)
+
+    return run
+
+
+class Questions:
+    """Takes the place of a filter to learn which n-grams a chunk asks for."""
+
+    def __init__(self) -> None:
+        self.asked: list[np.ndarray] = []
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        self.asked.append(hashes)
+        return np.zeros(len(hashes))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, held_out, text) -> (chunk, rows): a chunk's rows side by side; its number is its first row's."""
+    for part, _ in _pieces(batches):
+        rows = pa.StructArray.from_arrays(part.columns, names=["row", "doc_id", "held_out", "text"])
+        yield pa.record_batch([part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)], names=["chunk", "rows"])
+
+
+def _asked(buckets: int, order: int):
+    """Chunks -> (chunk, bucket, packed): the different n-grams that a chunk asks each bucket for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, logs_of = shared.value  # head: sorted hashes of the frequent tokens and of the end
         for batch in batches:
-            at = 0
-            while at < len(batch):
-                texts, size, first = [], 0, at
-                while at < len(batch) and size < SCORED:
-                    texts.append(words_of(batch.column(3)[at].as_py()))
-                    size += len(texts[-1])
-                    at += 1
-                tokens = np.concatenate([x for words in texts for x in ([BEGIN], hashes_of(words), [END])])
-                lengths = np.array([len(words) + 2 for words in texts])
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                distinct, place = np.unique(tokens, return_inverse=True)
-                near = np.minimum(np.searchsorted(head, distinct), len(head) - 1)
-                frequent = head[near] == distinct
-                known = frequent[place]
-                base = np.add.reduceat(np.where(frequent, logs_of[near], 0.0)[place], starts) + unseen * (lengths - 1)
-                n_known = np.add.reduceat(known.astype(np.int64), starts)
-                known[starts] = known[starts + lengths - 1] = True  # begin and end are no words
-                tails = []
-                for words, start, length in zip(texts, starts, lengths, strict=True):
-                    rare = Counter(words[k] for k in np.flatnonzero(~known[start + 1 : start + length - 1]))
-                    tails.append([{"token": k, "n": c} for k, c in rare.items()])
-                logs = log_probabilities(tokens, (distinct, place), np.repeat(np.arange(len(texts)), lengths), held, order, n, v)
-                logs[starts] = 0.0  # the begin is given
-                part = batch.slice(first, at - first)
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), part.column(2), pa.array(lengths - 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(logs, starts)), pa.array(tails, kind)],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
-                )
+            for chunk, rows in zip(batch.column(0), batch.column(1), strict=True):
+                tokens, _, distinct, docs = laid_out([words_of(x.as_py()) for x in rows.values.field("text")])
+                questions = Questions()
+                log_probabilities(tokens, distinct, docs, questions, order, 0, 0)
+                hashes = np.unique(np.concatenate(questions.asked))
+                of = (hashes % np.uint64(buckets)).astype(np.int64)
+                at = np.argsort(of, kind="stable")
+                some, firsts = np.unique(of[at], return_index=True)
+                blobs = [packed(x, np.zeros(len(x))) for x in np.split(hashes[at], firsts[1:])]
+                yield pa.record_batch([pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array(some), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "packed"])
+
+    return run
+
+
+def _answered(buckets: int, means: np.ndarray):
+    """A bucket's questions and its filter -> (chunk, packed): the n-grams and their levels."""
+
+    def run(key, asked, bucket):
+        held = Filter([(r["bucket"], r["size"], r["bits"]) for r in bucket.to_pylist()], buckets, means)
+        hashes = (unpacked(x.as_py())[0] for x in asked.column("packed"))
+        return pa.table({"chunk": asked.column("chunk"), "packed": pa.array([packed(x, held.levels(x)) for x in hashes], pa.binary())})
+
+    return run
+
+
+def _scored_chunk(shared, means: np.ndarray, order: int, n: int, v: int):
+    """A chunk and its answers -> the columns of scores_of."""
+
+    def run(key, chunk, answers):
+        head, logs_of = shared.value
+        rows = chunk.column("rows").combine_chunks().flatten()
+        parts = [unpacked(x.as_py()) for x in answers.column("packed")]
+        hashes, levels = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        at = np.argsort(hashes)
+        columns = [rows.field(name) for name in ("row", "doc_id", "held_out")]
+        return pa.Table.from_batches([scores_of(columns, [words_of(x.as_py()) for x in rows.field("text")], Answers(hashes[at], levels[at].astype(np.int64), means), head, logs_of, order, n, v)])
 
     return run
 
 
-def train(texts: DataFrame, tokens: int, order: int = ORDER, filter_bytes: int = FILTER_BYTES) -> Filter:
-    """texts: one column; tokens: how many there are in all, about."""
+def train(texts: DataFrame, tokens: int, order: int = ORDER) -> tuple[DataFrame, int, np.ndarray, int]:
+    """texts: one column; tokens: how many there are in all, about. -> the buckets' filters (bucket, size, bits), how many
+    buckets there are, the mean count of each level, the bytes of all filters."""
     buckets = max(8, -(-tokens * order // BUCKET))
-    packed = texts.mapInArrow(_gathered(order, buckets), "bucket long, packed binary")
-    kind = "bucket long, size long, least long, bits binary, sums array<double>, ns array<long>"
-    rows = packed.groupBy("bucket").applyInArrow(_filled(filter_bytes // buckets), kind).toArrow().to_pylist()
-    top = max([1, *(len(r["sums"]) for r in rows)])
-    sums, ns = np.zeros(top), np.zeros(top)
-    for r in rows:
-        sums[: len(r["sums"])] += r["sums"]
-        ns[: len(r["ns"])] += r["ns"]
-    return Filter([(r["bucket"], r["size"], r["bits"]) for r in rows], buckets, sums / np.maximum(ns, 1))
-
-
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    parts = texts.mapInArrow(_gathered(order, buckets), "bucket long, packed binary")
+    filters = written(parts.groupBy("bucket").applyInArrow(_filled, "bucket long, size long, bits binary, sums array<double>, ns array<long>"), "filters")
+    by_level = filters.select(F.posexplode(F.arrays_zip("sums", "ns")).alias("level", "x")).groupBy("level").agg(F.sum("x.sums").alias("c"), F.sum("x.ns").alias("n"))
+    found = {r["level"]: r["c"] / max(r["n"], 1) for r in by_level.collect()}  # one row a level
+    means = np.array([found.get(k, 0.0) for k in range(max(found, default=0) + 1)])
+    return filters.select("bucket", "size", "bits"), buckets, means, (filters.agg(F.sum("size")).first()[0] or 0) // 8
+
+
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     key, text = doc_id_column(docs, id_col), doc_id_column(docs, text_col)
@@ -251,7 +338,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     counts = training.mapInArrow(_token_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
     counts = written(counts.filter("c > 0"), "token-counts")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token").isNull(), F.col("c"))), F.lit(0))).first()
-    held = train(training, n, order)
+    filters, buckets, means, size = train(training, n, order)
 
     level = F.floor(F.log2("c") * 8).cast("int")
     words = counts.filter("token is not null")
@@ -267,14 +354,20 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     if not ends:  # nothing is known without training texts
         hashes[-1] = 0
     by_hash = np.argsort(hashes)
-    shared = context.broadcast((held, hashes[by_hash], logs[by_hash]))
+    hashes, logs = hashes[by_hash], logs[by_hash]
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    scored = written(
-        rows.mapInArrow(_scored(shared, order, n, v), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<token: binary, n: long>>"),
-        "scored",
-    )
+    out = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<token: binary, n: long>>"
+    if size <= filter_bytes:
+        whole = Filter([(r["bucket"], r["size"], r["bits"]) for r in filters.toArrow().to_pylist()], buckets, means)
+        scored = rows.mapInArrow(_scored(context.broadcast((whole, hashes, logs)), order, n, v), out)
+    else:
+        chunks = written(rows.mapInArrow(_chunks, f"chunk long, rows array<struct<row: long, doc_id: {kind}, held_out: boolean, text: string>>"), "chunks")
+        asked = chunks.mapInArrow(_asked(buckets, order), "chunk long, bucket long, packed binary")
+        answers = asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_answered(buckets, means), "chunk long, packed binary")
+        scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(context.broadcast((hashes, logs)), means, order, n, v), out)
+    scored = written(scored, "scored")
     rest = words.filter(level < edge).withColumnRenamed("token", "word")
     found = scored.select("row", F.inline("tail")).join(rest, F.col("token") == F.col("word"))
     sums = found.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("add")).withColumnRenamed("row", "of")
