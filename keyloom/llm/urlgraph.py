@@ -5,7 +5,8 @@ domain that is a host too. Trust is a personalised PageRank along the edges from
 to these), distrust one along the reversed edges from the hosts with blocked pages. A host is blocked if its trust is under
 `SHARE` of trust and distrust together; a host that neither reaches is allowed.
 
-Rules and ranks are computed once for each host; pages join them by host, and a hot host's pages can be split.
+Rules and ranks are computed once for each host. Pages join them by host; the verdicts of hosts with more than one page in
+`HOT_PARTS` (fewer than that many, then) are broadcast, so that no task gets all of a hot host's pages.
 
 Defined cases: a null url, or one without "://", has the empty host and path, fits no rule and is allowed unless its links
 say otherwise; null html has no links; rules with equal length can't both fit one url at the same host and path; null or
@@ -25,6 +26,7 @@ from keyloom.llm.common import doc_id_column, drop_written, written
 #: (host/path, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING, ROUNDS, SHARE = 0.85, 20, 0.5
+HOT_PARTS = 2_000
 #: Rounds between two written tables.
 CUT = 5
 HREF = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -86,6 +88,17 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     return now
 
 
+def by_host(rows: DataFrame, facts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows left-joined with facts (of: host, ...; one row a host); hosts: host, n (its rows). Hot hosts' facts are broadcast."""
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = hosts.filter(F.col("n") * HOT_PARTS > total).select(F.col("host").alias("hot"))
+    marked = rows.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
+    known = F.broadcast(facts.join(F.broadcast(hot), F.col("of") == F.col("hot")).drop("hot"))
+    first = marked.filter("hot is not null").drop("hot").join(known, F.col("host") == F.col("of"), "left")
+    rest = marked.filter("hot is null").drop("hot").join(facts, F.col("host") == F.col("of"), "left")
+    return first.unionByName(rest).drop("of")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (of the host)."""
     rules = RULES if rules is None else rules
@@ -96,7 +109,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     edges = written(edges_of(rows.select("host", "html"), hosts.select("host")), "links")
     fitting = rules_of(hosts, rules)
 
-    held = slim.join(fitting, "host", "left")
+    held = by_host(slim, fitting.withColumnRenamed("host", "of"), hosts)
     best = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
     ruled = written(held.withColumn("best", F.when(F.col("rules").isNotNull(), best)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict")), "ruled")
     counts = ruled.groupBy("host").agg(F.sum((F.col("rule_verdict") == "allow").cast("double")).alias("allowed"), F.sum((F.col("rule_verdict") == "block").cast("double")).alias("blocked"))
@@ -105,7 +118,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     seeds = counts.select("host", share("allowed", total[0]), share("blocked", total[1])).withColumnRenamed("allowed", "trusted")
     ranked = written(ranks(edges, seeds).select(F.col("host").alias("of"), "trust", "distrust"), "ranked")
     drop_written(slim)
-    out = ruled.join(ranked, F.col("host") == F.col("of"), "left").fillna(0.0, ["trust", "distrust"])
+    out = by_host(ruled, ranked, hosts).fillna(0.0, ["trust", "distrust"])
     mass = F.col("trust") + F.col("distrust")
     verdict = F.when(F.col("rule_verdict").isNotNull(), F.col("rule_verdict")).when((mass > 0) & (F.col("trust") < SHARE * mass), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
