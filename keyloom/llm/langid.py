@@ -10,7 +10,7 @@ from each, cut to `DICT_BYTES`; every document is classified over its whole text
 
 Defined cases: null text, empty text and text without a letter give `und`, score 0 and rejected; ties go to the language first
 by code point (and are rejected); without any labelled row every text is `und`; other columns are ignored, null or repeated
-ids are rows like any other.
+ids are rows like any other, and of the sample's rows with one id those of least text come first.
 """
 
 from __future__ import annotations
@@ -51,7 +51,10 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     least = dealt.withColumn("r", w("lang", "part")).filter(F.col("r") <= sample_rows).withColumn("r", w("lang")).filter(F.col("r") <= sample_rows)
     edge = least.groupBy("lang").agg(F.max("at").alias("edge"))
     taken = labelled.join(F.broadcast(edge), "lang").filter(F.xxhash64(F.lit("langid"), "key") <= F.col("edge"))
-    rows = taken.select("lang", F.xxhash64(F.lit("langid"), "key").alias("at"), F.substring("text", 1, sample_chars).alias("text")).collect()
+    taken = taken.select("lang", F.xxhash64(F.lit("langid"), "key").alias("at"), F.substring("text", 1, sample_chars).alias("text"))
+    # Repeated or null ids share a hash, so the edge alone doesn't bound the sample.
+    within = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    rows = taken.withColumn("r", within).filter(F.col("r") <= sample_rows).drop("r").collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r.lang for r in rows}):
         texts = [prepared(r.text or "") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r["at"], r.text or ""))]
