@@ -54,6 +54,12 @@ def test_language_edges(docs):
     assert sum(r.lang_pred == "und" for r in got) == 3 and all(r.rejected for r in got if r.lang_pred == "und")
 
 
+def test_language_sample_is_bounded_under_repeated_ids(spark):
+    rows = [(None, f"wort{k} haus baum", "de") for k in range(30)] + [(1, f"tree house {k}", "en") for k in range(30)]
+    slim = spark.createDataFrame(rows, "key long, text string, lang string")
+    assert {k: v.count(b"  ") + 1 for k, v in langid.learn(slim, sample_rows=7).items()} == {"de": 7, "en": 7}
+
+
 def test_lm_base_and_filter(docs):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     tokens = lambda t: [*t.encode().lower().split(), None]
@@ -65,13 +71,18 @@ def test_lm_base_and_filter(docs):
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
 
 
+def test_lm_beyond_the_broadcast_size(docs):
+    whole = sorted(map(str, lm.lm_scores(docs, lm.held_out_column(docs)).collect()))
+    assert sorted(map(str, lm.lm_scores(docs, lm.held_out_column(docs), filter_bytes=0).collect())) == whole
+
+
 def test_filter_levels():
     counts = {k: k % 40 + 1 for k in range(1, 3000)}
     hashes = np.array(sorted(counts), np.uint64) * np.uint64(93_825_004_121) & np.uint64((1 << 48) - 1)
     order = np.argsort(hashes)
     import pyarrow as pa
 
-    row = lm._filled(1 << 20)((pa.scalar(0),), pa.table({"bucket": [0], "packed": [lm.packed(hashes[order], np.array([counts[k] for k in sorted(counts)])[order])]})).to_pylist()[0]
+    row = lm._filled((pa.scalar(0),), pa.table({"bucket": [0], "packed": [lm.packed(hashes[order], np.array([counts[k] for k in sorted(counts)])[order])]})).to_pylist()[0]
     held = lm.Filter([(0, row["size"], row["bits"])], 1, np.arange(len(row["sums"]), dtype=float))
     levels = lm.level_of(np.array([counts[k] for k in sorted(counts)]))
     got = held.counts(hashes)
@@ -232,6 +243,7 @@ def test_url_rules_and_ranks(spark):
         for _ in range(20):
             now = {h: 0.15 * s.get(h, 0) + sum(0.85 * now[a] / sum(x == a for x, _ in e) for a, b in e if b == h) for h in hosts}
         rank[kind] = now
+    assert {r.page_id for r in urlgraph.judge(spark.createDataFrame([(k, "http://hot.net/a", None) for k in range(5000)] + [(5000 + k, f"http://h{k}.org/", None) for k in range(50)], "page_id long, url string, html string")).filter("(host = 'hot.net') = (verdict = 'block')").collect()} == set(range(5050))
     for page, host in ((3, "x.org"), (4, "y.com")):
         t, d = rank["t"][host], rank["d"][host]
         assert got[page][3] == ("block" if t < 0.5 * (t + d) else "allow")
