@@ -12,7 +12,15 @@ DOMAIN = "keyloom"
 
 def u64_le(x: Column) -> Column:
     """The eight bytes of a non-negative long, little-endian."""
-    return F.unhex(F.lpad(F.hex(x.cast("long")), 16, "0")).cast("binary")
+    big = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(big, k, 2) for k in range(15, 0, -2)]))
+
+
+def u64_from_le(x: Column) -> Column:
+    """The number in the first eight bytes, little-endian; null with fewer bytes or from 2 ** 63 on."""
+    h = F.hex(x)
+    big = F.concat(*[F.substring(h, k, 2) for k in range(15, 0, -2)])
+    return F.when(F.octet_length(x) >= 8, F.conv(big, 16, 10).try_cast("long"))
 
 
 def digest(kind: str, *parts: Column) -> Column:

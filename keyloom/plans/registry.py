@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import models
 from keyloom.functions.codec import digest
 from keyloom.operators import checks, graph, history, merge, tree
+from keyloom.sources import container
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -303,6 +304,55 @@ def _(s, d):
     return planning.simulated(s.range(1, 17).withColumnRenamed("id", "seed"), cycles=400)
 
 
+def _containers(s, d):
+    """Parts as objects in container files of a hundred each."""
+    p = table(s, d, "part")
+    return container.built(p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("file"), (F.col("p_partkey") + 1).alias("object_id"), F.col("p_name").cast("binary").alias("payload"), (F.col("p_partkey") % 5 == 0).alias("root")))
+
+
+def _damaged(s, d):
+    """The containers, seven of eight damaged, each kind at another place."""
+    c, n = F.col("content"), F.octet_length("content")
+    put = lambda at, byte: F.concat(F.substring(c, F.lit(1), at), F.unhex(F.lit(byte)), F.substring(c, at + 2, n))
+    damage = [put(F.lit(0), "00"), F.substring(c, F.lit(1), n - 1), put(F.lit(8), "02"), put(F.lit(72), "00"), put(n - 68, "01"), put(F.lit(32), "00"), F.substring(c, F.lit(1), F.lit(20))]
+    out = c
+    for k, x in enumerate(damage, 1):
+        out = F.when(F.col("file") % 8 == k, x).otherwise(out)
+    return _containers(s, d).select("file", out.alias("content"))
+
+
+CONTAINED = 'SELECT file, object_id, "offset", stored_len, sha256(p_name) AS payload_sha256 FROM (SELECT *, p_partkey // 100 AS file, p_partkey + 1 AS object_id, strlen(p_name) AS stored_len, 32 + CAST(coalesce(sum(40 + strlen(p_name)) OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM part) x'
+
+
+@query("container_records", CONTAINED)
+def _(s, d):
+    r = container.records(_containers(s, d)).filter("kind = 1")
+    return r.select("file", "object_id", "offset", "stored_len", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query("container_metadata", f'SELECT file, object_id, "offset", stored_len FROM ({CONTAINED}) c')
+def _(s, d):
+    return container.records(_containers(s, d), payloads=False).filter("kind = 1").select("file", "object_id", "offset", "stored_len")
+
+
+@query("container_diagnosis", "SELECT file, CASE WHEN file % 8 = 0 THEN 'Verified' ELSE 'Invalid' END AS status, CASE file % 8 WHEN 3 THEN 'unsupported_epoch' WHEN 4 THEN 'digest_mismatch' WHEN 5 THEN 'unsupported_flags' WHEN 7 THEN 'truncated' WHEN 0 THEN NULL ELSE 'invalid_magic' END AS category, CASE WHEN file % 8 = 0 THEN n + 1 END AS records FROM (SELECT p_partkey // 100 AS file, count(*) AS n FROM part GROUP BY 1) x")
+def _(s, d):
+    return container.diagnosed(_damaged(s, d)).select("file", "status", "category", "records")
+
+
+@query("container_salvage", f'SELECT file, object_id, "offset" FROM ({CONTAINED}) c WHERE file % 8 IN (0, 2, 3, 4, 5)')
+def _(s, d):
+    return container.salvaged(_damaged(s, d)).filter("kind = 1").select("file", "object_id", "offset")
+
+
+@query("container_footers", "SELECT p_partkey // 100 AS file, 0 AS rank, (p_partkey // 100) % 8 = 0 AS valid, (p_partkey // 100) % 8 <> 2 AS exact_end FROM part WHERE (p_partkey // 100) % 8 <> 7 GROUP BY 1")
+def _(s, d):
+    from pyspark.sql import Window
+
+    newest = F.row_number().over(Window.partitionBy("file").orderBy(F.col("footer_offset").desc())) - 1
+    return container.footers(_damaged(s, d)).select("file", newest.alias("rank"), "valid", "exact_end")
+
+
 def _model(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in TABLES:
