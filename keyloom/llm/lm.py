@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -267,53 +268,79 @@ class Questions:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, held_out, text) -> (chunk, rows): a chunk's rows side by side; its number is its first row's."""
+    """(row, doc_id, held_out, text) -> the same with the chunk: the row of its first text."""
     for part, _ in _pieces(batches):
-        rows = pa.StructArray.from_arrays(part.columns, names=["row", "doc_id", "held_out", "text"])
-        yield pa.record_batch([part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)], names=["chunk", "rows"])
+        chunk = pa.array(np.full(len(part), part.column(0)[0].as_py()), pa.int64())
+        yield pa.record_batch([chunk, *part.columns], names=["chunk", *part.schema.names])
+
+
+def questions_of(texts: list[list[bytes]], buckets: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams that these texts ask for, by bucket; the buckets, and where each one's n-grams begin."""
+    tokens, _, distinct, docs = laid_out(texts)
+    questions = Questions()
+    log_probabilities(tokens, distinct, docs, questions, order, 0, 0)
+    hashes = np.unique(np.concatenate(questions.asked))
+    of = (hashes % np.uint64(buckets)).astype(np.int64)
+    at = np.argsort(of, kind="stable")
+    return hashes[at], *np.unique(of[at], return_index=True)
 
 
 def _asked(buckets: int, order: int):
-    """Chunks -> (chunk, bucket, packed): the different n-grams that a chunk asks each bucket for."""
+    """(chunk, row, text) -> (chunk, part, bucket, packed): the different n-grams that a part of a chunk asks each bucket for.
+
+    A chunk's texts follow one another. Two tasks may read one in parts; a part is named by the row of its first text.
+    """
+
+    def ask(chunk: int, part: int, texts: list[list[bytes]]) -> pa.RecordBatch:
+        hashes, some, firsts = questions_of(texts, buckets, order)
+        blobs = [packed(x, np.zeros(len(x))) for x in np.split(hashes, firsts[1:])]
+        return pa.record_batch([pa.array([chunk] * len(some), pa.int64()), pa.array([part] * len(some), pa.int64()), pa.array(some), pa.array(blobs, pa.binary())], names=["chunk", "part", "bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, texts = None, None, []
         for batch in batches:
-            for chunk, rows in zip(batch.column(0), batch.column(1), strict=True):
-                tokens, _, distinct, docs = laid_out([words_of(x.as_py()) for x in rows.values.field("text")])
-                questions = Questions()
-                log_probabilities(tokens, distinct, docs, questions, order, 0, 0)
-                hashes = np.unique(np.concatenate(questions.asked))
-                of = (hashes % np.uint64(buckets)).astype(np.int64)
-                at = np.argsort(of, kind="stable")
-                some, firsts = np.unique(of[at], return_index=True)
-                blobs = [packed(x, np.zeros(len(x))) for x in np.split(hashes[at], firsts[1:])]
-                yield pa.record_batch([pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array(some), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "packed"])
+            for chunk, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
+                if texts and chunk != now:
+                    yield ask(now, first, texts)
+                    texts = []
+                if not texts:
+                    now, first = chunk, row
+                texts.append(words_of(text))
+        if texts:
+            yield ask(now, first, texts)
 
     return run
 
 
 def _answered(buckets: int, means: np.ndarray):
-    """A bucket's questions and its filter -> (chunk, packed): the n-grams and their levels."""
+    """A bucket's questions and its filter -> (chunk, part, bucket, levels): the levels in the order of the n-grams."""
 
     def run(key, asked, bucket):
         held = Filter([(r["bucket"], r["size"], r["bits"]) for r in bucket.to_pylist()], buckets, means)
-        hashes = (unpacked(x.as_py())[0] for x in asked.column("packed"))
-        return pa.table({"chunk": asked.column("chunk"), "packed": pa.array([packed(x, held.levels(x)) for x in hashes], pa.binary())})
+        blobs = [zstandard.compress(held.levels(unpacked(x.as_py())[0]).astype(np.uint8).tobytes(), 1) for x in asked.column("packed")]
+        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "bucket": asked.column("bucket"), "levels": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _scored_chunk(shared, means: np.ndarray, order: int, n: int, v: int):
+def _scored_chunk(shared, buckets: int, means: np.ndarray, order: int, n: int, v: int):
     """A chunk and its answers -> the columns of scores_of."""
 
     def run(key, chunk, answers):
         head, logs_of = shared.value
-        rows = chunk.column("rows").combine_chunks().flatten()
-        parts = [unpacked(x.as_py()) for x in answers.column("packed")]
-        hashes, levels = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        at = np.argsort(hashes)
-        columns = [rows.field(name) for name in ("row", "doc_id", "held_out")]
-        return pa.Table.from_batches([scores_of(columns, [words_of(x.as_py()) for x in rows.field("text")], Answers(hashes[at], levels[at].astype(np.int64), means), head, logs_of, order, n, v)])
+        chunk, answers, out = chunk.combine_chunks().sort_by("row"), answers.sort_by([("part", "ascending"), ("bucket", "ascending")]), []
+        parts = answers.column("part").to_numpy()
+        edges = np.append(np.searchsorted(chunk.column("row").to_numpy(), np.unique(parts)), len(chunk))
+        for part, at, end in zip(np.unique(parts), edges, edges[1:]):
+            rows = chunk.slice(at, end - at).combine_chunks()
+            texts = [words_of(x) for x in texts_of(rows.column("text"))]
+            hashes, _, _ = questions_of(texts, buckets, order)
+            mine = answers.column("levels").filter(pa.array(parts == part))
+            levels = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint8) for x in mine])
+            by_hash = np.argsort(hashes)
+            columns = [rows.column(name).chunk(0) for name in ("row", "doc_id", "held_out")]
+            out.append(scores_of(columns, texts, Answers(hashes[by_hash], levels[by_hash].astype(np.int64), means), head, logs_of, order, n, v))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -363,10 +390,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         whole = Filter([(r["bucket"], r["size"], r["bits"]) for r in filters.toArrow().to_pylist()], buckets, means)
         scored = rows.mapInArrow(_scored(context.broadcast((whole, hashes, logs)), order, n, v), out)
     else:
-        chunks = written(rows.mapInArrow(_chunks, f"chunk long, rows array<struct<row: long, doc_id: {kind}, held_out: boolean, text: string>>"), "chunks")
-        asked = chunks.mapInArrow(_asked(buckets, order), "chunk long, bucket long, packed binary")
-        answers = asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_answered(buckets, means), "chunk long, packed binary")
-        scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(context.broadcast((hashes, logs)), means, order, n, v), out)
+        chunks = written(rows.mapInArrow(_chunks, f"chunk long, row long, doc_id {kind}, held_out boolean, text string"), "chunks")
+        asked = chunks.select("chunk", "row", "text").mapInArrow(_asked(buckets, order), "chunk long, part long, bucket long, packed binary")
+        answers = asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_answered(buckets, means), "chunk long, part long, bucket long, levels binary")
+        scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(context.broadcast((hashes, logs)), buckets, means, order, n, v), out)
     scored = written(scored, "scored")
     rest = words.filter(level < edge).withColumnRenamed("token", "word")
     found = scored.select("row", F.inline("tail")).join(rest, F.col("token") == F.col("word"))
