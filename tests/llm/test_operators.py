@@ -76,6 +76,31 @@ def test_lm_beyond_the_broadcast_size(docs):
     assert sorted(map(str, lm.lm_scores(docs, lm.held_out_column(docs), filter_bytes=0).collect())) == whole
 
 
+def test_lm_chunk_read_in_parts():
+    import types
+
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in corpus() if t][:40]
+    buckets = 3
+    grams = [lm.mix(lm.sequence(t)[:1]) & lm._48 for t in texts] + [g for t in texts[:25] for g in lm.grams(lm.sequence(t), 2)]
+    values, n = np.unique(np.concatenate(grams), return_counts=True)
+    made = [lm._filled((pa.scalar(b),), pa.table({"packed": [lm.packed(values[values % 3 == b], n[values % 3 == b])]})).to_pylist()[0] for b in range(buckets)]
+    means = np.arange(30.0)
+    head, logs = np.sort(lm.hashes_of([b"karo", b"na"])), np.array([0.5, 0.7])
+    rows = pa.table({"row": range(40), "doc_id": range(40), "held_out": [False] * 40, "text": texts})
+    want = lm.scores_of(rows.combine_chunks().to_batches()[0].columns[:3], [lm.words_of(t) for t in texts], lm.Filter([(r["bucket"], r["size"], r["bits"]) for r in made], buckets, means), head, logs, 2, 900, 90)
+    asked = []
+    for at, end in ((0, 13), (13, 40)):  # two tasks
+        batches = [pa.record_batch([pa.array([0] * (end - at)), pa.array(range(at, end)), pa.array(texts[at:end])], names=["chunk", "row", "text"])]
+        asked += lm._asked(buckets, 2)(iter(batches))
+    asked = pa.Table.from_batches(asked)
+    answers = [lm._answered(buckets, means)((b,), asked.filter(pa.array(asked.column("bucket").to_numpy() == b)), pa.Table.from_pylist([{k: made[b][k] for k in ("bucket", "size", "bits")}])) for b in (2, 0, 1)]
+    got = lm._scored_chunk(types.SimpleNamespace(value=(head, logs)), buckets, means, 2, 900, 90)((0,), rows.take(pa.array(range(39, -1, -1))), pa.concat_tables(answers))
+    assert got.column("score").to_pylist() == pytest.approx(want.column("score").to_pylist(), rel=1e-12)
+    assert got.column("row").to_pylist() == list(range(40)) and got.column("tail").to_pylist() == want.column("tail").to_pylist()
+
+
 def test_filter_levels():
     counts = {k: k % 40 + 1 for k in range(1, 3000)}
     hashes = np.array(sorted(counts), np.uint64) * np.uint64(93_825_004_121) & np.uint64((1 << 48) - 1)
