@@ -107,3 +107,37 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_candidates_are_all_events(spark):
+    """The four candidate queries over every event of sf0.001, against a walk in Python."""
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    ids = sorted(r.event_id for r in spark.read.parquet(f"{d}/events.parquet").select("event_id").collect())
+    assert len(ids) > 400
+    rows = {i: (i + 1 if i and i % 97 == 13 else i, None if i == 0 else i + 100_000 if i % 89 == 17 else i - 1, i % 101 != 60, i % 103 != 70) for i in ids}
+
+    def verdict(i):
+        sequence, parent, complete, verified = rows[i]
+        p = rows.get(parent)
+        tests = [("NotVerified", not verified), ("Progress", not complete), ("GenesisSequence", parent is None and sequence != 0), ("MissingParent", parent is not None and p is None), ("ParentNotVerified", p and not (p[2] and p[3])), ("SequenceNotIncreasing", p and p[0] >= sequence), ("SequenceGap", p and p[0] + 1 != sequence)]
+        return next((name for name, failed in tests if failed), "Valid")
+
+    run = lambda name: e.queries()[name](spark, d).collect()
+    assert {r.id: (r.sequence, r.verdict, r["rank"]) for r in run("root_enumeration")} == {i: (rows[i][0], verdict(i), len(ids) - k) for k, i in enumerate(ids)}
+    fresh = lambda i: "Rollback" if rows[i][0] < 50 else "Advances" if rows[i][0] > 50 else "Current" if i == 50 else "ForkAtTrustedSequence"
+    assert {r.digest: (r.sequence, r.freshness) for r in run("freshness")} == {i: (rows[i][0], fresh(i)) for i in ids}
+
+    kept = sorted((rows[i][0], i) for i in ids if i % 97 != 14)
+    breaks = [(s, "sequence gap") for (b, _), (s, _) in zip(kept, kept[1:]) if s != b + 1] + [(s, "parent digest") for (_, b), (s, i) in zip(kept, kept[1:]) if rows[i][1] != b]
+    assert sorted((r.seq, r.check) for r in run("history_breaks")) == sorted(breaks)
+
+    live = set()
+    for i in ids:  # a parent's id is below its child's
+        if verdict(i) == "Valid" and (rows[i][1] is None or rows[i][1] in live):
+            live.add(i)
+    ends = live - {rows[i][1] for i in live}
+    best = max(rows[i][0] for i in ends)
+    ends = [i for i in ends if rows[i][0] == best]
+    assert [(r.sequence, r.id, r.terminals, r.outcome) for r in run("root_selection")] == [(best, ends[0], len(ends), "Selected")]
