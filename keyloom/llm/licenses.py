@@ -1,8 +1,10 @@
 """Licence scans by canonical digest: a text and each of its lines are normalised, digested and hash-joined to known licences.
 
-Canonical form: lower case; lines that begin with a copyright mark or "all rights reserved" go; equivalent spellings become
-one; everything but letters and digits becomes one space. So a licence is found whatever its case, punctuation, line breaks
-or copyright holder. The units of a document are its whole text and each of its lines; a unit matches a licence if the whole
+Canonical form: lower case; copyright lines go, and a title in the first line; equivalent spellings become one; everything but
+letters and digits becomes one space. So a licence is found whatever its case, punctuation, line breaks, title or copyright
+holder. A copyright line begins with © or with "copyright" or "(c)" and a year (or a place for one), with "copyright" and the
+other mark, or with "Copyright" and a capitalised holder; or it is "all rights reserved" alone. Lines that go on with the
+words of a licence ("copyright notice and ...") stay. The units of a document are its whole text and each of its lines; a unit matches a licence if the whole
 canonical texts are equal (SHA-256).
 
 Defined cases: null and blank texts, and units without a letter or digit, match nothing and have a null digest; a licence
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +34,25 @@ SPELLINGS = [
     ("https://", ""),
     ("&", " and "),
 ]
-# What a copyright line begins with.
+# Copyright lines, for Java and Python alike; in the second, no word that licences use after "copyright" is a holder.
+COPYRIGHT = [
+    r"(?im)^[ \t]*(?:copyright[ \t:,-]*(?:\(c\)|©|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|©|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|all rights reserved[^\w\n]*(?=\n|$))[^\n]*",
+    r"(?m)^[ \t]*(?:Copyright|COPYRIGHT)[ \t]+(?:by[ \t]+|BY[ \t]+)?(?!(?i:(?:notice|holder|owner|law|licen[sc]e|permission|statement|disclaimer|interest|claim|patent|treat(?:y|ie)|act|right|protection|infringement)s?|and|or|in|on|is|are|of|to|for|as|by|from|under|with|that|which|this|shall|may|be)\b)[A-Z][^\n]*",
+]
+# A title in the first line, before other lines.
+TITLE = r"\A\s*(?:the )?(?:mit|expat|isc|modified bsd|new bsd|simplified bsd|bsd(?: [23]-clause)?(?: \"(?:new|revised|simplified)\"(?: or \"(?:new|revised)\")?)?|[23]-clause bsd) licen[sc]e(?: \((?:mit|expat|isc)\))?[:.]?[ \t\r]*\n"
+OWNER = r"copyright(\s+)owner"
+# What a copyright line begins with in the SQL, which tells the two kinds of line apart less well.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 OTHER_IN_LINE = r"[^\p{L}\p{N}\n]+"
 
+#: Whole licences that are too long for this file.
+TEXTS = Path(__file__).parent / "texts"
 #: Known licences that are broadcast, at most.
 BROADCAST = 100_000
 
-# Known notices and short licences.
+# Known notices and short licences, also in the SQL.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -73,10 +86,40 @@ KNOWN = [
     ),
 ]
 
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole licences: BSD with numbered and with bulleted conditions, Apache and GPL with their appendix and without."""
+    out = []
+    for name, conditions in (("BSD-2-Clause", BSD[1:3]), ("BSD-3-Clause", BSD[1:4])):
+        out += [(name, "\n".join([BSD[0], *(f"{mark(k)} {x}" for k, x in enumerate(conditions, 1)), BSD[4]])) for mark in (lambda k: f"{k}.", lambda k: "*")]
+    for name in ("Apache-2.0", "GPL-3.0"):
+        text = (TEXTS / f"{name}.txt").read_text()
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(name, text), (name, terms + end), (name, terms)]
+    return out
+
 
 def canonical_lines(text: Column) -> Column:
     """The text with each line in canonical form but for spaces at its ends."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = text
+    for pattern in COPYRIGHT:
+        out = F.regexp_replace(out, pattern.replace("[A-Z]", r"\p{Lu}"), " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(out), TITLE, " "), OWNER, "copyright$1holder")
     for pattern, other in SPELLINGS:
         out = F.replace(out, F.lit(pattern), F.lit(other))
     return F.regexp_replace(out, OTHER_IN_LINE, " ")
@@ -84,14 +127,17 @@ def canonical_lines(text: Column) -> Column:
 
 def digest_of(text: str) -> str:
     """The same for one text on the driver; for ASCII texts such as KNOWN."""
-    out = re.sub(COPYRIGHT_LINE, " ", text.lower())
+    out = text
+    for pattern in COPYRIGHT:
+        out = re.sub(pattern, " ", out)
+    out = re.sub(OWNER, r"copyright\1holder", re.sub(TITLE, " ", out.lower()))
     for pattern, other in SPELLINGS:
         out = out.replace(pattern, other)
     return hashlib.sha256(re.sub(r"[^a-z0-9]+", " ", out).strip().encode()).hexdigest()
 
 
-def known_digests() -> list[tuple[str, str]]:
-    return sorted({(digest_of(text), name) for name, text in KNOWN})
+def known_digests(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    return sorted({(digest_of(text), name) for name, text in texts})
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +146,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     known: (digest, license); joined by hash, broadcast if it has `BROADCAST` rows at most.
     """
     if known is None:
-        known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license string")
+        known = docs.sparkSession.createDataFrame(known_digests(KNOWN + whole_texts()), "digest string, license string")
     known = known.groupBy("digest").agg(F.min("license").alias("license"))
     known = known.select(F.unhex("digest").alias("digest"), "license")
     if known.limit(BROADCAST + 1).count() <= BROADCAST:
@@ -123,7 +169,7 @@ def oracle_sql() -> str:
             out = f"replace({out}, '{pattern}', '{other}')"
         return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
 
-    values = ", ".join(f"('{d}', '{name}')" for d, name in known_digests())
+    values = ", ".join(f"('{d}', '{name}')" for d, name in known_digests(KNOWN))
     return f"""
     WITH known(digest, license) AS (VALUES {values}),
     whole AS (SELECT doc_id, text, {form("text")} AS form FROM documents),

@@ -158,6 +158,27 @@ def test_licenses(spark):
     assert got == {1: (None, "", 0), 2: ("MIT", "MIT", 1), 3: (None, "CC-BY-NC-4.0,MIT", 2), 4: (None, "", 0), 5: (None, "", 0), 6: ("MIT", "", 0)}
 
 
+def test_whole_licenses_whatever_their_lines(spark):
+    import textwrap
+
+    mit, isc = ([x for name, x in licenses.KNOWN if name == n][-1] for n in ("MIT", "ISC"))
+    texts = [("MIT", mit), ("ISC", isc), *licenses.whole_texts()]
+    heads = ["", "Copyright (c) 2020, A. Person\n\n", "MIT License\n\nCopyright 2020 A. Person\nAll rights reserved.\n\n", "The MIT License (MIT)\nCopyright The Foo Authors\n", "ISC License:\r\n\r\n(c) 2020 Ä. Person\r\n"]
+    # Every width, so that each word of a short text begins a line at some of them.
+    fill = lambda x, w: textwrap.fill(x, w, break_long_words=False, break_on_hyphens=False)
+    rows = [(name, head + fill(x, w)) for name, x in texts if len(x) < 4000 for head in heads for w in range(12, 90, 7)]
+    # Long ones with the copyright lines within them left alone.
+    rows += [(name, head + "\n\n".join(part if re.search(r"(?m)^\s*Copyright", part) else fill(part, w) for part in x.split("\n\n"))) for name, x in texts if len(x) >= 4000 for head in heads[:2] for w in (50, 72)]
+    # The lines on which the finding rests, as the licence wraps them.
+    at = isc.index("copyright notice and this")
+    rows += [("ISC", isc[: at - 1] + "\n" + isc[at:]), ("MIT", mit.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").upper())]
+    rows += [(None, "Copyright notice."), (None, "MIT License"), (None, mit + " And more.")]
+    found = licenses.scan(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    assert [(k, got[k].license) for k in got if got[k].license != rows[k][0]] == []
+    assert got[len(rows) - 3].text_digest and got[len(rows) - 2].text_digest  # neither is a copyright line
+
+
 def test_exact_dedup(docs):
     rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in docs.collect()]
     groups = {}
