@@ -7,7 +7,7 @@ blank line, list items get their bullet or number and the indent of their depth,
 and table cells are padded so that columns line up.
 
 Defined cases: null gives null, an empty page the empty text; unclosed, stray and misnested tags are repaired, never an
-error; elements nested beyond `DEPTH` stay text in their ancestor; white space in the result is a space or a line break;
+error; elements nested beyond `DEPTH` stay text in their ancestor, unless they are hidden; white space in the result is a space or a line break;
 null or repeated ids are rows like any other; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,11 +52,38 @@ IMPLIED = {
 HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.IGNORECASE)
-_START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})")
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>=]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f>]+)))?")
+_ASKED = re.compile(r"hidden|style", re.IGNORECASE)
+_NOT_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.DOTALL)
+_START = re.compile(r"\s*(-?\d{1,9})")
 _SPACES = re.compile(r"[ \t\n\r\f\v   \x85\x1c-\x1f]+")
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and values without quotes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def is_hidden(raw: str) -> bool:
+    """By the attribute hidden or by the inline style. An input gives no text, so its type isn't asked."""
+    if not _ASKED.search(raw):
+        return False
+    found = attributes_of(raw)
+    if found.get("hidden", "until-found").strip().lower() != "until-found":
+        return True
+    held: dict[str, tuple[bool, str]] = {}
+    for x in _NOT_CSS.sub(" ", found.get("style", "")).lower().split(";"):
+        name, _, value = x.partition(":")
+        value, mark, _ = value.partition("!")
+        name, value, strong = name.strip(), value.strip(), bool(mark)
+        if value and strong >= held.get(name, (False, ""))[0]:
+            held[name] = strong, value
+    return held.get("display", (False, ""))[1] == "none" or held.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 class Layout:
     """Collects lines. `gap`: line breaks still owed before the next text."""
 
@@ -150,8 +178,10 @@ class Table:
 class Builder:
     def __init__(self) -> None:
         self.layout = Layout()
-        self.stack: list[tuple[str, str]] = []  # name, attributes
+        self.stack: list[str] = []
         self.hidden: list[bool] = []
+        self.laid: list[bool] = []  # shown, and not beyond DEPTH
+        self.at: dict[str, list[int]] = {}  # where in the stack each name is, so that no search grows with the depth
         self.pre = 0
         self.lists: list[list] = []  # [ordered, next number, indent before]
         self.tables: list[Table] = []
@@ -161,7 +191,7 @@ class Builder:
         if name in IMPLIED:
             closes, stops = IMPLIED[name]
             self._close_until(closes, stops)
-        elif any(x[0] == "head" for x in self.stack[:3]) and name not in HEAD_ONLY:
+        elif "head" in self.stack[:3] and name not in HEAD_ONLY:
             self._close_until(frozenset(["head"]), frozenset())
         if name in CLOSES_P:
             self._close_until(frozenset(["p"]), SCOPE | LISTS if name == "li" else SCOPE)
@@ -169,7 +199,7 @@ class Builder:
             self.start("tr", "")
         if name in ("td", "th", "tr", "caption") and not self._open_since("table", ""):
             name = "div"  # outside of any table it's a block like others
-        shown = not (self.hidden and self.hidden[-1]) and name not in NEVER_SHOWN and not (attributes and _HIDDEN.search(attributes))
+        shown = not (self.hidden and self.hidden[-1]) and name not in NEVER_SHOWN and not (attributes and is_hidden(attributes))
         if name in VOID:
             if shown:
                 if name == "br":
@@ -179,25 +209,26 @@ class Builder:
                 elif name == "wbr":
                     pass
             return
-        if len(self.stack) >= DEPTH:
-            return
-        self.stack.append((name, attributes))
+        laid = shown and len(self.stack) < DEPTH
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append(name)
         self.hidden.append(not shown)
-        if shown:
+        self.laid.append(laid)
+        if laid:
             self._opened(name, attributes)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
             return
-        if name == "p" and not any(x[0] == "p" for x in self.stack):
+        if name == "p" and not self.at.get("p"):
             self.start("p", "")
         stops = frozenset(["table"]) if name in ("tr", "td", "th", "tbody", "thead", "tfoot") else frozenset(["td", "th", "caption"]) if name not in ("table", "body", "html") else frozenset()
         self._close_until(frozenset([name]), stops - {name}, last=True)
 
     def text(self, s: str) -> None:
         if not (self.hidden and self.hidden[-1]):
-            if self.stack and self.stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and self.tables:
+            if self.stack and self.laid[-1] and self.stack[-1] in ("table", "tr", "tbody", "thead", "tfoot") and self.tables:
                 if s.strip():  # text between cells is shown before the table
                     self.tables[-1].outer.text(s, False)
                 return
@@ -208,26 +239,21 @@ class Builder:
             self._pop()
         return self.layout.result()
 
+    def _innermost(self, names: Iterable[str]) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
     def _open_since(self, name: str, stop: str) -> bool:
-        for x, _ in reversed(self.stack):
-            if x == name:
-                return True
-            if x == stop:
-                return False
-        return False
+        return self._innermost([name]) > self._innermost([stop])
 
     def _close_until(self, names: frozenset, stops: frozenset, last: bool = False) -> None:
         """Close the outermost (last: the innermost) open element of these names above any stop, and all within it."""
-        at = None
-        for k in range(len(self.stack) - 1, -1, -1):
-            x = self.stack[k][0]
-            if x in names:
-                at = k
-                if last:
-                    break
-            elif x in stops:
-                break
-        if at is not None:
+        stop = self._innermost(stops - names)
+        if last:
+            at = self._innermost(names)
+        else:
+            open_ = [self.at[x] for x in names if self.at.get(x)]
+            at = min((x[bisect_right(x, stop)] for x in open_ if x[-1] > stop), default=-1)
+        if at > stop:
             while len(self.stack) > at:
                 self._pop()
 
@@ -235,7 +261,7 @@ class Builder:
         if name in LISTS:
             nested = bool(self.lists)
             self.layout.block(not nested)
-            start = _START.search(attributes) if name == "ol" else None
+            start = _START.match(attributes_of(attributes).get("start", "")) if name == "ol" and attributes else None
             self.lists.append([name == "ol", int(start[1]) if start else 1, self.layout.indent])
         elif name == "li":
             self.layout.block(False)
@@ -264,8 +290,10 @@ class Builder:
                 self.pre += 1
 
     def _pop(self) -> None:
-        name, _ = self.stack.pop()
-        if self.hidden.pop():
+        name = self.stack.pop()
+        self.at[name].pop()
+        self.hidden.pop()
+        if not self.laid.pop():
             return
         if name in LISTS:
             self.layout.indent, self.layout.lead = self.lists.pop()[2], ""

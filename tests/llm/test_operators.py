@@ -262,6 +262,16 @@ def test_alignment_against_a_table():
         ("<pre>a\n  b</pre>&lt;c&gt; <b>d</b>\n e", "a\n  b\n\n<c> d e"),
         ("a<br>b</i></div>c", "a\nbc"),
         ("<div>" * 2000 + "deep", "deep"),
+        # "hidden" within a value isn't the attribute; the attribute and the style count in any spelling.
+        ('<body class="flex hidden md:block"><p title="a hidden gem">a</p><p data-x=" hidden ">b', "a\n\nb"),
+        ("<p data-style='display:none'>a</p><p title=\"style='display:none'\">b</p><p style='background: url(x;display:none)'>c", "a\n\nb\n\nc"),
+        ("<p style='color:red;display:none'>x</p><p STYLE=display:none>y</p><p style=\"font-family:'A';visibility : Hidden !important\">z</p>q", "q"),
+        ('<p HIDDEN="">x</p><p class=a hidden>y</p><p hidden=hidden>z</p><p hidden=until-found>q</p><div type=hidden>r', "q\n\nr"),
+        ('<p style="display:none;display:block">a</p><ol title="x start=7" start=3><li>b', "a\n\n3. b"),
+        # Beyond DEPTH hidden elements stay hidden, and each end tag closes its own element.
+        ("<div>" * 600 + "a<script>x</script> <b hidden>y<i>z</i></b><p hidden>y<p>b<style>z</style>", "a b"),
+        ("<div hidden>" + "<div>" * 600 + "</div>" * 600 + "x</div>q", "q"),
+        ("<div hidden>" + "<b>" * 600 + "x</div>q", "q"),
     ],
 )
 def test_html(page, want):
