@@ -333,6 +333,14 @@ def test_mix(docs, spark):
         assert abs(sum(r.taken for r in x) - want[s]) <= max(r.size for r in x)
 
 
+def test_mixed_repeats_rows_by_their_copies(docs):
+    rows, made = docs.collect(), sorted(mixing.mix(docs).collect(), key=lambda r: r.row)
+    assert [r.doc_id for r in rows] == [r.doc_id for r in made] and len({r.copies for r in made}) > 1
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert Counter(map(tuple, out.collect())) == Counter(tuple(r) for r, m in zip(rows, made) for _ in range(m.copies))
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
