@@ -100,9 +100,34 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
         yield x.as_py()
 
 
-def doc_id_column(docs: DataFrame, name: str) -> Column:
-    """A column by its exact name; other columns of clashing names (in other letter cases) don't matter."""
-    return F.col(f"`{next(c for c in docs.columns if c == name)}`")
+def by_position(docs: DataFrame) -> DataFrame:
+    """docs with the names c0, c1, ...: the one step in which names that differ in letter case only can't be ambiguous."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def place_of(docs: DataFrame, name: str) -> str:
+    """The name in `by_position(docs)` of the first column of exactly this name."""
+    if name not in docs.columns:
+        raise ValueError(f"there is no column {name!r}; there are {docs.columns}")
+    return f"c{docs.columns.index(name)}"
+
+
+def picked(docs: DataFrame, **names: str) -> DataFrame:
+    """picked(docs, new="old", ...): these columns, by exact name, under their new names. Other columns of any name don't matter."""
+    return by_position(docs).select(*[F.col(place_of(docs, old)).alias(new) for new, old in names.items()])
+
+
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """All columns as c0, c1, ... and `row`, a number for each row, written once.
+
+    A row number isn't the same when it is computed again (after a shuffle, by AQE, with fewer executors); read back it is.
+    """
+    return written(by_position(docs).withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def named_again(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of rows under the names that docs has."""
+    return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:

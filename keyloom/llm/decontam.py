@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, doc_id_column, hashes_of, shingle_hashes, texts_of
+from keyloom.llm.common import WORD, by_position, hashes_of, named_again, picked, shingle_hashes, texts_of
 
 SEED = 3
 LEAST_SEEDS = 12
@@ -123,7 +123,7 @@ def passages(words: np.ndarray, items: list[np.ndarray], seeds: tuple[np.ndarray
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about BLOCK_WORDS words."""
-    sized = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    sized = picked(benchmark, item_id="item_id", text="text").filter(F.col("text").isNotNull())
     words = sized.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n = -(-words // BLOCK_WORDS) or 1
     for k in range(n):
@@ -133,7 +133,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs at SCORE or more: doc_id, item_id, score, n_seeds, first_word, end_word."""
-    rows = docs.select(doc_id_column(docs, id_col).cast("long").alias("doc_id"), doc_id_column(docs, text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = [_matched(rows, block) for block in _blocks(benchmark)]
     out = parts[0]
     for part in parts[1:]:
@@ -172,10 +172,10 @@ def _matched(rows: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no passage of the benchmark; all their columns."""
-    at, names = docs.columns.index(text_col), docs.columns
-    out = docs
+    at, out = docs.columns.index(text_col), by_position(docs)
+    names, kind = out.columns, out.schema
     for block in _blocks(benchmark):
-        shared = _learned(docs.select(doc_id_column(docs, text_col).alias("text")), block)
+        shared = _learned(picked(docs, text=text_col), block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, seeds = shared.value
@@ -183,5 +183,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                 keep = [next(passages(hashes_of(plain_words(x)), items, seeds), None) is None for x in texts_of(batch.column(at))]
                 yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns, names=names)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, kind)
+    return named_again(out, docs)

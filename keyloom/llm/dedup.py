@@ -3,7 +3,8 @@
 A partition's rows go through a cuckoo index first (so a group that fills a third of the rows is a handful of partial rows
 before the shuffle), then one index for each digest partition merges the partial rows. A filter hit alone decides nothing:
 the slot holds the full digest beside its fingerprint, and the two are compared. When an insertion kicks too long, the
-index doubles and is filled again from the keys that it stores. Digests can be deleted again (`apply_changes`).
+index doubles and is filled again from the keys that it stores. Digests can be deleted again (`apply_changes`). The number of
+digests decides how many partitions, and so indexes, there are; none holds much more than `INDEXED`.
 
 Defined cases: a null text counts as empty; null doc_ids sort after all others; of rows with equal text and equal doc_id
 the first read stays, so one row of each group stays in any case; an empty table gives an empty result; other columns of
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACE_RUN, doc_id_column, drop_written, written
+from keyloom.llm.common import SPACE_RUN, named_again, numbered, picked, place_of, written
 
 SLOTS = 4
 #: Distinct digests that a task holds before it hands its partial rows on.
 FLUSH_AT = 200_000
+#: Distinct digests of an index after the shuffle, about.
+INDEXED = 500_000
 _PARTIAL = "digest binary, keep_id long, keep_row long, n long"
 
 
@@ -151,20 +154,24 @@ def normalised(text: Column) -> Column:
 
 def groups(digests: DataFrame) -> DataFrame:
     """(digest, doc_id, row, n) -> one row per digest: digest, keep_id, keep_row, n."""
-    partial = digests.mapInArrow(lambda batches: _merge(batches, FLUSH_AT), _PARTIAL)
-    return partial.repartition(F.col("digest")).mapInArrow(lambda batches: _merge(batches, None), _PARTIAL)
+    partial = written(digests.mapInArrow(lambda batches: _merge(batches, FLUSH_AT), _PARTIAL), "partial")
+    return partial.repartition(parts_for(partial), F.col("digest")).mapInArrow(lambda batches: _merge(batches, None), _PARTIAL)
+
+
+def parts_for(digests: DataFrame) -> int:
+    """Partitions in which an index holds about `INDEXED` digests; a digest has one row a task here, so hashing deals evenly."""
+    usual = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, 8), -(-digests.count() // INDEXED))
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = written(
-        docs.select(
-            doc_id_column(docs, id_col).cast("long").alias("doc_id"),
-            F.unhex(F.sha2(normalised(doc_id_column(docs, text_col)).cast("binary"), 256)).alias("digest"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "digests",
-    )
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    digests = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     found = groups(digests.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("n")))
     return digests.join(found, "digest").select(
         "doc_id",
@@ -176,11 +183,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    rows = docs.select(F.struct(*[doc_id_column(docs, c) for c in docs.columns]).alias("held"), F.monotonically_increasing_id().alias("row"))
-    digests = written(rows.select(F.col("held")[id_col].cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("held")[text_col]).cast("binary"), 256)).alias("digest"), "row"), "digests")
-    kept = groups(digests.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("n"))).select("keep_row")
-    return rows.join(kept, rows["row"] == kept["keep_row"], "left_semi").select("held.*")
+    """The rows of docs that stay, with all their columns.
+
+    docs is evaluated once and written with its row numbers, so what stays is the same whatever docs is made of and whichever
+    columns are asked for.
+    """
+    rows = numbered(docs, "rows")
+    key, text = place_of(docs, id_col), place_of(docs, text_col)
+    digests = rows.select(digest_of(F.col(text)).alias("digest"), F.col(key).cast("long").alias("doc_id"), "row", F.lit(1).cast("long").alias("n"))
+    kept = groups(digests).select(F.col("keep_row").alias("row"))
+    return named_again(rows.join(kept, "row", "left_semi"), docs)
 
 
 def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
@@ -209,7 +221,8 @@ def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> D
         rows = list(held.items())
         yield pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.int64())], names=["digest", "live"])
 
-    return rows.repartition(F.col("digest")).mapInArrow(run, "digest binary, live long")
+    rows = written(rows, "changes")
+    return rows.repartition(parts_for(rows), F.col("digest")).mapInArrow(run, "digest binary, live long")
 
 
-__all__ = ["CuckooIndex", "apply_changes", "deduplicated", "drop_written", "exact_dedup", "groups", "normalised"]
+__all__ = ["CuckooIndex", "apply_changes", "deduplicated", "exact_dedup", "groups", "normalised"]

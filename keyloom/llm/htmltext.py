@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import doc_id_column, texts_of
+from keyloom.llm.common import picked, texts_of
 
 DEPTH = 500
 
@@ -350,7 +350,7 @@ def render(page: str | None) -> str | None:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, text, n_chars, n_lines (null where html is)."""
-    rows = pages.select(doc_id_column(pages, id_col).alias("page_id"), doc_id_column(pages, html_col).alias("html"))
+    rows = picked(pages, page_id=id_col, html=html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

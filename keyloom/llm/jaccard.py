@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import added, doc_id_column, drop_written, hashes_of, packed, shingle_hashes, texts_of, unpacked, words_of, written
+from keyloom.llm.common import added, drop_written, hashes_of, named_again, numbered, packed, picked, place_of, shingle_hashes, texts_of, unpacked, words_of, written
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -340,8 +340,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (one of each component), row (its place in the input)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc_id_column(docs, id_col).cast("long").alias("doc_id"), doc_id_column(docs, text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    return _components(rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+
+
+def _components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(row, doc_id, text) -> as jaccard_components. Row numbers are read once; later reads of rows are of its texts alone."""
+    spark = rows.sparkSession
     texts = rows.select("text")
     order = ranked(texts, width)
     sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary"), "index")
@@ -369,7 +374,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each component (the smallest doc_id), with all their columns."""
-    stays = jaccard_components(docs, id_col, text_col).filter("kept").select(F.col("row").alias("row_"))
-    rows = docs.select(F.struct(*[doc_id_column(docs, c) for c in docs.columns]).alias("held"), F.monotonically_increasing_id().alias("row"))
-    return rows.join(stays, F.col("row") == F.col("row_"), "left_semi").select("held.*")
+    """The rows of docs that stay, one of each component (the smallest doc_id), with all their columns.
+
+    docs is evaluated once and written with its row numbers, so what stays is the same whatever docs is made of and whichever
+    columns are asked for.
+    """
+    rows = numbered(docs, "rows")
+    key, text = F.col(place_of(docs, id_col)).cast("long"), F.col(place_of(docs, text_col))
+    stays = _components(rows.select("row", key.alias("doc_id"), text.alias("text"))).filter("kept").select("row")
+    return named_again(rows.join(stays, "row", "left_semi"), docs)

@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id_column, written
+from keyloom.llm.common import picked, written
 
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     known = known.select(F.unhex("digest").alias("digest"), "license")
     if known.limit(BROADCAST + 1).count() <= BROADCAST:
         known = F.broadcast(known)
-    rows = docs.select(doc_id_column(docs, id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical_lines(doc_id_column(docs, text_col)).alias("form"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), canonical_lines(F.col("text")).alias("form"))
     parts = rows.select("doc_id", "row", F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
     sha = lambda x: F.unhex(F.sha2(x.cast("binary"), 256))
     # The texts are read and normalised once; the digests are what both joins read.

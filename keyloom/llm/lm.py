@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import added, doc_id_column, hashes_of, joined, mix, packed, remainder_is, texts_of, unpacked, words_of, written
+from keyloom.llm.common import added, hashes_of, joined, mix, packed, picked, remainder_is, texts_of, unpacked, words_of, written
 
 ORDER = 2
 BASE = 1.5
@@ -357,11 +357,14 @@ def train(texts: DataFrame, tokens: int, order: int = ORDER) -> tuple[DataFrame,
     return filters.select("bucket", "size", "bits"), buckets, means, (filters.agg(F.sum("size")).first()[0] or 0) // 8
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def lm_scores(docs: DataFrame, held_out: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    held_out: from the id's column to whether the row is held out.
+    """
     context = docs.sparkSession.sparkContext
-    key, text = doc_id_column(docs, id_col), doc_id_column(docs, text_col)
-    training = docs.filter(~held_out).select(text.alias("text"))
+    texts = picked(docs, doc_id=id_col, text=text_col).withColumn("held_out", held_out(F.col("doc_id")))
+    training = texts.filter("not held_out").select("text")
     counts = training.mapInArrow(_token_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
     counts = written(counts.filter("c > 0"), "token-counts")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token").isNull(), F.col("c"))), F.lit(0))).first()
@@ -383,7 +386,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     by_hash = np.argsort(hashes)
     hashes, logs = hashes[by_hash], logs[by_hash]
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = dict(rows.dtypes)["doc_id"]
     out = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<token: binary, n: long>>"
     if size <= filter_bytes:
@@ -409,8 +412,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     )
 
 
-def held_out_column(docs: DataFrame, id_col: str = "doc_id") -> Column:
-    return remainder_is(doc_id_column(docs, id_col), 7, 2)
+def held_out(key: Column) -> Column:
+    return remainder_is(key, 7, 2)
 
 
-__all__ = ["Filter", "held_out_column", "lm_scores", "train"]
+__all__ = ["Filter", "held_out", "lm_scores", "train"]

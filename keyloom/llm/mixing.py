@@ -4,29 +4,38 @@ Sources in code-point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and share th
 target stops at `cap` times its source's size, and the excess is shared again by weight among the others until none is
 above. Document rates r minimise the relative entropy to the unit rates under sum(r * size) = target of the source and
 r <= cap, so r = min(cap, exp(lambda * x)) with x = size / mean size of the source. Newton's method finds the lambda of
-every source at once on the dual, whose gradient is a distributed sum; a bracket around the root guards each step. Rates
-become copies by sequential Poisson rounding: the whole part always, the fraction for documents whose keyed hash divided by
-their fraction is least, until the source's words meet the target; two histograms find that threshold, and a few rounds add
-the document whose size is nearest to what is left.
+every source at once on the dual, whose gradient is a distributed sum; a bracket around the root guards each step, and a
+source that doesn't converge is an error. Rates become copies by sequential Poisson rounding: the whole part always, the
+fraction for the documents whose random number divided by their fraction is least, until the source's words meet the target;
+histograms of that quotient, each within a bin of the one before, find the threshold; then a few rounds add the document
+whose size is nearest to what is left.
 
-DataFrame functions only. Per-source tables hold a row for each source or for each (source, size), never a document each.
+The random number is a hash of the whole row and of its place among equal rows. Equal rows, of which a table may have
+millions (all ids null, one text), are numbered within each part of the input, and counts by part give the offsets: so each
+has its own number, the set of numbers depends on the rows alone, and reruns agree.
+
+DataFrame functions only. Per-source tables hold a row for each source or for each (source, size), never a document each;
+what one task orders is the rows of one threshold bin, `FEW` or what further halving can't part (equal quotients).
 
 Defined cases: null or blank text has size 0, takes 0 words in 0 or more copies; a null source is a source of its own, last;
-a source of size 0 gets the target 0; null or repeated doc_ids are rows like any other (rows equal in doc_id and size get
-equal copies); an empty table gives an empty result; other columns are ignored by `mix`, and carried by `mixed`.
+a source of size 0 gets the target 0; null or repeated doc_ids are rows like any other (of equal rows as many get a copy
+more as the target asks for); an empty table gives an empty result; other columns (of any names) only tell rows apart in
+`mix`, and are carried by `mixed`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyloom.llm.common import WORD, doc_id_column, drop_written, written
+from keyloom.llm.common import WORD, by_position, drop_written, named_again, numbered, place_of, written
 
 CAP = 3.0
-ROUNDS = 60
-#: Bins of each of the two threshold histograms, for each source.
-BINS = 4096
+#: Newton steps at most, and steps between two written tables.
+ROUNDS, STEPS = 120, 4
+#: Bins of a threshold histogram, for each source; rows of a bin that are put in order; histograms at most.
+BINS, FEW, DEEPEST = 4096, 1000, 8
 #: Rounds that fill what the thresholds leave of a target.
 FILL = 4
 
@@ -54,119 +63,167 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
 
 
 def tilts(histogram: DataFrame, per_source: DataFrame, cap: float = CAP, rounds: int = ROUNDS) -> DataFrame:
-    """(source, size, n) and (source, source_size, target) -> source, target, mean_size, lam.
+    """(source, size, n) and (source, source_size, target) -> source, source_size, target, mean_size, lam.
 
-    lam is null where the target is the cap times the size: the root is at infinity, all rates are the cap.
+    lam is null where the target is the cap times the size (the root is at infinity, all rates are the cap) or the size is 0.
     """
-    counts = histogram.filter("size > 0").groupBy("source").agg(F.sum("n").alias("rows"))
-    state = per_source.join(counts, per_source["source"].eqNullSafe(counts["source"]), "left").select(
-        per_source["source"],
-        "source_size",
-        "target",
-        (F.col("source_size") / F.col("rows")).alias("mean_size"),
-        (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full"),
-        F.lit(0.0).alias("lam"),
-        F.lit(-1e9).alias("low"),
-        F.lit(1e9).alias("high"),
-        F.lit(False).alias("met"),
-    )
-    histogram = histogram.filter("size > 0").withColumnRenamed("source", "of")
-    state = written(state, "state")  # not checkpoint(): its size estimates multiply from round to round
-    for _ in range(rounds):
-        x = F.col("size") / F.col("mean_size")
-        rate = _rate(F.col("lam"), x, cap)
-        sums = (
-            histogram.join(state.filter("not full and not met"), F.col("of").eqNullSafe(F.col("source")))
-            .groupBy("of")
-            .agg(F.sum(F.col("n") * F.col("size") * rate).alias("words"), F.sum(F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"))
-        )
-        gap = F.col("words") - F.col("target")
-        low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - gap / F.col("slope")
-        bounded = F.when((F.col("slope") > 0) & (newton > F.col("low_")) & (newton < F.col("high_")), newton)
-        half = (
-            F.when(F.col("low_") < -1e8, F.least(F.col("high_") * 2, F.lit(-1.0)))
-            .when(F.col("high_") > 1e8, F.greatest(F.col("low_") * 2, F.lit(1.0)))
-            .otherwise((F.col("low_") + F.col("high_")) / 2)
-        )
-        # A Newton step that jumps far out of a bracket open at one side counts as outside.
-        near = F.abs(newton) <= 4 * F.abs(F.col("lam")) + 4
-        moved = F.when(bounded.isNotNull() & near, bounded).otherwise(half)
-        joined = state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
-        former, state = state, written(
-            joined.withColumn("low_", F.coalesce(low, "low"))
-            .withColumn("high_", F.coalesce(high, "high"))
-            .withColumn("met_", F.col("met") | F.col("full") | F.col("words").isNull() | (F.abs(gap) <= 1e-9 * F.col("target")) | (F.col("high_") - F.col("low_") < 1e-13 * F.abs(F.col("lam"))))
-            .select("source", "source_size", "target", "mean_size", "full", F.when(F.col("met_"), F.col("lam")).otherwise(moved).alias("lam"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.col("met_").alias("met")),
-            "state",
-        )
-        drop_written(former)
+    sized = histogram.filter("size > 0")
+    counts = sized.groupBy("source").agg(F.sum("n").alias("rows")).withColumnRenamed("source", "of")
+    start = per_source.join(counts, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", (F.col("source_size") / F.col("rows")).alias("mean_size"), F.lit(0.0).alias("lam"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(False).alias("met"))
+    start = written(start, "state")  # not checkpoint(): its size estimates multiply from round to round
+    open_ = F.col("mean_size").isNotNull() & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
+    settled = start.filter(~F.coalesce(open_, F.lit(False))).select("source", "source_size", "target", "mean_size", F.lit(None).cast("double").alias("lam"))
+    state = start.filter(open_)
+    for done in range(0, rounds, STEPS):
+        former = state
+        for _ in range(STEPS):
+            state = _newton(sized.withColumnRenamed("source", "of"), state, cap)
+        state = written(state, "state")
+        if done:  # the table that this began with is read once more
+            drop_written(former)
         if state.filter("not met").isEmpty():
-            break
-    return state.select("source", "source_size", "target", "mean_size", F.when(~F.col("full"), F.col("lam")).alias("lam"))
+            return settled.unionByName(state.drop("low", "high", "met"))
+    raise RuntimeError(f"the dual has not converged in {rounds} steps")
+
+
+def _newton(histogram: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """One guarded step for each source that isn't met; every source of state has rows in the histogram (of, size, n)."""
+    x = F.col("size") / F.col("mean_size")
+    rate = _rate(F.col("lam"), x, cap)
+    keys = ["source", "source_size", "target", "mean_size", "lam", "low", "high", "met"]
+    sums = (
+        histogram.join(state, F.col("of").eqNullSafe(F.col("source")))
+        .groupBy(*keys)
+        .agg(F.sum(F.col("n") * F.col("size") * rate).alias("words"), F.sum(F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"))
+    )
+    gap = F.col("words") - F.col("target")
+    sums = sums.withColumn("low_", F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))).withColumn("high_", F.when(gap > 0, F.col("lam")).otherwise(F.col("high")))
+    newton = F.col("lam") - gap / F.col("slope")
+    # A step that jumps far out of a bracket open at one side counts as outside.
+    near = F.abs(newton) <= 4 * F.abs(F.col("lam")) + 4
+    bounded = F.when((F.col("slope") > 0) & (newton > F.col("low_")) & (newton < F.col("high_")) & near, newton)
+    half = (
+        F.when(F.col("low_") < -1e8, F.least(F.col("high_") * 2, F.lit(-1.0)))
+        .when(F.col("high_") > 1e8, F.greatest(F.col("low_") * 2, F.lit(1.0)))
+        .otherwise((F.col("low_") + F.col("high_")) / 2)
+    )
+    done = F.col("met") | (F.abs(gap) <= 1e-9 * F.col("target")) | (F.col("high_") - F.col("low_") < 1e-13 * F.abs(F.col("lam")))
+    return sums.withColumn("done", done).select("source", "source_size", "target", "mean_size", F.when(F.col("done"), F.col("lam")).otherwise(F.coalesce(bounded, half)).alias("lam"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.col("done").alias("met"))
+
+
+def _comparable(kind: T.DataType) -> bool:
+    """Whether a column of this type can be hashed."""
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, rate, row (its place in the input)."""
-    sized = written(docs.select(doc_id_column(docs, id_col).alias("doc_id"), doc_id_column(docs, source_col).cast("string").alias("source"), size_of(doc_id_column(docs, text_col)).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    rows = by_position(docs).withColumn("row", F.monotonically_increasing_id())
+    return _mixed(rows, docs, id_col, text_col, source_col, cap)
+
+
+def _mixed(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: float) -> DataFrame:
+    """rows: docs by position, and `row`."""
+    key, text, source = (F.col(place_of(docs, c)) for c in (id_col, text_col, source_col))
+    whole = F.xxhash64(*[F.col(f"c{k}") for k, f in enumerate(docs.schema.fields) if _comparable(f.dataType)])
+    sized = written(rows.select(key.alias("doc_id"), source.cast("string").alias("source"), size_of(text).alias("size"), whole.alias("content"), "row"), "sizes")
     histogram = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     per_source = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap)
     solved = written(tilts(histogram, per_source, cap), "tilts").withColumnRenamed("source", "of")
 
     x = F.col("size") / F.col("mean_size")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.coalesce(_rate(F.col("lam"), x, cap), F.lit(cap)))
-    rated = F.expr("xxhash64('mix', doc_id, size)")
-    unit = ((F.shiftrightunsigned(rated, 11) + F.lit(0.5)) / F.lit(float(1 << 53))).alias("unit")
-    rows = sized.join(solved, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "row", "source", "size", "source_size", "target", rate.alias("rate"), unit)
-    whole = F.floor(F.col("rate") + 1e-9)
-    rows = rows.withColumn("whole", whole.cast("long")).withColumn("part", F.greatest(F.col("rate") - whole, F.lit(0.0)))
-    # u / (u + part / (1 - part)) rises with the sequential Poisson key u / part, and lies in (0, 1).
-    key = F.when(F.col("part") > 1e-9, F.col("unit") / (F.col("unit") + F.col("part") / (1 - F.least(F.col("part"), F.lit(1 - 1e-9)))))
-    rows = rows.withColumn("key", key).withColumn("bin", F.floor(F.col("key") * BINS).cast("int"))
-
-    wanted = rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    need = wanted.select("source", (F.col("target") - F.col("sure")).alias("need"))
-    rough = _threshold(rows.filter("key is not null and size > 0"), need, "bin")
-    rough = written(rough, "threshold")
-    inside = rows.join(rough.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge")))
-    fine = inside.filter("key is not null and size > 0").withColumn("sub", F.floor((F.col("key") * BINS - F.col("bin")) * BINS).cast("int"))
-    second = _threshold(fine, rough.select("source", F.col("left").alias("need")), "sub").select(F.col("source").alias("of2"), F.col("edge").alias("edge2"))
-    edges = rough.select(F.col("source").alias("of"), "edge").join(second, F.col("of").eqNullSafe(F.col("of2")), "left").select("of", "edge", "edge2")
-    edges = written(edges, "edges")  # a row for each source; its size decides how it is joined
-    sub = F.floor((F.col("key") * BINS - F.col("bin")) * BINS)
-    chosen = F.coalesce((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (sub < F.col("edge2"))), F.lit(False))
-    rows = written(rows.join(edges, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", F.col("whole") + chosen.cast("long")).drop("of", "edge", "edge2"), "rates")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "content", "among"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    known = _among(sized).join(solved, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "row", "source", "size", "source_size", "target", rate.alias("rate"), unit.alias("unit"))
+    sure = F.floor(F.col("rate") + 1e-9)
+    known = known.withColumn("sure", sure.cast("long")).withColumn("part", F.greatest(F.col("rate") - sure, F.lit(0.0)))
+    # u / (u + part / (1 - part)) rises with the sequential Poisson quotient u / part, and lies in (0, 1).
+    quotient = F.when((F.col("part") > 1e-9) & (F.col("size") > 0), F.col("unit") / (F.col("unit") + F.col("part") / (1 - F.least(F.col("part"), F.lit(1 - 1e-9)))))
+    known = written(known.withColumn("quotient", quotient), "rates")
+    drop_written(sized)
+
+    picked, left = _below(known)
     for _ in range(FILL):  # the last words of a source: the document that comes nearest to them, one in each round
-        left = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left")).withColumnRenamed("source", "of")
-        fits = (F.col("key").isNotNull()) & (F.col("copies") == F.col("whole")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))
-        picked = rows.join(left, F.col("source").eqNullSafe(F.col("of"))).filter(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")), "unit", "row"))["row"].alias("picked"))
-        former, rows = rows, written(
-            rows.join(picked.drop("source"), F.col("row") == F.col("picked"), "left").withColumn("copies", F.col("copies") + F.col("picked").isNotNull().cast("long")).drop("picked"),
-            "rates",
-        )
-        drop_written(former)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "row")
+        fits = F.col("quotient").isNotNull() & (F.col("size") < 2 * F.col("left"))
+        near = known.join(left.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).filter(fits & ~F.coalesce(F.col("quotient") < F.col("under"), F.lit(False)))
+        near = near.join(picked.select("row"), "row", "left_anti")
+        found = written(near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "unit", "row", "size")).alias("x")).select("source", "x.row", "x.size"), "filled")
+        if found.isEmpty():
+            break
+        picked = picked.unionByName(found.select("row", F.lit(1).alias("more")))
+        gained = found.select(F.col("source").alias("of"), F.col("size").alias("gain"))
+        left = written(left.join(gained, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "under", (F.col("left") - F.coalesce("gain", F.lit(0))).alias("left")), "left")
+    edges = left.select(F.col("source").alias("of"), "under")
+    taken = known.join(edges, F.col("source").eqNullSafe(F.col("of")), "left").join(picked, "row", "left")
+    copies = F.col("sure") + F.coalesce((F.col("quotient") < F.col("under")).cast("long"), F.lit(0)) + F.coalesce(F.col("more"), F.lit(0)).cast("long")
+    return taken.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "row")
 
 
-def _threshold(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
-    """source, edge, left: bins below edge are taken whole and leave `left` words to find, in bin `edge`.
+def _among(sized: DataFrame) -> DataFrame:
+    """sized with `among`: the place of a row among the rows of equal content, from 0.
 
-    A source has BINS rows here at most.
+    The upper bits of a row's number are the part of the input that it was read in, so a group of equal rows is numbered in as
+    many tasks as the input had parts, and only its counts by part meet in one.
     """
-    sums = rows.groupBy("source", bin_col).agg(F.sum("size").alias("words")).withColumnRenamed("source", "of")
-    upto = Window.partitionBy("of").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = sums.withColumn("sum", F.sum("words").over(upto)).join(need, F.col("of").eqNullSafe(F.col("source")))
-    reached = F.col("sum") <= F.col("need")
-    edge = F.coalesce(F.max(F.when(reached, F.col(bin_col))) + 1, F.lit(0))
-    taken = F.coalesce(F.max(F.when(reached, F.col("sum"))), F.lit(0))
-    # The first bin that isn't taken whole may lie beyond empty ones.
-    beyond = F.min(F.when(~reached, F.col(bin_col)))
-    return run.groupBy("source").agg(F.coalesce(beyond, edge).alias("edge"), (F.max("need") - taken).alias("left"))
-
-
-def mixed(docs: DataFrame, **columns: str) -> DataFrame:
-    """The rows of docs, each repeated by its copies (0 or more); the place in the input joins them, so docs has to be stable."""
-    made = mix(docs, **columns).select(F.col("row").alias("row_"), "copies")
-    held = docs.select(F.struct(*[doc_id_column(docs, c) for c in docs.columns]).alias("held"), F.monotonically_increasing_id().alias("row"))
-    repeated = held.join(made.filter("copies > 0"), F.col("row") == F.col("row_")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select("held.*")
+    rows = sized.withColumn("part", F.shiftright("row", 33))
+    counts = rows.groupBy("content", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("content").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.sum("n").over(before)).filter("offset is not null").select("content", "part", "offset")
+    own = F.row_number().over(Window.partitionBy("content", "part").orderBy("row")) - 1
+    return rows.withColumn("own", own).join(offsets, ["content", "part"], "left").withColumn("among", F.col("own") + F.coalesce("offset", F.lit(0))).drop("own", "offset", "part")
+
+
+def _below(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, more) of the rows beyond `under` that still are taken, and (source, under, left): all quotients below `under` are
+    taken, and `left` words are still to find.
+
+    Each round looks at the rows between the bounds of a source only, in `BINS` bins, until the bin with the threshold has
+    `FEW` rows; those are put in order.
+    """
+    wanted = known.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("sure") * F.col("size")).alias("sure_words"), F.min("quotient").alias("low"), F.max("quotient").alias("high"), F.count("quotient").alias("n"))
+    state = written(wanted.select("source", (F.col("target") - F.col("sure_words")).alias("need"), F.coalesce("low", F.lit(0.0)).alias("low"), (F.coalesce("high", F.lit(0.0)) + F.lit(1e-15)).alias("high"), "n"), "threshold")
+    asked = known.filter("quotient is not null").select("row", F.col("source").alias("of"), "size", "quotient")
+    for _ in range(DEEPEST):
+        if state.filter(F.col("n") > FEW).isEmpty():
+            break
+        width = (F.col("high") - F.col("low")) / BINS
+        inside = asked.join(state, F.col("of").eqNullSafe(F.col("source"))).filter("quotient >= low and quotient < high")
+        bins = inside.groupBy("of", F.least(F.floor((F.col("quotient") - F.col("low")) / width), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        upto = Window.partitionBy("of").orderBy("bin")  # a source has BINS rows here at most
+        runs = bins.withColumn("sum", F.sum("words").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        runs = runs.join(state, F.col("of").eqNullSafe(F.col("source")))
+        over = F.min(F.when(F.col("sum") > F.col("need"), F.struct("bin", "sum", "words", "rows")))
+        found = runs.groupBy("source", "need", "low", "high", "n").agg(over.alias("x"), F.sum("words").alias("all"))
+        # Where no bin goes beyond the need, all rows are taken and none is left to order.
+        cut = F.col("x").isNotNull()
+        new = found.select(
+            "source",
+            F.when(cut, F.col("need") - (F.col("x.sum") - F.col("x.words"))).otherwise(F.col("need") - F.col("all")).alias("need"),
+            F.when(cut, F.col("low") + F.col("x.bin") * width).otherwise(F.col("high")).alias("low"),
+            F.when(cut & (F.col("x.bin") < BINS - 1), F.greatest(F.col("low") + (F.col("x.bin") + 1) * width, (F.col("low") + F.col("x.bin") * width) * (1 + 4e-16))).otherwise(F.col("high")).alias("high"),
+            F.when(cut, F.col("x.rows")).otherwise(0).alias("n"),
+        )
+        empty = state.join(found.select(F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of")), "left_anti")
+        former, state = state, written(new.unionByName(empty), "threshold")
+        drop_written(former)
+    inside = asked.join(state, F.col("of").eqNullSafe(F.col("source"))).filter("quotient >= low and quotient < high")
+    order = Window.partitionBy("of").orderBy("quotient", "size", "row")
+    run = inside.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("sum") <= F.col("need"))
+    run = written(run.select("row", F.col("of").alias("source"), "size"), "ordered")
+    edges = state.select("source", F.col("low").alias("under"))
+    below = asked.join(edges, F.col("of").eqNullSafe(F.col("source"))).filter("quotient < under").select("source", "size")
+    spent = below.unionByName(run.select("source", "size")).groupBy("source").agg(F.sum("size").alias("spent")).withColumnRenamed("source", "of")
+    needs = wanted.select(F.col("source").alias("at"), (F.col("target") - F.col("sure_words")).alias("need"))
+    left = edges.join(needs, F.col("source").eqNullSafe(F.col("at"))).join(spent, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "under", (F.col("need") - F.coalesce("spent", F.lit(0))).alias("left"))
+    return run.select("row", F.lit(1).alias("more")), written(left, "left")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> DataFrame:
+    """The rows of docs, each repeated by its copies (0 or more). docs is evaluated once and written with its row numbers."""
+    rows = numbered(docs, "rows")
+    made = _mixed(rows, docs, id_col, text_col, source_col, cap).select("row", "copies").filter("copies > 0")
+    return named_again(rows.join(made, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)

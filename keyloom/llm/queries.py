@@ -12,12 +12,12 @@ from keyloom.llm.common import table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.held_out_column(docs))
+    return langid.identify(docs, langid.held_out)
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm.lm_scores(docs, lm.held_out_column(docs))
+    return lm.lm_scores(docs, lm.held_out)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

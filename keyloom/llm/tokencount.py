@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import doc_id_column, texts_of
+from keyloom.llm.common import picked, texts_of
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
     """One row per document: doc_id, n_pretokens, n_distinct, n_tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     key = hash(path)
-    rows = docs.select(doc_id_column(docs, id_col).alias("doc_id"), doc_id_column(docs, text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keyloom.llm import tokencount

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id_column, drop_written, written
+from keyloom.llm.common import drop_written, picked, written
 
 #: (host/path, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -102,8 +102,8 @@ def by_host(rows: DataFrame, facts: DataFrame, hosts: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (of the host)."""
     rules = RULES if rules is None else rules
-    url = doc_id_column(pages, url_col)
-    rows = pages.select(doc_id_column(pages, id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), doc_id_column(pages, html_col).alias("html"))
+    url = F.col("url")
+    rows = picked(pages, page_id=id_col, url=url_col, html=html_col).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
     slim = written(rows.drop("html"), "urls")
     hosts = written(slim.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     edges = written(edges_of(rows.select("host", "html"), hosts.select("host")), "links")

@@ -37,27 +37,68 @@ def empty(spark):
 
 def test_empty_tables(spark, empty):
     no_pages, bench = spark.createDataFrame([], "page_id long, url string, html string"), spark.createDataFrame([], "item_id long, text string")
-    outs = [langid.identify(empty, langid.held_out_column(empty)), lm.lm_scores(empty, lm.held_out_column(empty)), jaccard.jaccard_components(empty), licenses.scan(empty), dedup.exact_dedup(empty), tokencount.token_counts(empty), decontam.contaminated(empty, bench), htmltext.extract(no_pages), urlgraph.judge(no_pages), mixing.mix(empty)]
+    outs = [langid.identify(empty, langid.held_out), lm.lm_scores(empty, lm.held_out), jaccard.jaccard_components(empty), licenses.scan(empty), dedup.exact_dedup(empty), tokencount.token_counts(empty), decontam.contaminated(empty, bench), htmltext.extract(no_pages), urlgraph.judge(no_pages), mixing.mix(empty)]
     assert [x.count() for x in outs] == [0] * 10
 
 
 def test_language_by_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = langid.identify(docs, langid.held_out_column(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    got = langid.identify(docs, langid.held_out).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
 
 
 def test_language_edges(docs):
-    got = [r for r in langid.identify(docs, langid.held_out_column(docs)).collect()]
+    got = [r for r in langid.identify(docs, langid.held_out).collect()]
     assert len(got) == docs.count()
     assert sum(r.lang_pred == "und" for r in got) == 3 and all(r.rejected for r in got if r.lang_pred == "und")
 
 
-def test_language_sample_is_bounded_under_repeated_ids(spark):
-    rows = [(None, f"wort{k} haus baum", "de") for k in range(30)] + [(1, f"tree house {k}", "en") for k in range(30)]
-    slim = spark.createDataFrame(rows, "key long, text string, lang string")
-    assert {k: v.count(b"  ") + 1 for k, v in langid.learn(slim, sample_rows=7).items()} == {"de": 7, "en": 7}
+def test_language_sample_is_bounded(spark):
+    """By different texts, whatever their ids; equal texts count once, and a label with little text is learnt too."""
+    rows = [(f"wort{k % 30} haus", "de") for k in range(300)] + [(f"tree house {chr(97 + k % 26)}{k}", "en") for k in range(60)] + [("ja", "zz"), ("blumenkohl und rosenkohl", "yy"), (None, "de"), ("", "en"), ("12", "nn"), ("egal", None)]
+    got = langid.learn(spark.createDataFrame(rows, "text string, lang string"), sample_rows=7)
+    assert set(got) == {"de", "en", "yy", "zz"} and len(got["zz"]) >= 8
+    assert set(got["de"].split()) == {b"wort", b"haus"} and len(got["en"].split()) <= 2 + 7
+    assert langid.classifier(got)("rosenkohl oder blumenkohl")[0] == "yy"
+
+
+def plain_language(dictionaries, text):
+    """The same by a loop over fresh encoders, each one asked for the frames of its own parameters."""
+    import zstandard
+
+    words = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+    if not words:
+        return "und"
+    data = f" {words} ".encode()
+
+    def size(content, **how):
+        p = zstandard.ZstdCompressionParameters(window_log=19, write_content_size=0, write_checksum=0, write_dict_id=0, **how)
+        return sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+
+    fast = dict(hash_log=18, chain_log=18, search_log=2, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2)
+    slow = dict(hash_log=18, chain_log=19, search_log=6, min_match=3, target_length=256, strategy=zstandard.STRATEGY_BTULTRA2)
+    sizes = {lang: size(c, **fast) for lang, c in dictionaries.items()}
+    first, second = sorted(sizes.values())[:2]
+    if second - first < 4:
+        sizes = {lang: n + size(dictionaries[lang], **slow) for lang, n in sizes.items()}
+    return min(sizes, key=lambda k: (sizes[k], k))
+
+
+def test_language_against_fresh_encoders(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    slim = docs.withColumn("out", langid.held_out(docs["doc_id"])).filter("not out").select("text", "lang")
+    dictionaries = langid.learn(slim)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.held_out).collect()}
+    assert got == {r.doc_id: plain_language(dictionaries, r.text) for r in docs.collect()}
+
+
+def test_language_rejects_narrow_margins_and_ties():
+    classify = langid.classifier({"aa": b" kata mela ", "bb": b" kata mela "})
+    assert classify("kata mela kata")[0] == "aa" and classify("kata mela kata")[3]
+    known = langid.classifier({"aa": b" the house is near the old river and the long road ", "bb": b" das haus steht am alten fluss und der langen strasse "})
+    assert not known("the old house is near the river")[3] and not known("das alte haus am fluss")[3]
+    assert known("zzz " * 4000)[3]
 
 
 def test_lm_base_and_filter(docs):
@@ -66,14 +107,14 @@ def test_lm_base_and_filter(docs):
     c = Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
     n, v = sum(c.values()), len(c)
     want = Counter((i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
-    got = lm.lm_scores(docs, lm.held_out_column(docs)).collect()
+    got = lm.lm_scores(docs, lm.held_out).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
 
 
 def test_lm_beyond_the_broadcast_size(docs):
-    whole = sorted(map(str, lm.lm_scores(docs, lm.held_out_column(docs)).collect()))
-    assert sorted(map(str, lm.lm_scores(docs, lm.held_out_column(docs), filter_bytes=0).collect())) == whole
+    whole = sorted(map(str, lm.lm_scores(docs, lm.held_out).collect()))
+    assert sorted(map(str, lm.lm_scores(docs, lm.held_out, filter_bytes=0).collect())) == whole
 
 
 def test_lm_chunk_read_in_parts():
