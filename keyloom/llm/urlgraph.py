@@ -2,7 +2,8 @@
 
 Edges: host -> host of every absolute link in a page (equal links of one host count once), and host -> the nearest parent
 domain that is a host too. Trust is a personalised PageRank along the edges from the hosts with allowed pages (in proportion
-to these), distrust one along the reversed edges from the hosts with blocked pages. A host is blocked if its trust is under
+to these), distrust one along the reversed edges from the hosts with blocked pages; both go on until they have settled, however
+long the paths are. A host is blocked if its trust is under
 `SHARE` of trust and distrust together; a host that neither reaches is allowed.
 
 Rules and ranks are computed once for each host. Pages join them by host; the verdicts of hosts with more than one page in
@@ -25,8 +26,12 @@ from keyloom.llm.common import drop_written, picked, written
 
 #: (host/path, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-DAMPING, ROUNDS, SHARE = 0.85, 20, 0.5
+DAMPING, SHARE = 0.85, 0.5
+#: Ranks have settled when a round changes no host's rank by more than this share of it; rounds at most, beyond which it is an error.
+TOLERANCE, ROUNDS = 1e-6, 100_000
 HOT_PARTS = 2_000
+#: A round's columns: what a rank is multiplied by on its way, and what comes of it.
+RANKS = [("trust", "t", "trust"), ("distrust", "d", "distrust"), ("trust", "own", "was_trust"), ("distrust", "own", "was_distrust")]
 #: Rounds between two written tables.
 CUT = 5
 HREF = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -68,24 +73,36 @@ def edges_of(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(up).filter("src <> dst").distinct()
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(src, dst) and (host, trusted, blocked), both seed columns of sum 1 or 0 -> host, trust, distrust.
 
-    Mass that comes to a host without further links is lost.
+    Mass that comes to a host without further links is lost. A host has one row in the ranks, so the join that follows a hub's
+    many edges can be split, and what goes to one host is added up before the shuffle.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("n")).withColumnRenamed("src", "of")
     into = edges.groupBy("dst").agg(F.count("*").alias("n")).withColumnRenamed("dst", "of")
-    along = edges.join(out, F.col("src") == F.col("of")).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.lit(damping) / F.col("n")).alias("t"), F.lit(0.0).alias("d"))
-    against = edges.join(into, F.col("dst") == F.col("of")).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("t"), (F.lit(damping) / F.col("n")).alias("d"))
-    ways = written(along.unionByName(against), "ways")
+    along = edges.join(out, F.col("src") == F.col("of")).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.lit(damping) / F.col("n")).alias("t"), F.lit(0.0).alias("d"), F.lit(0.0).alias("own"))
+    against = edges.join(into, F.col("dst") == F.col("of")).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("t"), (F.lit(damping) / F.col("n")).alias("d"), F.lit(0.0).alias("own"))
+    # A way from each host to itself carries the rank that it had, so a round reads the ranks once.
+    hosts = seeds.select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+    stay = hosts.select(F.col("host").alias("a"), F.col("host").alias("b"), F.lit(0.0).alias("t"), F.lit(0.0).alias("d"), F.lit(1.0).alias("own"))
+    ways = written(along.unionByName(against).unionByName(stay), "ways")
     base = written(seeds.select("host", ((1 - damping) * F.col("trusted")).alias("trust"), ((1 - damping) * F.col("blocked")).alias("distrust")), "seeds")
-    now = base
-    for k in range(rounds):
-        moved = now.join(ways, F.col("host") == F.col("a")).select(F.col("b").alias("host"), (F.col("trust") * F.col("t")).alias("trust"), (F.col("distrust") * F.col("d")).alias("distrust"))
-        now = moved.unionByName(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % CUT == CUT - 1:
-            now = written(now, "ranks")
-    return now
+    start = base.withColumn("was_trust", F.lit(0.0)).withColumn("was_distrust", F.lit(0.0))
+    now, held = base, None
+    for _ in range(0, ROUNDS, CUT):
+        for _ in range(CUT):
+            moved = now.join(ways, F.col("host") == F.col("a")).select(F.col("b").alias("host"), *[(F.col(x) * F.col(w)).alias(name) for x, w, name in RANKS])
+            now = moved.unionByName(start).groupBy("host").agg(*[F.sum(name).alias(name) for _, _, name in RANKS])
+        former, held = held, written(now, "ranks")
+        if former is not None:
+            drop_written(former)
+        now = held
+        # Ranks only grow from round to round, to the sum over all paths; a host reached for the first time has changed wholly.
+        grown = lambda x: F.col(x) - F.col(f"was_{x}") > tolerance * F.col(x)
+        if now.filter(grown("trust") | grown("distrust")).isEmpty():
+            return now.select("host", "trust", "distrust")
+    raise RuntimeError(f"the ranks have not settled in {ROUNDS} rounds")
 
 
 def by_host(rows: DataFrame, facts: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -117,7 +134,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     share = lambda name, sum_: (F.coalesce(name, F.lit(0.0)) / (sum_ or 1.0)).alias(name)
     seeds = counts.select("host", share("allowed", total[0]), share("blocked", total[1])).withColumnRenamed("allowed", "trusted")
     ranked = written(ranks(edges, seeds).select(F.col("host").alias("of"), "trust", "distrust"), "ranked")
-    drop_written(slim)
+    for x in (slim, edges):
+        drop_written(x)
     out = by_host(ruled, ranked, hosts).fillna(0.0, ["trust", "distrust"])
     mass = F.col("trust") + F.col("distrust")
     verdict = F.when(F.col("rule_verdict").isNotNull(), F.col("rule_verdict")).when((mass > 0) & (F.col("trust") < SHARE * mass), F.lit("block")).otherwise(F.lit("allow"))
