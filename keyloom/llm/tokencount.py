@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from keyloom.llm.common import picked, texts_of
@@ -103,13 +104,15 @@ class Trie:
         return -states[-1][1]
 
 
-_HELD: dict[int, Trie] = {}
+#: A worker's trie, by the digest of its vocabulary; one at a time.
+_HELD: dict[str, Trie] = {}
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_pretokens, n_distinct, n_tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    key = hash(path)
+    pieces = vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    key = xxhash.xxh3_128_hexdigest(repr(list(pieces.items())).encode("utf-8", "surrogatepass"))  # not the path: its file may change
     rows = picked(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +120,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
 
         trie = tokencount._HELD.get(key)
         if trie is None:
+            tokencount._HELD.clear()
             trie = tokencount._HELD[key] = tokencount.Trie(shared.value)
         for batch in batches:
             total, distinct, tokens = [], [], []
