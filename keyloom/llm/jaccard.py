@@ -39,6 +39,8 @@ PERCENT = 80
 COUNT_AT, BUCKET = 4_000_000, 8_000_000
 #: A cell is ranked if this many sets fall there; cells ranked, at most: rarer ones beyond stay unranked.
 OFTEN, RANKED = 4, 2_000_000
+#: Zones of a set in which positions are told apart when blocks are skipped.
+ZONES = 40
 #: 64-bit words of the bitmap of classes whose sets are read again.
 BITMAP = 1 << 21
 
@@ -271,8 +273,8 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     texts: one column.
     """
     first = F.min(F.struct("pos", "rep", "n"))
-    # An unranked shingle is in few sets, so its list is short: one shuffle and a window. The others' lists may hold many of all
-    # rows: counts are combined before the shuffle, and the join's large partitions can be split.
+    # An unranked shingle's list holds at most one in RANKED of all entries (else its cell were ranked): one shuffle and a window.
+    # The others' lists may hold many of all rows: counts are combined before the shuffle, and the join's large partitions can be split.
     by = Window.partitionBy("shingle")
     cold = entries.filter("not hot").select("shingle", "rep", "n", "pos").repartition(F.col("shingle"))
     cold = cold.withColumn("k", F.count("*").over(by)).withColumn("lead", first.over(by)).filter("k > 1").select("shingle", "rep", "n", "pos", "k", "lead")
@@ -290,19 +292,19 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     linked = F.coalesce(F.col("overlap") * (100 + percent) >= needed(F.col("n"), F.col("lead_n"), percent), F.lit(False)) | (F.col("rep") == F.col("lead"))
     held = held.withColumn("linked", linked).withColumn("overlap", F.when(F.col("rep") == F.col("lead"), F.col("n")).otherwise(F.col("overlap")))
     held = written(held, "held")
-    # Blocks: what links to the leader and what doesn't, by power of 1.25 of the size.
+    # Blocks: what links to the leader and what doesn't, by power of 1.25 of the size and by zone of the position in the set.
     block = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    blocked = held.withColumn("block", block)
-    blocks = blocked.groupBy("shingle", "linked", "block").agg(F.min("pos").alias("b_pos"), F.min("n").alias("b_min"), F.max("n").alias("b_max"), F.max(F.col("n") - F.coalesce("overlap", F.lit(0))).alias("b_rest"), F.max(F.coalesce(F.col("overlap"), F.col("n"))).alias("b_o"))
+    blocked = held.withColumn("block", block).withColumn("zone", F.floor(F.col("pos") * ZONES / F.col("n")).cast("int"))
+    blocks = blocked.groupBy("shingle", "linked", "block", "zone").agg(F.min("pos").alias("b_pos"), F.min("n").alias("b_min"), F.max("n").alias("b_max"), F.max(F.col("n") - F.coalesce("overlap", F.lit(0))).alias("b_rest"), F.max(F.coalesce(F.col("overlap"), F.col("n"))).alias("b_o"))
     loose = blocked.filter("not linked")
     near = F.abs(F.col("e.block") - F.col("b.block")) <= 1
     fits = (1 + F.least(F.col("e.n") - F.col("e.pos") - 1, F.col("b_max") - F.col("b_pos") - 1)) * (100 + percent) >= needed(F.col("e.n"), F.col("b_min"), percent)
     derived = (F.least(F.col("e.overlap"), F.col("b_o")) + F.least(F.col("e.n") - F.col("e.overlap"), F.col("b_rest"))) * (100 + percent) >= needed(F.col("e.n"), F.col("b_min"), percent)
     ways = loose.alias("e").join(blocks.alias("b"), F.col("e.shingle") == F.col("b.shingle")).filter(near & fits & F.coalesce(derived, F.lit(True)))
-    ways = ways.select(F.col("e.shingle").alias("shingle"), F.col("e.rep").alias("x"), F.col("e.n").alias("x_n"), F.col("e.pos").alias("x_pos"), F.col("e.overlap").alias("x_o"), F.col("b.linked").alias("to_linked"), F.col("b.block").alias("to_block"))
-    y = blocked.select("shingle", F.col("linked").alias("to_linked"), F.col("block").alias("to_block"), F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("overlap").alias("y_o"))
+    ways = ways.select(F.col("e.shingle").alias("shingle"), F.col("e.rep").alias("x"), F.col("e.n").alias("x_n"), F.col("e.pos").alias("x_pos"), F.col("e.overlap").alias("x_o"), F.col("b.linked").alias("to_linked"), F.col("b.block").alias("to_block"), F.col("b.zone").alias("to_zone"))
+    y = blocked.select("shingle", F.col("linked").alias("to_linked"), F.col("block").alias("to_block"), F.col("zone").alias("to_zone"), F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("overlap").alias("y_o"))
     bound = (F.least("x_o", "y_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("y_n") - F.col("y_o"))) * (100 + percent) >= needed(F.col("x_n"), F.col("y_n"), percent)
-    rest = ways.join(y, ["shingle", "to_linked", "to_block"]).filter(
+    rest = ways.join(y, ["shingle", "to_linked", "to_block", "to_zone"]).filter(
         (F.col("x") != F.col("y")) & room(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), percent) & F.coalesce(bound, F.lit(True))
     )
     pair = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
