@@ -3,7 +3,8 @@
 Canonical form: lower case; copyright lines go, and a title in the first line; equivalent spellings become one; everything but
 letters and digits becomes one space. So a licence is found whatever its case, punctuation, line breaks, title or copyright
 holder. A copyright line begins with © or with "copyright" or "(c)" and a year (or a place for one), with "copyright" and the
-other mark, or with "Copyright" and a capitalised holder; or it is "all rights reserved" alone. Lines that go on with the
+other mark, or with "Copyright" and a capitalised holder; or it is "all rights reserved" alone. It goes up to its end, or to the
+sentence of a licence that follows in it ("Copyright 2020 A. Person. Permission is hereby granted ..."). Lines that go on with the
 words of a licence ("copyright notice and ...") stay. The units of a document are its whole text and each of its lines; a unit matches a licence if the whole
 canonical texts are equal (SHA-256).
 
@@ -34,10 +35,13 @@ SPELLINGS = [
     ("https://", ""),
     ("&", " and "),
 ]
-# Copyright lines, for Java and Python alike; in the second, no word that licences use after "copyright" is a holder.
+# What the sentences that follow a copyright notice begin with; copyright lines, for Java and Python alike; in the second, no word that licences use after "copyright" is a holder.
+_OPENERS = "permission is hereby|permission to use|redistribution and use|licen[sc]ed under|released under|this work is licen[sc]ed|this software is|the software is"
+# Up to the line's end, or to a sentence of the licence that follows in the same line.
+_REST = rf"[^\n]*?(?=(?<=\.)[ \t]+(?i:{_OPENERS})|(?![^\n]))"
 COPYRIGHT = [
-    r"(?im)^[ \t]*(?:copyright[ \t:,-]*(?:\(c\)|©|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|©|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|all rights reserved[^\w\n]*(?=\n|$))[^\n]*",
-    r"(?m)^[ \t]*(?:Copyright|COPYRIGHT)[ \t]+(?:by[ \t]+|BY[ \t]+)?(?!(?i:(?:notice|holder|owner|law|licen[sc]e|permission|statement|disclaimer|interest|claim|patent|treat(?:y|ie)|act|right|protection|infringement)s?|and|or|in|on|is|are|of|to|for|as|by|from|under|with|that|which|this|shall|may|be)\b)[A-Z][^\n]*",
+    r"(?im)^[ \t]*(?:copyright[ \t:,-]*(?:\(c\)|©|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|©|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d\b|[<\[{(]?(?:year|yyyy)\b)|all rights reserved[^\w\n]*(?=\n|$))" + _REST,
+    r"(?m)^[ \t]*(?:Copyright|COPYRIGHT)[ \t]+(?:by[ \t]+|BY[ \t]+)?(?!(?i:(?:notice|holder|owner|law|licen[sc]e|permission|statement|disclaimer|interest|claim|patent|treat(?:y|ie)|act|right|protection|infringement)s?|and|or|in|on|is|are|of|to|for|as|by|from|under|with|that|which|this|shall|may|be)\b)[A-Z]" + _REST,
 ]
 # A title in the first line, before other lines.
 TITLE = r"\A\s*(?:the )?(?:mit|expat|isc|modified bsd|new bsd|simplified bsd|bsd(?: [23]-clause)?(?: \"(?:new|revised|simplified)\"(?: or \"(?:new|revised)\")?)?|[23]-clause bsd) licen[sc]e(?: \((?:mit|expat|isc)\))?[:.]?[ \t\r]*\n"
