@@ -213,6 +213,7 @@ def test_whole_licenses_whatever_their_lines(spark):
     # The lines on which the finding rests, as the licence wraps them.
     at = isc.index("copyright notice and this")
     rows += [("ISC", isc[: at - 1] + "\n" + isc[at:]), ("MIT", mit.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").upper())]
+    rows += [("MIT", "Copyright 2020 A. B. Person, Inc. All rights reserved. " + mit), ("ISC", "Copyright The Foo Authors. " + isc), ("BSD-2-Clause", "(c) 2019-2021 X. " + licenses.whole_texts()[0][1])]
     rows += [(None, "Copyright notice."), (None, "MIT License"), (None, mit + " And more.")]
     found = licenses.scan(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, text string")).collect()
     got = {r.doc_id: r for r in found}
@@ -309,8 +310,17 @@ def test_alignment_against_a_table():
         ("<p style='color:red;display:none'>x</p><p STYLE=display:none>y</p><p style=\"font-family:'A';visibility : Hidden !important\">z</p>q", "q"),
         ('<p HIDDEN="">x</p><p class=a hidden>y</p><p hidden=hidden>z</p><p hidden=until-found>q</p><div type=hidden>r', "q\n\nr"),
         ('<p style="display:none;display:block">a</p><ol title="x start=7" start=3><li>b', "a\n\n3. b"),
-        # Beyond DEPTH hidden elements stay hidden, and each end tag closes its own element.
-        ("<div>" * 600 + "a<script>x</script> <b hidden>y<i>z</i></b><p hidden>y<p>b<style>z</style>", "a b"),
+        # At any depth hidden elements stay hidden, and each end tag closes its own element.
+        ("<div>" * 600 + "a<script>x</script> <b hidden>y<i>z</i></b><p hidden>y<p>b<style>z</style>", "a\n\nb"),
+        ("<div>" * 60000 + "<p hidden>SECRET</p>ok", "ok"),
+        ("<p style='visibility:hidden'>x<b style='visibility:visible'>a</b><i>y</i></p>b", "a\n\nb"),
+        ("<div style=display:none>x<b style='visibility:visible'>y</b></div>b<p hidden style='display:block'>c", "b\n\nc"),
+        ("<svg><title>x</title><rect/>y<text>a<tspan>b</tspan></text><defs><text>z</text></defs><text>c</text></svg><math><mi>x</mi><mo>+</mo><annotation>y</annotation></math>", "ab\nc\nx+"),
+        ("<style>.x, p#k{display:none} .x.y{display:block} @media print{b{display:none}} i>u{display:none} em{visibility:hidden}</style><p class='z x'>no<p class='x y'>a<p id=k>no<b>b</b> <i><u>c</u></i><em>no</em>", "a"),
+        ("<style>p{display:none!important}</style><style media=print>b{display:none}</style><p style='display:block'>no</p><b>b</b><!-- <style>b{display:none}</style> --><dialog>no</dialog><dialog open>c", "b\nc"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f<tr><td rowspan=2>g<td>h<td>i<tr><td>j<td>k</table>", "ab    c\nd  e  f\ng  h  i\n   j  k"),
+        ("<table><tr><td colspan=2>a long one<td>c<tr><td>d<td>e<td>f</table>", "a long one  c\nd  e        f"),
+        ("<table><tr><td>a" * 100 + "z", "\n".join(["a"] * 100 + ["z"]).replace("a\nz", "az")),
         ("<div hidden>" + "<div>" * 600 + "</div>" * 600 + "x</div>q", "q"),
         ("<div hidden>" + "<b>" * 600 + "x</div>q", "q"),
     ],
@@ -337,7 +347,7 @@ def test_url_rules_and_ranks(spark):
     for kind, s in seed.items():
         e = edges if kind == "t" else {(b, a) for a, b in edges}
         now = {h: 0.15 * s.get(h, 0) for h in hosts}
-        for _ in range(20):
+        for _ in range(300):
             now = {h: 0.15 * s.get(h, 0) + sum(0.85 * now[a] / sum(x == a for x, _ in e) for a, b in e if b == h) for h in hosts}
         rank[kind] = now
     assert {r.page_id for r in urlgraph.judge(spark.createDataFrame([(k, "http://hot.net/a", None) for k in range(5000)] + [(5000 + k, f"http://h{k}.org/", None) for k in range(50)], "page_id long, url string, html string")).filter("(host = 'hot.net') = (verdict = 'block')").collect()} == set(range(5050))
@@ -390,3 +400,128 @@ def test_pipeline_keeps_columns(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() == out.select("doc_id").distinct().count() > 100
+
+
+def test_url_ranks_settle_on_long_paths_and_hubs(spark):
+    """A chain of 60 hosts, a cycle, a hub with many links and random edges, against a matrix that is solved at once."""
+    rng = random.Random(4)
+    edges = {(f"c{k}", f"c{k + 1}") for k in range(60)} | {("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("c60", "r0")}
+    edges |= {("hub", f"h{k}") for k in range(40)} | {(f"h{k}", f"h{rng.randrange(40)}") for k in range(40)}
+    edges = sorted({e for e in edges if e[0] != e[1]})
+    hosts = sorted({x for e in edges for x in e} | {"alone"})
+    at = {h: k for k, h in enumerate(hosts)}
+    seeds = {"c0": (0.4, 0.0), "hub": (0.6, 0.3), "r2": (0.0, 0.7)}
+    want = []
+    for column, ways in ((0, edges), (1, [(b, a) for a, b in edges])):
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in ways:
+            m[at[b], at[a]] = 0.85 / sum(x == a for x, _ in ways)
+        want.append(np.linalg.solve(np.eye(len(hosts)) - m, np.array([0.15 * seeds.get(h, (0, 0))[column] for h in hosts])))
+    rows = [(h, *seeds.get(h, (0.0, 0.0))) for h in hosts]
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.ranks(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(rows, "host string, trusted double, blocked double")).collect()}
+    assert set(got) == set(hosts)
+    for h in hosts:
+        assert got[h] == pytest.approx((want[0][at[h]], want[1][at[h]]), rel=1e-4, abs=1e-30)
+    assert got["r0"][0] > 0 and got["c0"][1] > 0  # sixty links away
+
+
+def test_token_counts_follow_the_file(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "abc abc")], "doc_id long, text string")
+    held = [{"\u2581abc": -1.0}, {"\u2581": -1.0, "a": -1.0, "b": -1.0, "c": -1.0}]
+    for pieces, want in zip(held, (2, 8), strict=True):
+        monkeypatch.setattr(tokencount, "vocabulary", lambda path, pieces=pieces: pieces)
+        assert [r.n_tokens for r in tokencount.token_counts(docs, "same").collect()] == [want]
+
+
+def test_licenses_of_odd_rows(spark):
+    mit = [x for name, x in licenses.KNOWN if name == "MIT"][-1]
+    long = "word " * 300_000 + "\nSPDX-License-Identifier: MIT"
+    rows = [(None, mit, 1), (None, mit, 2), (3, mit, 3), (3, long, 4), (4, "SPDX-License-Identifier: MIT\n" * 3, 5), (5, "!!\n--", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, TEXT int")
+    got = sorted(((r.doc_id or 0, r.license or "", r.notices, r.n_notices) for r in licenses.scan(df).collect()))
+    assert got == [(0, "MIT", "MIT", 1), (0, "MIT", "MIT", 1), (3, "", "MIT", 1), (3, "MIT", "MIT", 1), (4, "", "MIT", 3), (5, "", "", 0)]
+
+
+class Page:
+    """A random page, the words that it shows, and its tables' grids of words, made side by side."""
+
+    def __init__(self, seed):
+        self.rng, self.n, self.words, self.grids = random.Random(seed), 0, [], []
+        self.html = self.blocks(3, True, True)
+
+    def word(self, displayed, visible):
+        self.n += 1
+        word = f"w{self.n}x" + "y" * self.rng.randrange(5)
+        if displayed and visible:
+            self.words.append(word)
+        return word
+
+    def kind(self, displayed, visible):
+        """An attribute, and what it makes of being displayed and visible."""
+        ways = [("", displayed, visible)] * 5 + [(" hidden", False, visible), (" style='display:none'", False, visible), (" style=visibility:hidden", displayed, False), (' style="visibility: visible"', displayed, True), (" class='a off'", False, visible), (" title='hidden off'", displayed, visible)]
+        return self.rng.choice(ways)
+
+    def blocks(self, depth, displayed, visible):
+        out = []
+        for _ in range(self.rng.randint(1, 4)):
+            raw, d, v = self.kind(displayed, visible)
+            what = self.rng.choice(["p", "div", "ul", "table", "h2", "span"] if depth else ["p", "h2"])
+            if what == "span" and out and out[-1].startswith("<p") and not out[-1].endswith("</p>"):
+                what = "h2"  # a span would go on within the paragraph
+            if what in ("p", "h2", "span"):
+                out.append((" " if what == "span" else "") + f"<{what}{raw}>" + " ".join(self.word(d, v) for _ in range(3)) + (f"</{what}>" if what != "p" or self.rng.random() < 0.5 else ""))
+            elif what == "div":
+                out.append(f"<div{raw}>{self.blocks(depth - 1, d, v)}</div>")
+            elif what == "ul":
+                items = "".join(f"<li>{self.word(d, v)}" + (self.blocks(depth - 1, d, v) if self.rng.random() < 0.3 else "") for _ in range(3))
+                out.append(f"<ul{raw}>{items}</ul>")
+            else:
+                out.append(self.table(raw, d, v))
+        return "".join(out)
+
+    def table(self, raw, displayed, visible):
+        wide, grid, rows, free = self.rng.randint(1, 4), [], [], {}
+        for r in range(4):
+            cells, c = [], 0
+            grid.append([])
+            while c < wide:
+                if free.get(c, 0) > r:
+                    c += 1
+                    continue
+                run = 1
+                while c + run < wide and free.get(c + run, 0) <= r and self.rng.random() < 0.2:
+                    run += 1
+                high = self.rng.choice([1, 1, 1, 2])
+                for k in range(c, c + run):
+                    free[k] = r + high
+                word = self.word(displayed, visible)
+                grid[-1].append((c, word))
+                cells.append(f"<td colspan={run} rowspan='{high}'>{word}")
+                c += run
+            rows.append("<tr>" + "".join(cells))
+        if displayed and visible:
+            self.grids.append(grid)
+        return f"<table{raw}>{''.join(rows)}</table>"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_of_generated_pages(seed):
+    page = Page(seed)
+    text = htmltext.render("<style>.off{display:none}</style>" + page.html)
+    assert text.replace("- ", " ").split() == page.words
+    lines = text.split("\n")
+    place = {w: (k, line.index(w)) for k, line in enumerate(lines) for w in line.replace("- ", "  ").split()}
+    for grid in page.grids:
+        starts = {}
+        for row in grid:
+            assert len({place[w][0] for _, w in row}) <= 1  # a row is a line
+            for column, w in row:
+                starts.setdefault(column, set()).add(place[w][1])
+        assert all(len(x) == 1 for x in starts.values())  # and a column a place in it
+
+
+def test_html_rows(spark):
+    rows = [(None, "<p>a", 1), (1, None, 2), (1, "<p>a", 3), (1, "<p>a", 4), (2, "", 5)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, html string, HTML int")).collect()
+    assert sorted((r.page_id or 0, r.text or "", r.n_chars, r.n_lines) for r in got if r.text is not None) == [(0, "a", 1, 1), (1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0)]
+    assert [(r.page_id, r.n_chars) for r in got if r.text is None] == [(1, None)]
