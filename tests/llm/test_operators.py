@@ -525,3 +525,63 @@ def test_html_rows(spark):
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, html string, HTML int")).collect()
     assert sorted((r.page_id or 0, r.text or "", r.n_chars, r.n_lines) for r in got if r.text is not None) == [(0, "a", 1, 1), (1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0)]
     assert [(r.page_id, r.n_chars) for r in got if r.text is None] == [(1, None)]
+
+
+def plain_passages(rows, items):
+    """(doc_id, item_id) -> score, by aligning each item with every whole document that shares a window of three words."""
+    words = lambda t: re.sub(r"[^\w]|_", " ", (t or "").lower()).split()
+    out = Counter()
+    for doc_id, text in rows:
+        d = words(text)
+        for item_id, item in items:
+            i = words(item)
+            if len(i) >= 3 and {tuple(d[k : k + 3]) for k in range(len(d) - 2)} & {tuple(i[k : k + 3]) for k in range(len(i) - 2)}:
+                code = {w: k for k, w in enumerate({*d, *i})}
+                best, _ = decontam.align(np.array([code[w] for w in i]), np.array([code[w] for w in d]))
+                if best >= 0.5 * len(i):
+                    out[doc_id, item_id, round(best / len(i), 6)] += 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Documents with edited copies of items: words replaced, dropped or put in at random, with their shares."""
+    rng = random.Random(8)
+    vocabulary = WORDS + [f"{w}{k}" for w in WORDS for k in range(30)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(12, 60)))) for k in range(30)] + [(3, "same"), (30, None), (None, "ka na te " * 8)]
+    rows, made = [], {}
+    for k in range(240):
+        item, share = rng.randrange(30), rng.choice([0.0, 0.05, 0.1, 0.2])
+        body = []
+        for w in items[item][1].split():
+            x = rng.random()
+            body += [w] if x >= share else rng.choice([[], [rng.choice(vocabulary)], [w, rng.choice(vocabulary)]])
+        rows.append((k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 200)) + body + rng.choices(vocabulary, k=rng.randint(0, 200)))))
+        made[k] = item, share
+    rows += [(500 + k, " ".join(rng.choices(vocabulary, k=300))) for k in range(60)] + [(None, items[0][1]), (7, rows[7][1]), (7, rows[7][1]), (900, None), (901, ""), (902, " ".join(rng.choices(vocabulary, k=30_000)) + " " + items[5][1])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, TEXT int").repartition(5)
+    return rows, items, made, docs, spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 0])
+def test_decontamination_against_brute_force(planted, block_words):
+    rows, items, made, docs, bench = planted
+    want = plain_passages(rows, items)
+    found = decontam.contaminated(docs, bench, block_words=block_words).collect()
+    got = Counter((r.doc_id, r.item_id, round(r.score, 6)) for r in found)
+    assert not got - want and sum((want - got).values()) <= 0.01 * sum(want.values())
+    hits = {(r.doc_id, r.item_id) for r in found}
+    for share in (0.0, 0.05, 0.1, 0.2):  # recall under random edits
+        asked = [(k, item) for k, (item, s) in made.items() if s == share]
+        assert sum(x in hits for x in asked) >= (1 if share < 0.2 else 0.95) * len(asked)
+    assert not {r.doc_id for r in found} & set(range(500, 560))
+
+
+def test_decontamination_both_ways_agree(planted):
+    _, _, _, docs, bench = planted
+    one, two = (Counter(map(tuple, decontam.contaminated(docs, bench, block_words=n).collect())) for n in (2_000_000, 0))
+    assert one == two
+    kept = [Counter(map(tuple, decontam.clean(docs, bench, block_words=n).collect())) for n in (2_000_000, 0)]
+    bad = {k for k, *_ in one}
+    assert kept[0] == kept[1] == Counter(tuple(r) for r in docs.collect() if r.doc_id not in bad)
+    assert decontam.clean(docs, bench).columns == ["doc_id", "text", "TEXT"]
