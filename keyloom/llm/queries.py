@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, dedup, htmltext, jaccard, langid, licenses, lm, mixing, tokencount, urlgraph
+from keyloom.llm import decontam, dedup, htmltext, jaccard, langid, licenses, lm, mixing, stages, tokencount, urlgraph
 from keyloom.llm.common import table
 
 
@@ -53,9 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
