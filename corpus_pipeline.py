@@ -1,58 +1,5 @@
-"""The corpus pipeline: language ID, exact dedup, near duplicates, benchmark decontamination, mixing.
-
-A stage gets the rows that its predecessor kept and decides about all of them; each is written as Parquet and read again.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from keyloom.llm import decontam, dedup, jaccard, langid, mixing
-from keyloom.llm.common import table, written
-
-
-def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the language classifier rejects."""
-    return langid.accepted(docs)
-
-
-def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return dedup.deduplicated(docs)
-
-
-def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return jaccard.near_deduplicated(docs)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a passage of the benchmark."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document how many copies of it, and so words, the mix takes."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
-
-
-STAGES = [
-    ("language_id", identified),
-    ("exact_dedup", distinct_texts),
-    ("near_duplicates", distinct_sets),
-    ("decontamination", decontaminated),
-    ("source_mix", mixed),
-]
-
-#: Compression classification and entropy balancing aren't expressible in SQL; the tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+"""The corpus pipeline's stages and run(); see keyloom.llm.stages."""
 
+from keyloom.llm.stages import ORACLE_SQL, STAGES, run
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
