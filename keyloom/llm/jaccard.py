@@ -36,7 +36,7 @@ WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Shingle hashes that a task counts at a time; cells that a bucket's task adds up, about.
-COUNT_AT, BUCKET = 4_000_000, 8_000_000
+COUNT_AT, BUCKET = 4_000_000, 1_500_000
 #: A cell is ranked if this many sets fall there; cells ranked, at most: rarer ones beyond stay unranked.
 OFTEN, RANKED = 4, 2_000_000
 #: Zones of a set in which positions are told apart when blocks are skipped.
@@ -86,7 +86,9 @@ def _counted(width: int, bits: int, buckets: int):
 def _frequent(key, table):
     """A bucket's packed counts -> (cell, n) of the frequent cells."""
     parts = [unpacked(x.as_py()) for x in table.column("packed")]
-    cells, n = added(np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts]))
+    both = np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts])
+    del parts, table
+    cells, n = added(*both)
     often = n >= OFTEN
     return pa.table({"cell": pa.array(cells[often].astype(np.int64)), "n": pa.array(n[often])})
 
