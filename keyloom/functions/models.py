@@ -1,165 +1,338 @@
-"""Analytic models as queries in SQL that both Spark and DuckDB run (see `for_duckdb` for the few words that differ)."""
+"""Analytic models of paged directories as DataFrame functions: shapes, sizes, costs, envelopes, budgets.
+
+Each takes its cases as a DataFrame or as parameters and adds columns; the defaults are the published cases. Arithmetic is over a
+few rows; only `external_sort` and `batched_paths` generate rows of their own, on the executors.
+"""
 
 from __future__ import annotations
 
-import re
-
-_SHAPE = """
-shape AS (
-  SELECT n, c, f, l0, l1, l2, l3, l0 + l1 + l2 + l3 AS pages,
-         1 + CASE WHEN l1 > 0 THEN 1 ELSE 0 END + CASE WHEN l2 > 0 THEN 1 ELSE 0 END + CASE WHEN l3 > 0 THEN 1 ELSE 0 END AS depth
-  FROM (SELECT n, c, f, l0, l1, l2, CASE WHEN l2 > 1 THEN CAST(ceil(l2 / f) AS BIGINT) ELSE 0 END AS l3
-    FROM (SELECT n, c, f, l0, l1, CASE WHEN l1 > 1 THEN CAST(ceil(l1 / f) AS BIGINT) ELSE 0 END AS l2
-      FROM (SELECT n, c, f, l0, CASE WHEN l0 > 1 THEN CAST(ceil(l0 / f) AS BIGINT) ELSE 0 END AS l1
-        FROM (SELECT n, c, f, CAST(ceil(n / c) AS BIGINT) AS l0 FROM sizes) a) b) d) e)"""
-_THREE = "SELECT CAST(1000 AS BIGINT) AS n UNION ALL SELECT CAST(1000000 AS BIGINT) UNION ALL SELECT CAST(100000000 AS BIGINT)"
-
-MODELS = {
-    "model_tree_shape": f"WITH sizes AS (SELECT n, 240 AS c, 256 AS f FROM ({_THREE}) t), {_SHAPE} SELECT n AS entries, l0 AS leaves, pages, depth FROM shape",
-    "model_directory_comparison": f"""
-WITH sizes AS (SELECT n, 240 AS c, 256 AS f FROM ({_THREE}) t), {_SHAPE}
-SELECT n AS entries, 'btree' AS model, pages * 16384 AS total_bytes, depth AS page_reads, CAST(depth * 16384 AS BIGINT) AS rewrite_bytes FROM shape
-UNION ALL SELECT n, 'sorted_array', n * 64, CAST(ceil(log2(n)) AS INT), n * 64 FROM shape
-UNION ALL SELECT n, 'hash_pages', (CAST(ceil(n / 180) AS BIGINT) + CAST(ceil(ceil(n / 180) / 1024) AS BIGINT) + 1) * 16384, 3, CAST(3 * 16384 AS BIGINT) FROM shape""",
-    "model_page_sizes": f"""
-WITH sizes AS (SELECT n, p, floor((p - 64) / 88) AS c, floor((p - 64) / 64) AS f
-  FROM (SELECT CAST(100000000 AS BIGINT) AS n) t, (SELECT 4096 AS p UNION ALL SELECT 16384 UNION ALL SELECT 65536) s), {_SHAPE}
-SELECT CAST(c AS BIGINT) AS leaf_capacity, CAST(f AS BIGINT) AS fanout, pages, depth FROM shape""",
-    "model_copy_on_write": f"""
-WITH sizes AS (SELECT n, 185 AS c, 255 AS f FROM ({_THREE}) t), {_SHAPE}
-SELECT n AS entries, pages, depth, pages * 16384 AS rebuild_bytes, CAST(depth * 16384 AS BIGINT) AS path_bytes FROM shape""",
-    "model_locator_widths": f"""
-WITH sizes AS (SELECT n, w, floor((16384 - 64) / w) AS c, 255 AS f
-  FROM (SELECT CAST(100000000 AS BIGINT) AS n) t, (SELECT 56 AS w UNION ALL SELECT 64 UNION ALL SELECT 72 UNION ALL SELECT 88 UNION ALL SELECT 96) s), {_SHAPE}
-SELECT CAST(c AS BIGINT) AS leaf_capacity, pages, depth, round(CAST(pages AS DOUBLE) * 16384 / 1073741824, 6) AS gib FROM shape""",
-    "model_collisions": """
-WITH sizes AS (SELECT CAST(1000000 AS DOUBLE) AS n UNION ALL SELECT CAST(100000000 AS DOUBLE) UNION ALL SELECT CAST(1000000000 AS DOUBLE)),
-widths AS (SELECT 64 AS bits UNION ALL SELECT 96 UNION ALL SELECT 128),
-x AS (SELECT n, bits, n * (n - 1) / 2 / power(2, bits) AS a, n * n / power(2, bits) AS b FROM sizes, widths)
-SELECT CAST(n AS BIGINT) AS entries, bits,
-       round(log10(CASE WHEN a < 1e-5 THEN a - a * a / 2 ELSE 1 - exp(-a) END), 6) AS log10_birthday,
-       round(log10(CASE WHEN b < 1e-5 THEN b - b * b / 2 ELSE 1 - exp(-b) END), 6) AS log10_cross
-FROM x""",
-    "model_merge_passes": """
-WITH k AS (SELECT 4 AS fan_in UNION ALL SELECT 8 UNION ALL SELECT 32), r AS (SELECT CAST(ceil(200003 / 512) AS BIGINT) AS runs)
-SELECT fan_in, runs, CAST(ceil(ln(runs) / ln(fan_in) - 1e-12) AS BIGINT) AS passes FROM k, r""",
-    "model_external_sort": """
-WITH r AS (SELECT 4096 AS run UNION ALL SELECT 7777), i AS (SELECT explode(sequence(0, 200002)) AS i),
-ids AS (SELECT (65537 * CAST(i AS BIGINT) + 17171) % 200003 + 1 AS id, i FROM i),
-runs AS (SELECT run, CAST(floor(i / run) AS BIGINT) AS no, count(*) AS n, min(id) AS low, max(id) AS high FROM ids, r GROUP BY 1, 2)
-SELECT run AS run_entries, count(*) AS runs, max(n) * 88 AS peak_bytes, CAST(sum(n) AS BIGINT) * 88 AS spilled_bytes, min(low) AS first_id, max(high) AS last_id FROM runs GROUP BY run""",
-    "model_checkpoint_cadence": """
-WITH k AS (SELECT 100 AS every UNION ALL SELECT 1000 UNION ALL SELECT 10000 UNION ALL SELECT 100000),
-c AS (SELECT every, CAST(every AS BIGINT) * i AS n FROM k, (SELECT explode(sequence(1, 10000)) AS i) s WHERE CAST(every AS BIGINT) * i <= 1000000),
-l AS (SELECT every, n, CAST(ceil(n / 185) AS BIGINT) AS l0 FROM c),
-m AS (SELECT every, n, l0, CASE WHEN l0 > 1 THEN CAST(ceil(l0 / 255) AS BIGINT) ELSE 0 END AS l1 FROM l),
-t AS (SELECT every, n, l0, l1, CASE WHEN l1 > 1 THEN 1 ELSE 0 END AS l2 FROM m)
-SELECT every, count(*) AS checkpoints, CAST(sum(l0 + l1 + l2) AS BIGINT) * 16384 AS rebuild_bytes,
-       CAST(sum(every * (1 + CASE WHEN l1 > 0 THEN 1 ELSE 0 END + l2)) AS BIGINT) * 16384 AS path_bytes
-FROM t GROUP BY every""",
-    "model_cost_envelope": """
-WITH p AS (SELECT 'small' AS policy, CAST(2 AS DOUBLE) AS fixed, CAST(0.30 AS DOUBLE) AS slope UNION ALL SELECT 'medium', 4, 0.15 UNION ALL SELECT 'large', 10, 0.05)
-SELECT a.policy AS policy_a, b.policy AS policy_b, CAST(round((b.fixed - a.fixed) / (a.slope - b.slope), 6) AS DOUBLE) AS break_even
-FROM p a JOIN p b ON a.fixed < b.fixed AND a.slope > b.slope""",
-    "model_lower_envelope": """
-WITH p AS (SELECT 'small' AS policy, CAST(2 AS DOUBLE) AS fixed, CAST(0.30 AS DOUBLE) AS slope UNION ALL SELECT 'medium', 4, 0.15 UNION ALL SELECT 'large', 10, 0.05),
-x AS (SELECT explode(sequence(0, 100)) AS x), v AS (SELECT x, policy, fixed + slope * x AS cost FROM p, x),
-r AS (SELECT x, policy, row_number() OVER (PARTITION BY x ORDER BY cost, policy) AS k FROM v)
-SELECT policy, min(x) AS from_x, max(x) AS to_x, count(*) AS points FROM r WHERE k = 1 GROUP BY policy""",
-    "model_batched_paths": """
-WITH b AS (SELECT 10 AS batch UNION ALL SELECT 100 UNION ALL SELECT 1000), i AS (SELECT explode(sequence(0, 999)) AS i),
-k AS (SELECT batch, (CAST(i AS BIGINT) * 7919) % 1000000 AS pos FROM b, i WHERE i < batch)
-SELECT batch, count(DISTINCT floor(pos / 185)) AS leaves, count(DISTINCT floor(floor(pos / 185) / 255)) AS internals, CAST(1 AS BIGINT) AS roots,
-       CAST(batch AS BIGINT) * 3 AS unshared FROM k GROUP BY batch""",
-    "model_support_profiles": """
-WITH p AS (SELECT 'small' AS profile, 200641 AS reads, 134217728 AS hash_bytes, 201326592 AS read_bytes
-  UNION ALL SELECT 'medium', 17009557, 8589934592, 12884901888 UNION ALL SELECT 'large', 170070684, 137438953472, 206158430208),
-d AS (SELECT 0 AS delta UNION ALL SELECT 1)
-SELECT profile, delta, reads - delta >= reads AS reads_satisfied, read_bytes - delta >= hash_bytes AS bytes_cover_hashing, delta = 0 AS satisfiable FROM p, d""",
-    "model_framing": """
-WITH s AS (SELECT 16 AS payload UNION ALL SELECT 256 UNION ALL SELECT 4096), w AS (SELECT 'wide' AS framing, 40 AS header UNION ALL SELECT 'compact', 12 UNION ALL SELECT 'table', 16)
-SELECT payload, framing, round(CAST(100 AS DOUBLE) * header / (header + payload), 6) AS overhead_percent, round(CAST(100 AS DOUBLE) * (40 - header) / 40, 6) AS saving_percent FROM s, w""",
-    "model_backoff": """
-WITH n AS (SELECT explode(sequence(0, 9)) AS n), d AS (SELECT n, least(100 * power(2, n), 5000) AS base FROM n),
-s AS (SELECT 0 AS server_min UNION ALL SELECT 700 UNION ALL SELECT 6000)
-SELECT n, server_min, CAST(greatest(base, server_min) AS BIGINT) AS delay_ms, CASE WHEN server_min > 5000 THEN 'Limit' ELSE 'Wait' END AS outcome FROM d, s""",
-    "model_borrow_side": """
-WITH o AS (SELECT explode(sequence(93, 96)) AS o), l AS (SELECT o AS l FROM o UNION ALL SELECT -1), r AS (SELECT o AS r FROM o UNION ALL SELECT -1)
-SELECT l AS left_entries, r AS right_entries,
-  CASE WHEN l > 93 THEN 'borrow_left' WHEN r > 93 THEN 'borrow_right' WHEN l >= 0 THEN 'merge_left' WHEN r >= 0 THEN 'merge_right' ELSE 'alone' END AS left_first,
-  CASE WHEN l > 93 AND l >= r THEN 'borrow_left' WHEN r > 93 THEN 'borrow_right' WHEN l >= 0 THEN 'merge_left' WHEN r >= 0 THEN 'merge_right' ELSE 'alone' END AS fuller_sibling,
-  l = 94 OR (l <= 93 AND r = 94) AS donor_cliff FROM l, r""",
-    "http_classification": """
-WITH q AS (SELECT CAST(event_id AS BIGINT) AS request, CASE WHEN event_id % 2 = 0 THEN 'metadata' ELSE 'range' END AS kind,
-    CASE event_id % 15 WHEN 0 THEN 200 WHEN 1 THEN 206 WHEN 2 THEN 401 WHEN 3 THEN 403 WHEN 4 THEN 404 WHEN 5 THEN 412 WHEN 6 THEN 416 WHEN 7 THEN 429
-      WHEN 8 THEN 503 WHEN 9 THEN 301 WHEN 10 THEN 204 WHEN 11 THEN 418 WHEN 12 THEN 500 WHEN 13 THEN 206 ELSE 200 END AS status,
-    event_id % 3 = 0 AS may_refresh, CASE WHEN event_id % 4 = 0 THEN 'W/"a"' ELSE '"a"' END AS version, event_id % 11 AS body, 11 - event_id % 5 AS length
-  FROM events)
-SELECT request, kind, status, CASE
-  WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN 'Retry'
-  WHEN status = 401 THEN CASE WHEN may_refresh THEN 'RefreshAuthentication' ELSE 'Fail(client)' END
-  WHEN status IN (403, 404, 416) THEN 'Fail(client)' WHEN status = 412 THEN 'Fail(version changed)'
-  WHEN status IN (301, 302, 303, 307, 308) THEN 'Fail(redirect)'
-  WHEN kind = 'metadata' AND status = 200 THEN CASE WHEN body = 0 AND substr(version, 1, 2) <> 'W/' THEN 'AcceptMetadata' ELSE 'Fail(protocol)' END
-  WHEN kind = 'range' AND status = 206 THEN CASE WHEN body = length AND body > 0 AND substr(version, 1, 2) <> 'W/' THEN 'AcceptRange' ELSE 'Fail(protocol)' END
-  WHEN status >= 400 THEN 'Fail(client)' ELSE 'Fail(protocol)' END AS decision FROM q""",
-    "retry_budget": """
-WITH a AS (SELECT user_id, event_id, event_id % 3 = 0 AS retryable, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM events)
-SELECT user_id, event_id, CAST(used AS BIGINT) AS used, CASE WHEN NOT retryable THEN 'Done' WHEN used > 3 THEN 'Limit(transport attempts)' ELSE 'Retry' END AS outcome FROM a""",
-    "authentication_refresh": """
-WITH a AS (SELECT user_id, event_id, sum(1) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 5 = 0)
-SELECT user_id, event_id, CASE WHEN k = 1 THEN 'Refresh' WHEN k = 2 THEN 'Fail' ELSE 'AfterTerminal' END AS outcome FROM a""",
-    "coalesced_requests": "SELECT l_partkey AS offset_key, l_linenumber AS length_key, count(*) AS asked, CAST(1 AS BIGINT) AS sent FROM lineitem GROUP BY 1, 2",
-    "staged_publication": """
-WITH s AS (SELECT 'begin' AS stage UNION ALL SELECT 'copy' UNION ALL SELECT 'validate' UNION ALL SELECT 'sync_private' UNION ALL SELECT 'link_exists'
-  UNION ALL SELECT 'link_unknown' UNION ALL SELECT 'sync_parent' UNION ALL SELECT 'retire' UNION ALL SELECT 'none')
-SELECT stage, CASE WHEN stage IN ('begin', 'copy', 'validate', 'sync_private') THEN 'Error' WHEN stage = 'link_exists' THEN 'NotPublishedDestinationExists'
-  WHEN stage IN ('link_unknown', 'sync_parent') THEN 'PublicationIndeterminate' ELSE 'PublishedAndDurable' END AS outcome,
-  stage IN ('link_unknown', 'sync_parent') AS private_kept, stage = 'retire' AS cleanup_pending FROM s""",
-    "capabilities": """
-WITH c AS (SELECT p_partkey + 1 AS object_id, p_size % 8 AS capability, p_size % 3 = 0 AS required FROM part)
-SELECT object_id, capability, required, CASE WHEN capability < 5 THEN 'Supported' WHEN required THEN 'NotInterpretable' ELSE 'KeptUnknown' END AS verdict FROM c""",
-    "extension_rewrite": """
-WITH e AS (SELECT p_partkey AS tag, p_size % 3 = 0 AS required, p_brand AS payload FROM part), u AS (SELECT p_partkey AS tag, 'rewritten' AS payload FROM part WHERE p_partkey % 10 = 0)
-SELECT e.tag, e.required, coalesce(u.payload, e.payload) AS payload, u.tag IS NOT NULL AS rewritten FROM e LEFT JOIN u ON e.tag = u.tag""",
-    "occupancy_stats": """
-WITH p AS (SELECT o_custkey AS page, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n, page) AS k, count(*) OVER () AS t FROM p)
-SELECT count(*) AS pages, min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, max(CASE WHEN k = CAST(floor(0.95 * (t - 1)) AS BIGINT) + 1 THEN n END) AS p95,
-  round(avg(CASE WHEN n >= 10 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS at_least_10 FROM r""",
-    "transition_histogram": "SELECT event_type AS operation, CAST(user_id % 4 AS BIGINT) AS pages_written, count(*) AS n, round(sum(value), 4) AS reward FROM events GROUP BY 1, 2",
-    "total_variation": """
-WITH h AS (SELECT event_type AS k, CAST(count_if(user_id % 2 = 0) AS DOUBLE) AS a, CAST(count_if(user_id % 2 = 1) AS DOUBLE) AS b FROM events GROUP BY 1), t AS (SELECT sum(a) AS sa, sum(b) AS sb FROM h)
-SELECT round(0.5 * sum(abs(a / sa - b / sb)), 9) AS total_variation FROM h, t""",
-    "mutual_information": """
-WITH j AS (SELECT event_type AS x, user_id % 5 AS y, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2),
-m AS (SELECT n, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM j)
-SELECT round(sum(n / t * log2(n * t / (nx * ny))), 9) AS bits, round(0.5 * sum(abs(n / t - nx * ny / t / t)), 9) AS joint_variation FROM m""",
-    "occupancy_bands": """
-SELECT CASE WHEN n < 5 THEN 'under' WHEN n = 5 THEN 'minimum' WHEN n < 15 THEN 'middle' ELSE 'full' END AS band, count(*) AS pages FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) p GROUP BY 1""",
-    "reward_successors": """
-WITH s AS (SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS successor FROM events)
-SELECT state, count(*) AS n, count(DISTINCT successor) AS successors, count(DISTINCT successor) > 1 AS splits FROM s GROUP BY state""",
-    "publication_order": """
-WITH e AS (SELECT user_id AS file, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 ELSE 2 END AS stage FROM events),
-w AS (SELECT file, event_id, k, stage, lag(stage) OVER (PARTITION BY file ORDER BY k) AS last FROM e)
-SELECT file, count(*) AS steps, count_if(last IS NOT NULL AND stage <= last) AS violations, min(CASE WHEN last IS NOT NULL AND stage <= last THEN k END) AS first_violation FROM w GROUP BY file""",
-    "hash_anchor_partition": """
-WITH s AS (SELECT o_orderkey + 1 AS object_id, ((o_orderkey + 1) * 7919) % 10007 AS score FROM orders),
-b AS (SELECT object_id, sum(CASE WHEN score < 50 THEN 1 ELSE 0 END) OVER (ORDER BY object_id) AS page FROM s)
-SELECT CAST(page AS BIGINT) AS page, count(*) AS entries, min(object_id) AS min_id, max(object_id) AS max_id FROM b GROUP BY page""",
-    "minimizer_partition": """
-WITH s AS (SELECT o_orderkey + 1 AS object_id, ((o_orderkey + 1) * 7919) % 10007 * 1000000 + o_orderkey AS score FROM orders),
-m AS (SELECT min(score) OVER (ORDER BY object_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS low, row_number() OVER (ORDER BY object_id) AS k FROM s)
-SELECT low % 1000000 + 1 AS boundary, count(*) AS windows FROM m WHERE k >= 64 GROUP BY 1""",
-    "content_reversion": """
-WITH s AS (SELECT user_id + 1 AS object_id, event_id AS seq, event_type AS content FROM events), f AS (SELECT object_id, content, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS times FROM s GROUP BY 1, 2)
-SELECT object_id, content, first_seq, last_seq, times FROM f WHERE times > 1""",
-    "stream_chunks": """
-WITH d AS (SELECT doc_id + 1 AS object_id, octet_length(CAST(coalesce(text, '') AS BINARY)) AS size FROM documents)
-SELECT object_id, c * 1024 AS start, least(size - c * 1024, 1024) AS length FROM (SELECT object_id, CAST(size AS BIGINT) AS size, explode(sequence(CAST(0 AS BIGINT), CAST(floor((size - 1) / 1024) AS BIGINT))) AS c FROM d WHERE size > 0) x""",
-}
-
-
-def for_duckdb(sql: str) -> str:
-    out = sql.replace("explode(sequence(", "unnest(generate_series(").replace("octet_length(CAST(coalesce(text, '') AS BINARY))", "strlen(coalesce(text, ''))")
-    return re.sub(r"sha2\((.*?), 256\)", r"sha256(\1)", out)
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Levels that a tree may have at most; with a fanout of two that is more than there are numbers.
+MOST_LEVELS = 64
+GIB = 1 << 30
+
+
+def cases(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows in one partition, so that crossing several such tables doesn't multiply partitions."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def ceil_div(a: Column, b: Column) -> Column:
+    return F.ceil(a / b).cast("long")
+
+
+def tree(entries: Column, leaf: Column, fanout: Column) -> Column:
+    """Pages of each level, leaves first, of a packed tree: level upon level until one page is left."""
+    first = F.array(F.greatest(ceil_div(entries, leaf), F.lit(1).cast("long")))
+    top = lambda s: F.element_at(s, -1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), first, lambda s, _: F.when(top(s) > 1, F.concat(s, F.array(ceil_div(top(s), fanout)))).otherwise(s))
+
+
+def total(levels: Column) -> Column:
+    return F.aggregate(levels, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def with_tree(df: DataFrame, leaf: str = "leaf_capacity", fanout: str = "fanout", entries: str = "entries") -> DataFrame:
+    """df with levels, pages and depth. The levels come out of a generator, so that they are computed once and not inlined."""
+    df = df.drop("levels", "pages", "depth")
+    df = df.select("*", F.explode(F.array(tree(F.col(entries), F.col(leaf), F.col(fanout)))).alias("levels"))
+    return df.withColumn("pages", total(F.col("levels"))).withColumn("depth", F.size("levels"))
+
+
+def capacity(page: Column, header: Column, entry: Column) -> Column:
+    return F.floor((page - header) / entry).cast("long")
+
+
+def table_of(names: list[str], *rows: list[Column]) -> Column:
+    """Rows of columns, as a generator."""
+    return F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row, strict=True)]) for row in rows]))
+
+
+SIZES = [1_000, 1_000_000, 100_000_000]
+
+
+def sizes(spark: SparkSession, counts: list[int] | None = None) -> DataFrame:
+    return cases(spark, [(n,) for n in counts or SIZES], "entries long")
+
+
+# ---- shapes and sizes ---------------------------------------------------------------------------------------------------
+
+
+def tree_shape(spark: SparkSession, counts: list[int] | None = None, leaf: int = 240, fanout: int = 256) -> DataFrame:
+    found = with_tree(sizes(spark, counts).withColumn("leaf_capacity", F.lit(leaf)).withColumn("fanout", F.lit(fanout)))
+    return found.select("entries", F.col("levels")[0].alias("leaves"), "pages", "depth")
+
+
+def directory_comparison(spark: SparkSession, counts: list[int] | None = None, page: int = 16384) -> DataFrame:
+    """A tree, a sorted array of 64-byte entries and hash pages of 180 entries under a table of 1,024 pointers a page."""
+    s = tree_shape(spark, counts)
+    buckets = ceil_div(F.col("entries"), F.lit(180))
+    hashed = (buckets + ceil_div(buckets, F.lit(1024)) + 1) * page
+    long = lambda x: F.lit(x).cast("long")
+    ways = table_of(
+        ["model", "total_bytes", "page_reads", "rewrite_bytes"],
+        [F.lit("btree"), F.col("pages") * page, F.col("depth"), (F.col("depth") * page).cast("long")],
+        [F.lit("sorted_array"), F.col("entries") * 64, F.ceil(F.log2("entries")).cast("int"), F.col("entries") * 64],
+        [F.lit("hash_pages"), hashed, F.lit(3), long(3 * page)],
+    )
+    return s.select("entries", ways)
+
+
+def page_sizes(spark: SparkSession, entries: int = 100_000_000, pages: tuple[int, ...] = (4096, 16384, 65536), header: int = 64, leaf_entry: int = 88, internal_entry: int = 64) -> DataFrame:
+    p = cases(spark, [(entries, x) for x in pages], "entries long, page_bytes long")
+    p = p.withColumn("leaf_capacity", capacity(F.col("page_bytes"), F.lit(header), F.lit(leaf_entry))).withColumn("fanout", capacity(F.col("page_bytes"), F.lit(header), F.lit(internal_entry)))
+    return with_tree(p).select("page_bytes", "leaf_capacity", "fanout", "pages", "depth", (F.col("pages") * F.col("page_bytes")).alias("directory_bytes"))
+
+
+def copy_on_write(spark: SparkSession, counts: list[int] | None = None, page: int = 16384) -> DataFrame:
+    found = with_tree(sizes(spark, counts).withColumn("leaf_capacity", F.lit(185)).withColumn("fanout", F.lit(255)))
+    return found.select("entries", "pages", "depth", (F.col("pages") * page).alias("rebuild_bytes"), (F.col("depth") * page).cast("long").alias("path_bytes"))
+
+
+def locator_widths(spark: SparkSession, entries: int = 100_000_000, widths: tuple[int, ...] = (56, 64, 72, 88, 96), page: int = 16384) -> DataFrame:
+    w = cases(spark, [(entries, x) for x in widths], "entries long, width long").withColumn("leaf_capacity", capacity(F.lit(page), F.lit(64), F.col("width"))).withColumn("fanout", F.lit(255))
+    return with_tree(w).select("width", "leaf_capacity", "pages", "depth", F.round(F.col("pages") * page / F.lit(float(GIB)), 6).alias("gib"))
+
+
+def inventory_crossover(spark: SparkSession, pairs: tuple[tuple[int, int], ...] = ((72, 56), (88, 56), (96, 64)), entries: int = 100_000_000, object_header: int = 48) -> DataFrame:
+    """The share of objects above which entries that hold what an inventory asks for cost fewer bytes than reading headers."""
+    wide = locator_widths(spark, entries, tuple({w for p in pairs for w in p})).select("width", (F.col("pages") * 16384).alias("bytes"))
+    p = cases(spark, list(pairs), "mirrored long, minimal long")
+    both = p.join(wide.toDF("mirrored", "a"), "mirrored").join(wide.toDF("minimal", "b"), "minimal")
+    return both.select("mirrored", "minimal", F.round((F.col("a") - F.col("b")) / F.lit(float(entries * object_header)), 6).alias("crossover"))
+
+
+# Name, bits of an id, bytes of an object header, a page header, a leaf entry and an internal entry.
+LAYOUTS = [("draft-128", 128, 64, 80, 64, 72), ("compact-128", 128, 56, 64, 64, 72), ("tight-128", 128, 48, 56, 64, 72), ("compact-64", 64, 48, 48, 56, 56), ("tight-64", 64, 40, 40, 56, 56)]
+
+
+def identifier_widths(spark: SparkSession, counts: list[int] | None = None, page: int = 16384) -> DataFrame:
+    """Bytes of structure for each object under the layouts of 64 and 128 bits, with and without reserve in the headers."""
+    d = cases(spark, LAYOUTS, "layout string, id_bits int, object_header long, page_header long, leaf_entry long, internal_entry long").crossJoin(sizes(spark, counts or [1_000_000, 100_000_000]))
+    d = d.withColumn("leaf_capacity", capacity(F.lit(page), F.col("page_header"), F.col("leaf_entry"))).withColumn("fanout", capacity(F.lit(page), F.col("page_header"), F.col("internal_entry")))
+    d = with_tree(d).withColumn("directory_bytes", F.col("pages") * page)
+    return d.select("layout", "entries", "leaf_capacity", "fanout", F.array_join(F.col("levels").cast("array<string>"), "/").alias("level_pages"), "directory_bytes", F.round((F.col("directory_bytes") + F.col("entries") * F.col("object_header")) / F.col("entries"), 3).alias("bytes_per_object"))
+
+
+def upper_bound_saving(spark: SparkSession, entries: int = 100_000_000, page: int = 16384) -> DataFrame:
+    """Directory bytes with both bounds of a child and with its upper bound only."""
+    d = cases(spark, [("compact-128", 64, 64, 72, 56), ("compact-64", 48, 56, 56, 48)], "layout string, header long, leaf_entry long, both long, upper long").withColumn("entries", F.lit(entries).cast("long"))
+    d = d.withColumn("leaf_capacity", capacity(F.lit(page), F.col("header"), F.col("leaf_entry")))
+    for name in ("both", "upper"):
+        d = with_tree(d.withColumn("fanout", capacity(F.lit(page), F.col("header"), F.col(name)))).withColumn(f"{name}_bytes", F.col("pages") * page)
+    return d.select("layout", "both_bytes", "upper_bytes", (F.col("both_bytes") - F.col("upper_bytes")).alias("saved_bytes"))
+
+
+def uint_bytes(x: Column) -> Column:
+    """Bytes of a canonical unsigned integer."""
+    return F.when(x <= 23, 1).when(x <= 0xFF, 2).when(x <= 0xFFFF, 3).when(x <= 0xFFFF_FFFF, 5).otherwise(9)
+
+
+def scale_limits(spark: SparkSession, counts: tuple[int, ...] = (1, 1_000, 1_000_000, 100_000_000), header: int = 32, record: int = 40, footer: int = 80) -> DataFrame:
+    """The least bytes of a flat file: record headers, and a directory whose entries are 42 bytes and two integers."""
+    n = cases(spark, [(x,) for x in counts], "entries long")
+
+    def widths(start: int, step: int) -> Column:  # of start, start + step, ..., n numbers
+        upto = lambda limit: F.least(F.col("entries"), F.greatest(F.floor((F.lit(limit) - start) / step) + 1, F.lit(0))).cast("long")
+        a, b, c, d = (upto(x) for x in (23, 0xFF, 0xFFFF, 0xFFFF_FFFF))
+        return a + (b - a) * 2 + (c - b) * 3 + (d - c) * 5 + (F.col("entries") - d) * 9
+
+    n = n.withColumn("header_bytes", F.col("entries") * record)
+    n = n.withColumn("directory_bytes", (9 + uint_bytes(F.col("entries")) + F.col("entries") * 42 + widths(1, 1) + widths(header, record)).cast("long"))
+    return n.select("entries", "header_bytes", "directory_bytes", (F.col("header_bytes") + F.col("directory_bytes") + header + footer).alias("file_bytes"))
+
+
+def framing(spark: SparkSession) -> DataFrame:
+    """Headers of 40 bytes against a compact form: 8 bytes, the length twice and the id, each in groups of seven bits."""
+    # Workload, first and last id, payload bytes of each of them.
+    runs = [("minimal", 1, 1, 32), ("minimal", 2, 2, 160), ("small-archive", 1, 1_000, 256), ("small-archive", 1_001, 1_001, 64), ("small-archive", 1_002, 1_002, 64_000)]
+    runs += [("table-pages", 1, 10_000, 65_536), ("table-pages", 10_001, 10_001, 128), ("table-pages", 10_002, 10_002, 600_000)]
+    runs += [("large-media", 1, 1_000, 64 << 20), ("large-media", 1_001, 1_001, 256), ("large-media", 1_002, 1_002, 96_000)]
+    r = cases(spark, runs, "workload string, first long, last long, payload long").withColumn("id", F.explode(F.sequence("first", "last")))
+    groups = lambda x: F.greatest(F.ceil(F.length(F.bin(x)) / 7), F.lit(1))
+    r = r.withColumn("compact", (8 + 2 * groups(F.col("payload")) + groups(F.col("id"))).cast("long"))
+    s = r.groupBy("workload").agg(F.count("*").alias("records"), F.sum("compact").alias("compact_bytes"), F.sum("payload").alias("payload"))
+    fixed = F.col("records") * 40
+    return s.select("workload", "records", fixed.alias("fixed_bytes"), "compact_bytes", F.round(100 * (fixed - F.col("compact_bytes")) / fixed, 3).alias("header_saving"), F.round(100 * (fixed - F.col("compact_bytes")) / (fixed + F.col("payload")), 6).alias("file_saving"))
+
+
+def footer_discovery(spark: SparkSession, footer: int = 80, bound: int = 65_536) -> DataFrame:
+    """Bytes that the exact-end rule and the bounded search backwards look at, by file size."""
+    f = cases(spark, [("exact", 180), ("trailing-16", 196), ("trailing-64KiB", 65_716), ("short", 40)], "name string, file_bytes long")
+    return f.select("name", "file_bytes", F.least("file_bytes", F.lit(footer)).alias("exact_examined"), F.least("file_bytes", F.lit(bound + footer)).alias("backward_examined"))
+
+
+def collisions(spark: SparkSession, counts: tuple[int, ...] = (1_000_000, 100_000_000, 1_000_000_000), bits: tuple[int, ...] = (64, 96, 128)) -> DataFrame:
+    """log10 of the chance that two of n random ids are equal, and that one of n is among n others."""
+    x = cases(spark, [(float(n), b) for n in counts for b in bits], "n double, bits int")
+    chance = lambda a: F.round(F.log10(-F.expm1(-a)), 6)
+    space = F.pow(F.lit(2.0), F.col("bits"))
+    return x.select(F.col("n").cast("long").alias("entries"), "bits", chance(F.col("n") * (F.col("n") - 1) / 2 / space).alias("log10_birthday"), chance(F.col("n") * F.col("n") / space).alias("log10_cross"))
+
+
+# ---- sorting, checkpoints, paths ----------------------------------------------------------------------------------------
+
+
+def merge_passes(spark: SparkSession, fan_ins: tuple[int, ...] = (4, 8, 32), entries: int = 200_003, run: int = 512) -> DataFrame:
+    """Passes of a merge that opens fan_in runs at a time: runs are divided, pass by pass, until one is left."""
+    k = cases(spark, [(f, -(-entries // run)) for f in fan_ins], "fan_in long, runs long")
+    return k.select("fan_in", "runs", (F.size(tree(F.col("runs"), F.lit(1), F.col("fan_in"))) - 1).cast("long").alias("passes"))
+
+
+def external_sort(spark: SparkSession, run_entries: tuple[int, ...] = (4096, 7777), entries: int = 200_003, entry_bytes: int = 88) -> DataFrame:
+    """Sorted runs of a permutation of 1 to `entries`, and whether their merge is a sequence without gap or repetition."""
+    ids = spark.range(entries).select("id", ((F.col("id") * 65_537 + 17_171) % entries + 1).alias("object_id"))
+    dealt = ids.crossJoin(cases(spark, [(r,) for r in run_entries], "run_entries long")).withColumn("run", F.floor(F.col("id") / F.col("run_entries")))
+    runs = dealt.groupBy("run_entries", "run").agg(F.count("*").alias("n"), F.min("object_id").alias("low"), F.max("object_id").alias("high"), F.sum("object_id").alias("sum"))
+    s = runs.groupBy("run_entries").agg(F.count("*").alias("runs"), F.max("n").alias("peak"), F.sum("n").alias("all"), F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.sum("sum").alias("sum"))
+    seen = dealt.groupBy("run_entries", "object_id").count().groupBy("run_entries").agg(F.count("*").alias("different"))
+    return s.join(seen, "run_entries").select("run_entries", "runs", (F.col("peak") * entry_bytes).alias("peak_bytes"), (F.col("all") * entry_bytes).alias("spilled_bytes"), "first_id", "last_id", ((F.col("different") == entries) & (F.col("last_id") - F.col("first_id") + 1 == entries)).alias("complete"))
+
+
+def checkpoint_cadence(spark: SparkSession, every: tuple[int, ...] = (100, 1_000, 10_000, 100_000), objects: int = 1_000_000, page: int = 16384) -> DataFrame:
+    """Bytes of all checkpoints: the whole tree each time, or a path for each object since the last one."""
+    k = cases(spark, [(x,) for x in every], "every long").withColumn("entries", F.explode(F.sequence(F.col("every"), F.lit(objects).cast("long"), F.col("every"))))
+    t = with_tree(k.withColumn("leaf_capacity", F.lit(185)).withColumn("fanout", F.lit(255)))
+    return t.groupBy("every").agg(F.count("*").alias("checkpoints"), (F.sum("pages") * page).alias("rebuild_bytes"), (F.sum(F.col("every") * F.col("depth")) * page).alias("path_bytes"))
+
+
+def batched_paths(spark: SparkSession, changed: tuple[int, ...] = (1, 10, 100, 1_000, 10_000), entries: int = 1_000_000, leaf: int = 185, fanout: int = 255) -> DataFrame:
+    """Different pages on the paths of objects spread evenly over the leaves, and pages if no path shared any."""
+    one = with_tree(sizes(spark, [entries]).withColumn("leaf_capacity", F.lit(leaf)).withColumn("fanout", F.lit(fanout)))
+    c = cases(spark, [(x,) for x in changed], "changed long").crossJoin(one.select("levels", "depth"))
+    leaves = F.least("changed", F.col("levels")[0])
+    c = c.withColumn("leaf", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), leaves - 1), lambda i: F.floor(i * F.col("levels")[0] / leaves))))
+    up = c.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1))).withColumn("page", F.floor(F.col("leaf") / F.pow(F.lit(float(fanout)), F.col("level"))))
+    seen = up.select("changed", "depth", "level", "page").distinct()
+    return seen.groupBy("changed", "depth").agg(F.count("*").alias("pages")).select("changed", "pages", (F.col("changed") * F.col("depth")).alias("unshared"))
+
+
+# ---- costs --------------------------------------------------------------------------------------------------------------
+
+# Geometry, page header, leaf entry, internal entry; occupancy, its fill (0: exactly half).
+GEOMETRIES = [("draft-128", 80, 64, 72), ("compact-128", 64, 64, 72)]
+OCCUPANCIES = [("minimum", 0.0), ("yao-random-insert", math.log(2)), ("eighty-percent", 0.8), ("packed", 1.0)]
+PAGE_SIZES = [4096, 16384, 65536]
+
+
+def expected_costs(spark: SparkSession, counts: list[int] | None = None) -> DataFrame:
+    """For each geometry, occupancy, size and page: reads and bytes of a path, and what an insertion is expected to write."""
+    d = cases(spark, GEOMETRIES, "geometry string, header long, leaf_entry long, internal_entry long").crossJoin(cases(spark, OCCUPANCIES, "occupancy string, fill double")).crossJoin(cases(spark, [(p,) for p in PAGE_SIZES], "page_size long")).crossJoin(sizes(spark, counts or [1_000_000, 100_000_000]))
+    for name, entry in (("leaf", "leaf_entry"), ("fanout", "internal_entry")):
+        whole = capacity(F.col("page_size"), F.col("header"), F.col(entry))
+        d = d.withColumn(name, F.when(F.col("fill") == 0, F.ceil(whole / 2).cast("double")).otherwise(F.col("fill") * whole))
+    d = with_tree(d, "leaf", "fanout")
+    # A level gains a page for so many insertions; the root's own growth is left out.
+    splits = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), F.struct(F.lit(0.0).alias("sum"), F.col("leaf").alias("per")), lambda s, k: F.struct(F.when(k < F.col("depth"), s["sum"] + 1 / s["per"]).otherwise(s["sum"]).alias("sum"), (s["per"] * F.col("fanout")).alias("per")))["sum"]
+    d = d.withColumn("split_events", splits)
+    return d.select("geometry", "occupancy", "entries", "page_size", F.col("depth").alias("path_reads"), (F.col("depth") * F.col("page_size")).alias("path_bytes"), F.round("split_events", 9).alias("split_events"), F.round((F.col("depth") + F.col("split_events")) * F.col("page_size"), 3).alias("insert_bytes"))
+
+
+def break_even(costs: DataFrame) -> DataFrame:
+    """Pairs of page sizes: the latency-bandwidth product in bytes at which fewer reads make up for more bytes (null: never)."""
+    keys = ["geometry", "occupancy", "entries"]
+    a, b = costs.select(*keys, *[F.col(c).alias(f"a_{c}") for c in costs.columns[3:]]), costs.select(*keys, *[F.col(c).alias(f"b_{c}") for c in costs.columns[3:]])
+    p = a.join(b, keys).filter("a_page_size < b_page_size")
+    at = F.try_divide(F.col("b_path_bytes") - F.col("a_path_bytes"), F.col("a_path_reads") - F.col("b_path_reads"))
+    return p.select(*keys, "a_page_size", "b_page_size", F.when(at > 0, F.round(at, 6)).alias("break_even"))
+
+
+def lower_envelope(costs: DataFrame, pressures: tuple[float, ...] = (0.0, 0.5, 2.0)) -> DataFrame:
+    """For each update pressure the cheapest page size in each range of the latency-bandwidth product q.
+
+    Costs are lines in q: path_bytes + path_reads * q + pressure * insert_bytes. Every positive crossing begins a range; its
+    winner is the cheapest at a point within (ties: the smaller page), and neighbours of one winner are one range.
+    """
+    spark, keys = costs.sparkSession, ["geometry", "occupancy", "entries", "pressure"]
+    lines = costs.crossJoin(cases(spark, [(p,) for p in pressures], "pressure double")).select(*keys, "page_size", "path_reads", (F.col("path_bytes") + F.col("pressure") * F.col("insert_bytes")).alias("base"))
+    other = lines.select(*keys, F.col("path_reads").alias("reads2"), F.col("base").alias("base2"))
+    crossing = F.try_divide(F.col("base2") - F.col("base"), (F.col("path_reads") - F.col("reads2")).cast("double"))
+    starts = lines.join(other, keys).select(*keys, crossing.alias("q")).filter("q > 0").unionByName(lines.select(*keys, F.lit(0.0).alias("q"))).distinct()
+    w = Window.partitionBy(*keys).orderBy("q")  # a handful of crossings
+    ranges = starts.withColumn("until", F.lead("q").over(w)).withColumn("probe", F.when(F.col("until").isNull(), F.col("q") + 1).otherwise((F.col("q") + F.col("until")) / 2))
+    won = ranges.join(lines, keys).groupBy(*keys, "q", "until").agg(F.min(F.struct((F.col("base") + F.col("path_reads") * F.col("probe")).alias("cost"), "page_size"))["page_size"].alias("page_size"))
+    fresh = won.withColumn("new", F.coalesce(F.lag("page_size").over(w) != F.col("page_size"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    return fresh.groupBy(*keys, "run", "page_size").agg(F.round(F.min("q"), 3).alias("q_min"), F.round(F.when(F.max(F.col("until").isNull().cast("int")) == 0, F.max("until")), 3).alias("q_max")).drop("run")
+
+
+# ---- budgets ------------------------------------------------------------------------------------------------------------
+
+MIB = 1 << 20
+# Name, bytes of a file and of an object, objects, bytes of a request.
+PROFILES = [("research-small", 64 * MIB, MIB, 100_000, MIB), ("research-medium", 4 * GIB, 16 * MIB, 1_000_000, MIB), ("research-large", 64 * GIB, 64 * MIB, 10_000_000, 4 * MIB)]
+
+
+def support_profiles(spark: SparkSession, profiles: list[tuple] | None = None, fixed_reads: int = 32) -> DataFrame:
+    """What the strictest reading of a profile needs: each object's header and its chunks, each page, each chunk of the file;
+    three lengths of the file read, two hashed; and whether the limits fit together."""
+    p = cases(spark, profiles or PROFILES, "profile string, file_bytes long, object_bytes long, entries long, request_bytes long")
+    p = with_tree(p.withColumn("leaf_capacity", F.lit(185)).withColumn("fanout", F.lit(255)))
+    reads = F.lit(fixed_reads) + F.col("entries") + F.col("entries") * ceil_div(F.col("object_bytes"), F.col("request_bytes")) + F.col("pages") + ceil_div(F.col("file_bytes"), F.col("request_bytes"))
+    fits = (F.col("object_bytes") <= F.col("file_bytes")) & (F.col("entries") * 48 <= F.col("file_bytes")) & (F.col("request_bytes") > 0)
+    return p.select("profile", "pages", (F.col("depth") - 1).alias("depth"), reads.cast("long").alias("reads"), (F.col("file_bytes") * 3).alias("read_bytes"), (F.col("file_bytes") * 2).alias("hash_bytes"), fits.alias("consistent"))
+
+
+def satisfiable(needed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(profile, reads, read_bytes, hash_bytes) needed, and the same allowed -> which budgets suffice."""
+    a = allowed.select("profile", *[F.col(c).alias(f"max_{c}") for c in ("reads", "read_bytes", "hash_bytes")], "case")
+    both = needed.join(a, "profile")
+    ok = {c: F.col(c) <= F.col(f"max_{c}") for c in ("reads", "read_bytes", "hash_bytes")}
+    return both.select("profile", "case", *[v.alias(f"{c}_suffice") for c, v in ok.items()], (ok["reads"] & ok["read_bytes"] & ok["hash_bytes"]).alias("satisfiable"))
+
+
+def limit_interactions(spark: SparkSession, objects: int = 10_000_000, reads: int = 1_000_000, scan_bytes: int = 16 << 20, request: int = 65_536, candidate_bytes: int = 64 << 30, file_bytes: int = 16 << 30, validations: int = 1_024) -> DataFrame:
+    """Limits that bound each other: what the largest object count needs, and which limit is reached first."""
+    shape = with_tree(sizes(spark, [objects]).withColumn("leaf_capacity", F.lit(185)).withColumn("fanout", F.lit(255))).select("pages", "depth")
+    long = lambda x: F.lit(x).cast("long")
+    rows = table_of(
+        ["name", "needed", "allowed"],
+        [F.lit("directory_pages"), F.col("pages"), long(1_000_000)],
+        [F.lit("depth"), F.col("depth").cast("long"), long(32)],
+        [F.lit("file_bytes"), F.col("pages") * 16384 + objects * 48, long(file_bytes)],
+        [F.lit("object_reads"), long(objects), long(reads)],
+        [F.lit("scan_reads"), long(-(-scan_bytes // request)), long(4_096)],
+        [F.lit("full_candidates"), long(validations), long(candidate_bytes // file_bytes)],
+    )
+    return shape.select(rows).select("name", "needed", "allowed", (F.col("needed") <= F.col("allowed")).alias("fits"))
+
+
+# ---- occupancy ----------------------------------------------------------------------------------------------------------
+
+
+def borrow_sides(spark: SparkSession, least: int = 93, most: int = 96) -> DataFrame:
+    """Who helps a page one short, by its siblings' entries (-1: none): left first, and the fuller one (left on ties)."""
+    side = cases(spark, [(n,) for n in (-1, *range(least, most + 1))], "n int")
+    s = side.toDF("left_entries").crossJoin(side.toDF("right_entries"))
+    left, right = F.col("left_entries"), F.col("right_entries")
+    merge = F.when(left >= 0, "merge_left").when(right >= 0, "merge_right").otherwise("alone")
+    first = F.when(left > least, "borrow_left").when(right > least, "borrow_right").otherwise(merge)
+    fuller = F.when((left > least) & (left >= right), "borrow_left").when(right > least, "borrow_right").otherwise(merge)
+    donor = F.when(first == "borrow_left", left).when(first == "borrow_right", right)
+    return s.select("left_entries", "right_entries", first.alias("left_first"), fuller.alias("fuller_sibling"), F.coalesce(donor == least + 1, F.lit(False)).alias("donor_cliff"))
+
+
+def hazards(pages: DataFrame, least: int, capacity: int) -> DataFrame:
+    """(entries of each leaf) -> the chance that a random deletion leaves a leaf short, and that a random insertion splits one.
+
+    A deletion hits a key of a leaf at the minimum, an insertion a gap of a full leaf; a leaf of n entries has n + 1 gaps.
+    """
+    a = pages.agg(F.sum("entries").alias("keys"), F.count("*").alias("leaves"), F.count_if(F.col("entries") == least).alias("n_least"), F.count_if(F.col("entries") == capacity).alias("n_full"))
+    return a.select("keys", "leaves", F.round(least * F.col("n_least") / F.col("keys"), 9).alias("underflow"), F.round((capacity + 1) * F.col("n_full") / (F.col("keys") + F.col("leaves")), 9).alias("split"))
+
+
+def backoff(spark: SparkSession, attempts: int = 10, base: int = 100, most: int = 5000, server_mins: tuple[int, ...] = (0, 700, 6000), cap: int = 20_000, remaining: int = 30_000) -> DataFrame:
+    """Delays attempt by attempt: least(base * 2 ^ n, most), not under the server's minimum; a minimum beyond `most`, or a sum
+    beyond `cap`, is Limit; a delay that doesn't fit into what remains is DeadlineExceeded; after either nothing is waited."""
+    n = cases(spark, [(s, k) for s in server_mins for k in range(attempts)], "server_min long, n long")
+    d = n.withColumn("delay_ms", F.greatest(F.least(base * F.pow(F.lit(2.0), F.col("n")), F.lit(most)).cast("long"), F.col("server_min")))
+    w = Window.partitionBy("server_min").orderBy("n")
+    upto = F.sum("delay_ms").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("waited_ms", upto)
+    bad = F.when(F.col("server_min") > most, "Limit").when(F.col("delay_ms") >= remaining - (F.col("waited_ms") - F.col("delay_ms")), "DeadlineExceeded").when(F.col("waited_ms") > cap, "Limit")
+    d = d.withColumn("bad", bad).withColumn("first", F.min(F.when(F.col("bad").isNotNull(), F.col("n"))).over(Window.partitionBy("server_min")))
+    outcome = F.when(F.col("n") < F.coalesce("first", F.lit(attempts)), "Wait").when(F.col("n") == F.col("first"), F.col("bad")).otherwise("AfterTerminal")
+    return d.select("server_min", "n", "delay_ms", outcome.alias("outcome"))

@@ -1,10 +1,11 @@
-"""The folder that cuts lineage."""
+"""The folder that cuts lineage, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -14,3 +15,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: its lineage ends there, and its size is known to the plans that follow."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions import models
 from keyloom.functions.codec import digest
 from keyloom.operators import checks, graph, history, merge, tree
+from keyloom.plans import analytics, updates
 from keyloom.sources import container
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -289,14 +289,6 @@ def _(s, d):
     return planning.encoded(table(s, d, "part"))
 
 
-@query("mixed_leaf_plan")
-def _(s, d):
-    from keyloom.operators import planning
-
-    sizes = table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("parent"), F.col("o_custkey").alias("page_no")).agg(F.count("*").alias("entries"))
-    return planning.repaired(sizes, least=6, capacity=30)
-
-
 @query("occupancy_simulation")
 def _(s, d):
     from keyloom.operators import planning
@@ -353,18 +345,7 @@ def _(s, d):
     return container.footers(_damaged(s, d)).select("file", newest.alias("rank"), "valid", "exact_end")
 
 
-def _model(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            if f" {name}" in sql:
-                table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(sql)
-
-    return run
-
-
-for _name, _sql in models.MODELS.items():
-    QUERIES[_name] = (_model(_sql), models.for_duckdb(_sql))
+QUERIES |= analytics.QUERIES | updates.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from keyloom.functions.codec import decode_value, encode_value
-from keyloom.operators import graph, history, merge, planning, tree
+from keyloom.operators import graph, history, merge, tree
 
 STATE = "object_id long, kind int, digest string"
 OPS = "object_id long, op string, kind int, digest string"
@@ -73,11 +73,6 @@ def test_values_round_trip():
             decode_value(bad)
 
 
-def test_repair_reaches_the_minimum():
-    assert planning.repair([9, 5, 5], 6, 30) == [("borrow", 0, 1), ("merge_left", 2, 1)]
-    assert planning.repair([6, 5], 6, 30) == [("merge_left", 1, 0)]
-
-
 def test_store(spark, tmp_path):
     from keyloom.sources.store import Store
 
