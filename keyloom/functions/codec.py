@@ -59,6 +59,8 @@ def encode_value(value) -> bytes:
     if isinstance(value, (list, tuple)):
         return head(4, len(value)) + b"".join(map(encode_value, value))
     if isinstance(value, dict):
+        if any(type(k) not in (int, bytes, str) for k in value):
+            raise TypeError("keys are integers, bytes or text")
         entries = sorted(((encode_value(k), encode_value(v)) for k, v in value.items()), key=lambda e: (len(e[0]), e[0]))
         return head(5, len(entries)) + b"".join(k + v for k, v in entries)
     raise TypeError(type(value).__name__)
@@ -105,6 +107,8 @@ def _decode(data: bytes, at: int, depth: int):
         for _ in range(n):
             start = at
             k, at = _decode(data, at, depth - 1)
+            if type(k) not in (int, bytes, str):
+                raise ValueError("unsupported key")  # 1 and true would be one key, and a list is none
             key = (at - start, data[start:at])
             if last is not None and key <= last:
                 raise ValueError("keys out of order or repeated")

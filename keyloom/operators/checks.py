@@ -40,3 +40,29 @@ def salvaged(records: DataFrame) -> DataFrame:
     """The records before each file's first failed check; a salvage, never a verdict."""
     first = violations(records).groupBy("file").agg(F.min("offset").alias("end"))
     return records.join(first, "file", "left").filter("end is null or offset < end").select("file", "offset", "object_id")
+
+
+def interpreted(objects: DataFrame, supported: list[int]) -> DataFrame:
+    """(object_id, required, optional: arrays of capabilities) -> NotInterpretable where one that is required isn't supported; how
+    many optional ones are unknown, and kept."""
+    known = F.array(*map(F.lit, supported))
+    missing, unknown = F.array_except("required", known), F.array_except("optional", known)
+    return objects.select("object_id", F.when(F.size(missing) == 0, "Supported").otherwise("NotInterpretable").alias("verdict"), F.size(unknown).cast("long").alias("kept_unknown"))
+
+
+def rewritten(extensions: DataFrame, updates: DataFrame) -> DataFrame:
+    """(tag, known, payload) after updates (tag, payload). Unknown tags keep their bytes; an update of one, or of a tag that
+    isn't there, is an error."""
+    wrong = updates.join(extensions.filter("known"), "tag", "left_anti").limit(1).collect()
+    if wrong:
+        raise ValueError(f"tag {wrong[0].tag} can't be rewritten")
+    u = updates.select("tag", F.col("payload").alias("new"), F.lit(True).alias("rewritten"))
+    return extensions.join(u, "tag", "left").select("tag", "known", F.coalesce("new", "payload").alias("payload"), F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
+def stage_order(steps: DataFrame) -> DataFrame:
+    """(file, position, stage) -> per file: steps, those whose stage doesn't come after the one before, and the first of them."""
+    w = Window.partitionBy("file").orderBy("position")
+    bad = F.coalesce(F.lag("stage").over(w) >= F.col("stage"), F.lit(False))
+    s = steps.withColumn("bad", bad)
+    return s.groupBy("file").agg(F.count("*").alias("steps"), F.count_if("bad").alias("violations"), F.min(F.when(F.col("bad"), F.col("position"))).alias("first_violation"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.codec import digest
+from keyloom.functions.session import written
 
 # Entries of a leaf and of an internal page, and the least of each.
 LEAF, LEAF_LEAST, FANOUT, FANOUT_LEAST = 185, 93, 255, 128
@@ -24,18 +25,37 @@ def page_of(rank: Column, total: Column, capacity: int, least: int) -> Column:
     return F.when((total <= capacity) | (rest == 0) | (rest >= least), even).otherwise(split).cast("long")
 
 
-def global_rank(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
-    """df with `rank` (1 ...) and `total`, by key. Ranges are ranked side by side; only their counts meet in one place."""
+def in_ranges(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
+    """df with `part`, the range of the key's values that a row falls into: later ranges hold larger keys."""
     cuts = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    dealt = df.withColumn("part", part)
+    return df.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0))
+
+
+def global_rank(df: DataFrame, key: str, ranges: int = RANGES, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with `rank` (1 ...) and `total`, by key and then by ties. Ranges are ranked side by side; only their counts meet in one place."""
+    dealt = in_ranges(df, key, ranges)
     sums = dealt.groupBy("part").agg(F.count("*").alias("n"))
     sums = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(key, *ties))
     return dealt.withColumn("own", own).join(F.broadcast(sums), "part").withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "before")
 
 
+def running(df: DataFrame, key: str, value: Column, into: str, how: str = "sum", ties: tuple[str, ...] = (), before: bool = False, ranges: int = RANGES) -> DataFrame:
+    """df with the running sum or max of a value in the order of key and ties (before: without the row itself).
+
+    Each range runs by itself; the ranges' own sums or maxima, a row for each, run in one place.
+    """
+    fold = {"sum": F.sum, "max": F.max}[how]
+    dealt = in_ranges(df, key, ranges).withColumn("value_", value)
+    own = Window.partitionBy("part").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    carry = dealt.groupBy("part").agg(fold("value_").alias("all_"))
+    carry = carry.select("part", fold("all_").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
+    both = dealt.withColumn("own_", fold("value_").over(own)).join(F.broadcast(carry), "part")
+    found = F.greatest("own_", "carried_") if how == "max" else F.coalesce("own_", F.lit(0)) + F.coalesce("carried_", F.lit(0))
+    return both.withColumn(into, found).drop("part", "value_", "own_", "carried_")
+
+
 def leaf_pages(objects: DataFrame) -> DataFrame:
     """(object_id, digest) -> level, page_no, min_id, max_id, entry_count, page_digest."""
     ranked = global_rank(objects.select("object_id", "digest"), "object_id")
@@ -56,23 +76,38 @@ def next_level(pages: DataFrame, level: int) -> DataFrame:
 
 
 def index_pages(objects: DataFrame) -> DataFrame:
-    """All levels, leaves to root."""
-    pages = leaf_pages(objects)
+    """All levels, leaves to root. Each level is written once, and the one above is made of it."""
+    pages, level = written(leaf_pages(objects), "pages"), 0
     out = pages
-    for level in range(1, len(shape(objects.count()))):  # as many levels as the count of objects asks for
-        pages = next_level(pages, level)
+    while pages.count() > 1:
+        level += 1
+        pages = written(next_level(pages, level), "pages")
         out = out.unionByName(pages)
     return out
 
 
+def touched(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Per level: pages, and those whose range holds a key (column key). Keys meet maxima in ranges of ids, level by level."""
+    from keyloom.operators.cow import routed
+
+    out = None
+    for level in range(pages.agg(F.max("level")).first()[0] + 1):
+        own = pages.filter(F.col("level") == level).select(F.col("page_no").alias("page"), "min_id", "max_id")
+        at = routed(keys.select(F.col("key").alias("object_id")), own).join(own.withColumnRenamed("page", "leaf"), "leaf").filter("object_id between min_id and max_id")
+        row = own.agg(F.count("*").alias("pages")).crossJoin(at.agg(F.count_distinct("leaf").alias("touched"))).select(F.lit(level).alias("level"), "pages", "touched")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def lookup(pages: DataFrame, objects: DataFrame, keys: DataFrame) -> DataFrame:
     """For each key: the leaf whose range holds it (null: in a gap between leaves or outside), and whether it is there.
 
     keys: key. Routing is by upper bound, the first leaf whose max_id is not less. A leaf takes the ids since the leaf before;
     it meets the keys by equal cells of `CELL` ids, so nothing is compared but what lies near each other.
     """
-    w = Window.orderBy("page_no")
-    leaves = pages.filter("level = 0").select("page_no", "min_id", "max_id", F.coalesce(F.lag("max_id").over(w), F.col("min_id") - 1).alias("after"))
+    own = pages.filter("level = 0").select("page_no", "min_id", "max_id")
+    before = own.select((F.col("page_no") + 1).alias("page_no"), F.col("max_id").alias("last"))  # page numbers have no gaps
+    leaves = own.join(before, "page_no", "left").select("page_no", "min_id", "max_id", F.coalesce("last", F.col("min_id") - 1).alias("after"))
     lowest = leaves.agg(F.min("min_id").alias("lowest"))
     cells = leaves.select(F.struct("page_no", "min_id", "max_id", "after").alias("leaf"), F.explode(F.sequence(F.floor((F.col("after") + 1) / CELL), F.floor(F.col("max_id") / CELL))).alias("cell"))
     asked = keys.crossJoin(F.broadcast(lowest)).select(F.col("key").alias("at"), F.floor(F.greatest("key", "lowest") / CELL).alias("k_cell"), F.greatest("key", "lowest").alias("up"))
@@ -89,3 +124,24 @@ def shape(n: int, leaf: int = LEAF, fanout: int = FANOUT) -> list[int]:
     while out[-1] > 1:
         out.append(-(-out[-1] // fanout))
     return out
+
+
+def hash_anchors(scored: DataFrame, threshold: int) -> DataFrame:
+    """(object_id, score) -> pages that each begin at a score under the threshold: page, entries, min_id, max_id. Boundaries
+    depend on the entries alone, so an update changes the pages around it only."""
+    paged = running(scored, "object_id", (F.col("score") < threshold).cast("long"), "page")
+    return paged.groupBy("page").agg(F.count("*").alias("entries"), F.min("object_id").alias("min_id"), F.max("object_id").alias("max_id"))
+
+
+def minimizers(scored: DataFrame, width: int, block: int = 1 << 16) -> DataFrame:
+    """(object_id, score) -> boundary, windows: the entry of least score (leftmost on ties) of each `width` entries in a row.
+
+    Ranks are cut into blocks; a block also gets the last width - 1 entries of the one before, so no window is cut.
+    """
+    ranked = global_rank(scored, "object_id").withColumn("r", F.col("rank") - 1)
+    own = F.floor(F.col("r") / block)
+    next_ = F.when(F.col("r") % block >= block - (width - 1), own + 1)
+    dealt = ranked.withColumn("block", F.explode(F.filter(F.array(own, next_), lambda x: x.isNotNull())))
+    w = Window.partitionBy("block").orderBy("object_id").rowsBetween(-(width - 1), Window.currentRow)
+    least = dealt.withColumn("boundary", F.min(F.struct("score", "object_id")).over(w)["object_id"]).filter((F.col("rank") >= width) & (F.floor(F.col("r") / block) == F.col("block")))
+    return least.groupBy("boundary").agg(F.count("*").alias("windows"))

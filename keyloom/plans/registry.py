@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.codec import digest
-from keyloom.operators import checks, graph, history, merge, tree
+from keyloom.operators import checks, cow, graph, history, merge, tree
 from keyloom.plans import analytics, updates
 from keyloom.sources import container
 
@@ -45,25 +45,28 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as framed records, one file for each part key's remainder by 16; some damaged on purpose."""
-    x = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_partkey").alias("p"))
+    """The orders of all line items as framed records, one file for each part key's remainder by 16; some damaged on purpose."""
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_partkey").alias("p"))
     r = x.select((F.col("l_orderkey") % 16).alias("file"), (F.floor(F.col("l_orderkey") / 16) * 100).alias("offset"), F.when(F.col("l_orderkey") % 997 == 5, 0).otherwise(F.col("l_orderkey") + 1).cast("long").alias("object_id"), (F.col("p") % 5 + 1).alias("kind"), F.when(F.col("l_orderkey") % 1013 == 7, 130).otherwise(100).cast("long").alias("stored_len"), F.col("l_orderkey").alias("key"))
     return r.select("file", "offset", "object_id", "kind", "stored_len", F.lit(100).cast("long").alias("logical_len"), digest("record", F.when(F.col("key") % 1511 == 9, F.lit(-1)).otherwise(F.col("key"))).alias("digest"), digest("record", F.col("key")).alias("expected"))
 
 
+FAILURES = ["integrity_failed", "unsupported", "truncated", "invalid"]
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot candidates from all events: a chain by event id, with forks, gaps, progress and unverified ones."""
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
-    return e.select(i.alias("id"), F.when(i == 0, 0).when(i % 97 == 13, i + 1).otherwise(i).cast("long").alias("sequence"), F.when(i > 0, F.when(i % 89 == 17, i + 100_000).otherwise(i - 1)).cast("long").alias("parent"), (i * 4096).alias("footer_offset"), F.lit(True).alias("exact_end"), F.when(i % 101 == 60, "progress").otherwise("complete").alias("checkpoint"), F.when(i % 103 == 70, "invalid").otherwise("verified").alias("status"))
+    return e.select(i.alias("id"), F.when(i == 0, 0).when(i % 97 == 13, i + 1).otherwise(i).cast("long").alias("sequence"), F.when(i > 0, F.when(i % 89 == 17, i + 100_000).otherwise(i - 1)).cast("long").alias("parent"), (i * 4096).alias("footer_offset"), (i % 211 == 5).alias("exact_end"), F.when(i % 101 == 60, "progress").otherwise("complete").alias("checkpoint"), F.when(i % 103 == 70, F.element_at(F.array(*map(F.lit, FAILURES)), (i % 4 + 1).cast("int"))).otherwise("verified").alias("status"))
 
 
 SQL = {
     "objects": "SELECT o_orderkey + 1 AS object_id, CAST(o_orderkey % 5 + 1 AS INT) AS kind, sha256('keyloom:object:' || concat_ws('|', o_orderkey + 1, o_orderkey % 5 + 1, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT))) AS digest FROM orders",
     "ops": "SELECT object_id, 'put' AS op, 9 AS kind, sha256('keyloom:object:' || concat_ws('|', object_id, 'new')) AS digest FROM (SELECT o_orderkey + 1 AS object_id FROM orders WHERE (o_orderkey + 1) % 10 = 3 UNION ALL SELECT o_orderkey + 100000001 FROM orders WHERE (o_orderkey + 1) % 50 = 1) p UNION ALL SELECT o_orderkey + 1, 'delete', NULL, NULL FROM orders WHERE (o_orderkey + 1) % 10 = 7",
     "log": "SELECT seq, object_id, CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'put' END AS op, sha256('keyloom:event:' || event_id) AS digest FROM (SELECT CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS seq, user_id + 1 AS object_id, max(event_id) AS event_id FROM events GROUP BY 1, 2) x",
-    "records": "SELECT l_orderkey % 16 AS file, l_orderkey // 16 * 100 AS \"offset\", CASE WHEN l_orderkey % 997 = 5 THEN 0 ELSE l_orderkey + 1 END AS object_id, p % 5 + 1 AS kind, CASE WHEN l_orderkey % 1013 = 7 THEN 130 ELSE 100 END AS stored_len, 100 AS logical_len, sha256('keyloom:record:' || CASE WHEN l_orderkey % 1511 = 9 THEN -1 ELSE l_orderkey END) AS digest, sha256('keyloom:record:' || l_orderkey) AS expected FROM (SELECT l_orderkey, max(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) x",
-    "candidates": "SELECT event_id AS id, CASE WHEN event_id = 0 THEN 0 WHEN event_id % 97 = 13 THEN event_id + 1 ELSE event_id END AS sequence, CASE WHEN event_id > 0 THEN CASE WHEN event_id % 89 = 17 THEN event_id + 100000 ELSE event_id - 1 END END AS parent, event_id * 4096 AS footer_offset, CASE WHEN event_id % 101 = 60 THEN 'progress' ELSE 'complete' END AS checkpoint, CASE WHEN event_id % 103 = 70 THEN 'invalid' ELSE 'verified' END AS status FROM events WHERE event_id < 400",
+    "records": "SELECT l_orderkey % 16 AS file, l_orderkey // 16 * 100 AS \"offset\", CASE WHEN l_orderkey % 997 = 5 THEN 0 ELSE l_orderkey + 1 END AS object_id, p % 5 + 1 AS kind, CASE WHEN l_orderkey % 1013 = 7 THEN 130 ELSE 100 END AS stored_len, 100 AS logical_len, sha256('keyloom:record:' || CASE WHEN l_orderkey % 1511 = 9 THEN -1 ELSE l_orderkey END) AS digest, sha256('keyloom:record:' || l_orderkey) AS expected FROM (SELECT l_orderkey, max(l_partkey) AS p FROM lineitem GROUP BY 1) x",
+    "candidates": "SELECT event_id AS id, CASE WHEN event_id = 0 THEN 0 WHEN event_id % 97 = 13 THEN event_id + 1 ELSE event_id END AS sequence, CASE WHEN event_id > 0 THEN CASE WHEN event_id % 89 = 17 THEN event_id + 100000 ELSE event_id - 1 END END AS parent, event_id * 4096 AS footer_offset, CASE WHEN event_id % 101 = 60 THEN 'progress' ELSE 'complete' END AS checkpoint, CASE WHEN event_id % 103 = 70 THEN list_extract(['integrity_failed', 'unsupported', 'truncated', 'invalid'], event_id % 4 + 1) ELSE 'verified' END AS status, event_id % 211 = 5 AS exact_end FROM events",
 }
 
 
@@ -113,10 +116,10 @@ def _(s, d):
 
 
 def _keys(s, d):
-    return table(s, d, "orders").filter("o_orderkey % 37 = 0").select((F.col("o_orderkey") * 2 + 1).alias("key"))
+    return table(s, d, "orders").select((F.col("o_orderkey") * 2 + 1).alias("key"))
 
 
-@query("index_lookup", f"WITH {pages_sql(SQL['objects'])}, keys AS (SELECT o_orderkey * 2 + 1 AS key FROM orders WHERE o_orderkey % 37 = 0) SELECT k.key, (SELECT min(page_no) FROM l0 WHERE max_id >= k.key) AS routed_page, (SELECT min(page_no) FROM l0 WHERE k.key BETWEEN min_id AND max_id) AS page_no, EXISTS (SELECT 1 FROM orders WHERE o_orderkey + 1 = k.key) AS found FROM keys k")
+@query("index_lookup", f"WITH {pages_sql(SQL['objects'])}, keys AS (SELECT o_orderkey * 2 + 1 AS key FROM orders) SELECT k.key, (SELECT min(page_no) FROM l0 WHERE max_id >= k.key) AS routed_page, (SELECT min(page_no) FROM l0 WHERE k.key BETWEEN min_id AND max_id) AS page_no, EXISTS (SELECT 1 FROM orders WHERE o_orderkey + 1 = k.key) AS found FROM keys k")
 def _(s, d):
     o = objects(s, d)
     return tree.lookup(tree.leaf_pages(o), o, _keys(s, d))
@@ -128,9 +131,9 @@ def _(s, d):
     return objects(s, d).join(wanted, "object_id", "left_semi")
 
 
-@query("missing_roots", "SELECT DISTINCT l_partkey + 1 AS object_id FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("missing_roots", "SELECT DISTINCT l_partkey + 1 AS object_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def _(s, d):
-    asked = table(s, d, "lineitem").filter("l_partkey % 3 = 0").select((F.col("l_partkey") + 1).alias("object_id")).distinct()
+    asked = table(s, d, "lineitem").select((F.col("l_partkey") + 1).alias("object_id")).distinct()
     return asked.join(table(s, d, "part").filter("p_size > 10").select((F.col("p_partkey") + 1).alias("object_id")), "object_id", "left_anti")
 
 
@@ -173,12 +176,14 @@ def _(s, d):
     return merge.page_reuse(tree.index_pages(o), tree.index_pages(new))
 
 
-@query("touched_pages", f"WITH {pages_sql(SQL['objects'])} SELECT level, count(*) AS pages, count_if(hit) AS touched FROM (SELECT level, EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 1000 = 3 AND o_orderkey + 1 BETWEEN p.min_id AND p.max_id) AS hit FROM pages p) x GROUP BY level")
+@query("touched_pages", f"WITH {pages_sql(SQL['objects'])} SELECT level, count(*) AS pages, count_if(hit) AS touched FROM (SELECT level, EXISTS (SELECT 1 FROM customer WHERE c_custkey * 37 + 1 BETWEEN p.min_id AND p.max_id) AS hit FROM pages p) x GROUP BY level")
+def _(s, d):
+    return tree.touched(tree.index_pages(objects(s, d)), table(s, d, "customer").select((F.col("c_custkey") * 37 + 1).alias("key")))
+
+
+@query("cow_mixed", f"WITH old AS (WITH {pages_sql(SQL['objects'])} SELECT * FROM pages), new AS (WITH {pages_sql(f'SELECT object_id, digest FROM ({MERGED}) m')} SELECT * FROM pages) SELECT 'canonical_mixed' AS mode, count(*) AS result_pages, count_if(o.page_digest IS NULL) AS pages_written, count_if(o.page_digest IS NOT NULL) AS pages_reused FROM new n LEFT JOIN (SELECT DISTINCT level, page_digest FROM old) o ON o.level = n.level AND o.page_digest = n.page_digest")
 def _(s, d):
-    keys = table(s, d, "orders").filter("o_orderkey % 1000 = 3").select((F.col("o_orderkey") + 1).alias("key"))
-    pages = tree.index_pages(objects(s, d))
-    hit = pages.join(keys, (F.col("key") >= F.col("min_id")) & (F.col("key") <= F.col("max_id")), "left_semi").groupBy("level").agg(F.count("*").alias("touched"))
-    return pages.groupBy("level").agg(F.count("*").alias("pages")).join(hit, "level", "left").select("level", "pages", F.coalesce("touched", F.lit(0)).cast("long").alias("touched"))
+    return cow.mixed(cow.built(objects(s, d)), operations(s, d))[1]
 
 
 @query("time_travel", f"SELECT object_id, seq, digest FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq DESC) AS k FROM ({SQL['log']}) l WHERE seq <= 10) x WHERE k = 1 AND op = 'put'")
@@ -196,16 +201,30 @@ def _(s, d):
     return history.history_breaks(candidates(s, d).filter("id % 97 <> 14").select(F.col("sequence").alias("seq"), "parent", "id"))
 
 
-@query("root_enumeration", f"WITH c AS ({SQL['candidates']}) SELECT c.id, c.sequence, CASE WHEN c.status <> 'verified' THEN 'NotVerified' WHEN c.checkpoint <> 'complete' THEN 'Progress' WHEN c.parent IS NULL AND c.sequence <> 0 THEN 'GenesisSequence' WHEN c.parent IS NOT NULL AND p.id IS NULL THEN 'MissingParent' WHEN p.status <> 'verified' OR p.checkpoint <> 'complete' THEN 'ParentNotVerified' WHEN p.sequence >= c.sequence THEN 'SequenceNotIncreasing' WHEN p.sequence + 1 <> c.sequence THEN 'SequenceGap' ELSE 'Valid' END AS verdict, row_number() OVER (ORDER BY c.footer_offset DESC, c.id) AS rank FROM c LEFT JOIN c p ON p.id = c.parent")
+# A parent in the test tables is the id before, or is missing: so a walk ends at the greatest id up to its own that doesn't go on.
+CHAINS = f"""c AS ({SQL['candidates']}), e AS (SELECT c.*, CASE WHEN c.status <> 'verified' OR c.checkpoint <> 'complete' THEN 'own' WHEN c.parent IS NULL THEN 'root' WHEN p.id IS NULL THEN 'MissingParent' WHEN p.status <> 'verified' OR p.checkpoint <> 'complete' THEN 'ParentNotVerified' WHEN p.sequence >= c.sequence THEN 'NonIncreasingSequence' WHEN p.sequence + 1 <> c.sequence THEN 'SequenceGap' END AS stop FROM c LEFT JOIN c p ON p.id = c.parent),
+w AS (SELECT *, max(CASE WHEN stop IS NOT NULL THEN id END) OVER (ORDER BY id) AS ends FROM e),
+v AS (SELECT w.*, CASE WHEN w.status = 'integrity_failed' THEN 'IntegrityFailed' WHEN w.status = 'unsupported' THEN 'UnsupportedRequiredCapability' WHEN w.status = 'truncated' THEN 'Truncated' WHEN w.status = 'invalid' THEN 'Invalid' WHEN w.checkpoint = 'progress' THEN 'ProgressCheckpoint' WHEN x.stop <> 'root' THEN x.stop END AS failure FROM w JOIN e x ON x.id = w.ends)"""
+
+
+@query(
+    "root_enumeration",
+    f"WITH {CHAINS}, g AS (SELECT * FROM v WHERE failure IS NULL), t AS (SELECT * FROM g WHERE id NOT IN (SELECT parent FROM g WHERE parent IS NOT NULL)), b AS (SELECT max(sequence) AS s FROM t) SELECT v.id, v.sequence, v.exact_end, CASE WHEN failure IS NOT NULL THEN failure WHEN v.id NOT IN (SELECT id FROM t) THEN 'VerifiedAncestor' WHEN v.sequence = (SELECT s FROM b) AND (SELECT count(*) FROM t, b WHERE sequence = s) > 1 THEN 'VerifiedForkTerminal' ELSE 'VerifiedTerminal' END AS status, CASE WHEN failure IS NULL THEN v.id - ends + 1 END AS chain_depth, row_number() OVER (ORDER BY v.footer_offset DESC, v.sequence DESC, v.id) AS rank FROM v",
+)
 def _(s, d):
     return history.enumerated(candidates(s, d))
 
 
-@query("root_selection", f"WITH RECURSIVE c AS ({SQL['candidates']}), chain AS (SELECT id, sequence, parent FROM c WHERE parent IS NULL AND sequence = 0 AND status = 'verified' AND checkpoint = 'complete' UNION ALL SELECT c.id, c.sequence, c.parent FROM c JOIN chain ON c.parent = chain.id WHERE c.status = 'verified' AND c.checkpoint = 'complete' AND c.sequence = chain.sequence + 1), t AS (SELECT * FROM chain WHERE id NOT IN (SELECT parent FROM chain WHERE parent IS NOT NULL)) SELECT sequence, CASE WHEN count(*) = 1 THEN min(id) END AS id, count(*) AS terminals, CASE WHEN count(*) = 1 THEN 'Selected' ELSE 'AmbiguousFork' END AS outcome FROM t WHERE sequence = (SELECT max(sequence) FROM t) GROUP BY sequence")
+@query("root_selection", f"WITH {CHAINS}, g AS (SELECT * FROM v WHERE failure IS NULL), t AS (SELECT * FROM g WHERE id NOT IN (SELECT parent FROM g WHERE parent IS NOT NULL)), b AS (SELECT * FROM t WHERE sequence = (SELECT max(sequence) FROM t)) SELECT CASE count(*) WHEN 0 THEN 'NoValidRoot' WHEN 1 THEN 'Selected' ELSE 'AmbiguousFork' END AS outcome, CASE WHEN count(*) = 1 THEN min(id) END AS id, CASE WHEN count(*) = 1 THEN min(sequence) END AS sequence, count(*) AS candidates FROM b")
 def _(s, d):
     return history.selected(candidates(s, d))
 
 
+@query("root_selection_exact_end", f"WITH {CHAINS}, b AS (SELECT * FROM v WHERE failure IS NULL AND exact_end) SELECT CASE count(*) WHEN 0 THEN 'NoExactEndRoot' WHEN 1 THEN 'Selected' ELSE 'MultipleExactEndRoots' END AS outcome, CASE WHEN count(*) = 1 THEN min(id) END AS id, CASE WHEN count(*) = 1 THEN min(sequence) END AS sequence, count(*) AS candidates FROM b")
+def _(s, d):
+    return history.selected(candidates(s, d), "strict_exact_end")
+
+
 @query("freshness", f"SELECT sequence, digest, CASE WHEN sequence < 50 THEN 'Rollback' WHEN sequence > 50 THEN 'Advances' WHEN digest = 50 THEN 'Current' ELSE 'ForkAtTrustedSequence' END AS freshness FROM (SELECT sequence, id AS digest FROM ({SQL['candidates']}) c) x")
 def _(s, d):
     trusted = s.range(1).select(F.lit(50).cast("long").alias("t_sequence"), F.lit(50).cast("long").alias("t_digest"))
@@ -227,12 +246,17 @@ def _(s, d):
     return history.retained(change_log(s, d).select("seq").distinct(), 3, [0, 2])
 
 
-@query("history_reissue", f"SELECT seq, dense_rank() OVER (ORDER BY seq) - 1 AS reissued, changes FROM (SELECT seq, count(*) AS changes FROM ({SQL['log']}) l WHERE seq % 3 = 0 GROUP BY seq) x")
+@query(
+    "history_reissue",
+    f"WITH log AS ({SQL['log']}), q AS (SELECT unnest([0, 1, 2]) AS k, unnest([1, 4, 9]) AS seq), st AS (SELECT k, object_id, digest FROM (SELECT q.k, l.object_id, l.op, l.digest, row_number() OVER (PARTITION BY q.k, l.object_id ORDER BY l.seq DESC) AS rn FROM log l JOIN q ON l.seq <= q.seq) x WHERE rn = 1 AND op = 'put') SELECT * FROM (SELECT coalesce(b.k, a.k) AS reissue, coalesce(b.object_id, a.object_id) AS object_id, CASE WHEN b.digest IS NULL THEN 'delete' ELSE 'put' END AS op, b.digest FROM st b FULL JOIN (SELECT k + 1 AS k, object_id, digest FROM st) a ON a.k = b.k AND a.object_id = b.object_id WHERE a.digest IS DISTINCT FROM b.digest) y WHERE reissue < 3",
+)
 def _(s, d):
-    from pyspark.sql import Window
+    return history.reissued(change_log(s, d), [1, 4, 9])
 
-    kept = change_log(s, d).filter("seq % 3 = 0").groupBy("seq").agg(F.count("*").alias("changes"))
-    return kept.select("seq", (F.dense_rank().over(Window.orderBy("seq")) - 1).cast("long").alias("reissued"), "changes")
+
+@query("content_reversion", f"WITH log AS (SELECT seq, object_id, op, CASE WHEN op = 'put' THEN substr(digest, 1, 1) END AS digest FROM ({SQL['log']}) l), r AS (SELECT l.* FROM log l WHERE op = 'put' AND NOT EXISTS (SELECT 1 FROM log p WHERE p.object_id = l.object_id AND p.op = 'put' AND p.digest = l.digest AND p.seq = (SELECT max(seq) FROM log q WHERE q.object_id = l.object_id AND q.seq < l.seq))) SELECT object_id, digest, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS times FROM r GROUP BY 1, 2 HAVING count(*) > 1")
+def _(s, d):
+    return history.reversions(change_log(s, d).withColumn("digest", F.when(F.col("op") == "put", F.substring("digest", 1, 1))))
 
 
 def _graph(s, d):
@@ -249,10 +273,75 @@ def _(s, d):
     return graph.compaction(*_graph(s, d))
 
 
-@query("repair_plan", "WITH l AS (SELECT l_orderkey + 1 AS object_id, min(l_partkey) * 40 AS record_offset, CAST(sum(l_linenumber) AS BIGINT) AS record_len FROM lineitem WHERE l_orderkey % 4 = 1 GROUP BY 1) SELECT object_id, record_offset, record_len, coalesce(max(record_offset + record_len) OVER (ORDER BY record_offset, object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > record_offset, FALSE) AS overlaps FROM l WHERE object_id % 3 = 0")
+@query("repair_plan", "WITH l AS (SELECT l_orderkey + 1 AS object_id, min(l_partkey) * 40 AS record_offset, CAST(sum(l_linenumber) AS BIGINT) AS record_len FROM lineitem GROUP BY 1) SELECT object_id, record_offset, record_len, coalesce(max(record_offset + record_len) OVER (ORDER BY record_offset, object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > record_offset, FALSE) AS overlaps FROM l WHERE object_id IN (SELECT l_orderkey + 1 FROM lineitem WHERE l_returnflag = 'R')")
+def _(s, d):
+    x = table(s, d, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("object_id")).agg((F.min("l_partkey") * 40).alias("record_offset"), F.sum("l_linenumber").cast("long").alias("record_len"))
+    wanted = table(s, d, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_orderkey") + 1).alias("id")).distinct()
+    return graph.repair_plan(x, wanted)
+
+
+@query(
+    "state_closures",
+    f"WITH RECURSIVE e AS (SELECT 0 AS seq, * FROM ({EDGES}) x UNION ALL SELECT 1, * FROM ({EDGES}) x WHERE dst < 100000000), q(seq, id) AS (VALUES (0, 1000001::BIGINT), (1, 1000002::BIGINT)), r(seq, id, depth) AS (SELECT seq, id, 0 FROM q UNION SELECT e.seq, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id AND e.seq = r.seq WHERE r.depth < 6), m AS (SELECT seq, id, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT m.seq, count(DISTINCT m.id) AS reachable, (SELECT count(*) FROM e JOIN m x ON x.seq = e.seq AND x.id = e.src WHERE e.seq = m.seq) AS edges_visited, max(depth) AS max_depth FROM m GROUP BY m.seq",
+)
 def _(s, d):
-    x = table(s, d, "lineitem").filter("l_orderkey % 4 = 1").groupBy((F.col("l_orderkey") + 1).alias("object_id")).agg((F.min("l_partkey") * 40).alias("record_offset"), F.sum("l_linenumber").cast("long").alias("record_len"))
-    return graph.repair_plan(x, x.filter("object_id % 3 = 0").select(F.col("object_id").alias("id")))
+    _, edges, _ = _graph(s, d)
+    both = edges.withColumn("seq", F.lit(0)).unionByName(edges.filter("dst < 100000000").withColumn("seq", F.lit(1)))
+    roots = s.range(2).select(F.col("id").cast("int").alias("seq"), (F.col("id") + 1_000_001).alias("id"))
+    return graph.totals(both, graph.closure(both, roots, by=("seq",)), by=("seq",))
+
+
+@query("semantic_compaction", f"WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(2000003 AS BIGINT) UNION SELECT e.dst FROM r JOIN e ON e.src = r.id WHERE e.dst >= 2000000) SELECT id, id % 1000 AS size FROM r")
+def _(s, d):
+    nodes, edges, _ = _graph(s, d)
+    whole = nodes.unionByName(table(s, d, "customer").select((F.col("c_custkey") + 10_000_000).alias("id"))).distinct().withColumn("size", F.col("id") % 1000)
+    return graph.kept_objects(whole, edges.filter("dst >= 2000000"), s.range(1).select(F.lit(2_000_003).cast("long").alias("id")), max_bytes=1 << 40)
+
+
+@query("projected_objects", f"SELECT object_id, kind, digest FROM ({SQL['objects']}) s WHERE object_id IN (SELECT c_custkey + 1 FROM customer)")
+def _(s, d):
+    return graph.projected(objects(s, d), table(s, d, "customer").select((F.col("c_custkey") + 1).alias("object_id")))
+
+
+@query("hash_anchor_partition", "WITH s AS (SELECT o_orderkey + 1 AS object_id, ((o_orderkey + 1) * 7919) % 10007 AS score FROM orders), b AS (SELECT object_id, sum(CASE WHEN score < 50 THEN 1 ELSE 0 END) OVER (ORDER BY object_id) AS page FROM s) SELECT CAST(page AS BIGINT) AS page, count(*) AS entries, min(object_id) AS min_id, max(object_id) AS max_id FROM b GROUP BY page")
+def _(s, d):
+    return tree.hash_anchors(_scored(s, d), 50)
+
+
+@query("minimizer_partition", "WITH s AS (SELECT o_orderkey + 1 AS object_id, ((o_orderkey + 1) * 7919) % 10007 * 1000000 + o_orderkey AS score FROM orders), m AS (SELECT min(score) OVER (ORDER BY object_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS low, row_number() OVER (ORDER BY object_id) AS k FROM s) SELECT low % 1000000 + 1 AS boundary, count(*) AS windows FROM m WHERE k >= 64 GROUP BY 1")
+def _(s, d):
+    return tree.minimizers(_scored(s, d), 64, block=4096)
+
+
+def _scored(s, d):
+    return table(s, d, "orders").select((F.col("o_orderkey") + 1).alias("object_id"), ((F.col("o_orderkey") + 1) * 7919 % 10007).alias("score"))
+
+
+@query("capabilities", "SELECT p_partkey + 1 AS object_id, CASE WHEN len(list_filter([p_size % 8, p_size % 11], lambda x: x > 5)) = 0 THEN 'Supported' ELSE 'NotInterpretable' END AS verdict, len(list_filter([p_size % 13], lambda x: x > 5)) AS kept_unknown FROM part")
+def _(s, d):
+    p = table(s, d, "part").select((F.col("p_partkey") + 1).alias("object_id"), F.array(F.col("p_size") % 8, F.col("p_size") % 11).alias("required"), F.array(F.col("p_size") % 13).alias("optional"))
+    return checks.interpreted(p, list(range(6)))
+
+
+@query("extension_rewrite", "SELECT p_partkey AS tag, p_size % 3 = 0 AS known, CASE WHEN p_size % 3 = 0 AND p_partkey IN (SELECT s_suppkey FROM supplier) THEN 'rewritten' ELSE p_brand END AS payload, p_size % 3 = 0 AND p_partkey IN (SELECT s_suppkey FROM supplier) AS rewritten FROM part")
+def _(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("tag"), (F.col("p_size") % 3 == 0).alias("known"), F.col("p_brand").alias("payload"))
+    u = p.filter("known").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("tag")), "tag", "left_semi").select("tag", F.lit("rewritten").alias("payload"))
+    return checks.rewritten(p, u)
+
+
+@query("publication_order", "WITH e AS (SELECT user_id AS file, event_id AS position, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 ELSE 2 END AS stage FROM events), w AS (SELECT a.file, a.position, EXISTS (SELECT 1 FROM e b WHERE b.file = a.file AND b.position = (SELECT max(position) FROM e c WHERE c.file = a.file AND c.position < a.position) AND b.stage >= a.stage) AS bad FROM e a) SELECT file, count(*) AS steps, count_if(bad) AS violations, min(CASE WHEN bad THEN position END) AS first_violation FROM w GROUP BY file")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("position"), F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 0).otherwise(2).alias("stage"))
+    return checks.stage_order(e)
+
+
+@query("stream_chunks", "SELECT object_id, k AS chunk, k * 1024 AS start, least(size - k * 1024, 1024) AS length FROM (SELECT doc_id + 1 AS object_id, strlen(text) AS size, unnest(generate_series(0, (strlen(text) - 1) // 1024)) AS k FROM documents WHERE strlen(text) > 0) x")
+def _(s, d):
+    from keyloom.streaming import events
+
+    docs = table(s, d, "documents").select((F.col("doc_id") + 1).alias("object_id"), F.col("text").cast("binary").alias("payload"))
+    return events.chunked(docs).select("object_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.octet_length("bytes").cast("long").alias("length"))
 
 
 VIOLATIONS = f"SELECT file, \"offset\", unnest(v).c AS \"check\", unnest(v).k AS category FROM (SELECT file, \"offset\", list_filter([CASE WHEN stored_len <> logical_len THEN {{'c': 'length', 'k': 'InvalidLength'}} END, CASE WHEN object_id = 0 THEN {{'c': 'identifier', 'k': 'InvalidIdentifier'}} END, CASE WHEN digest <> expected THEN {{'c': 'digest', 'k': 'DigestMismatch'}} END, CASE WHEN upto > \"offset\" THEN {{'c': 'overlap', 'k': 'OverlappingRange'}} END, CASE WHEN last_id >= object_id THEN {{'c': 'order', 'k': 'NotCanonical'}} END], lambda x: x IS NOT NULL) AS v FROM (SELECT *, lag(object_id) OVER (PARTITION BY file ORDER BY \"offset\") AS last_id, max(\"offset\" + stored_len) OVER (PARTITION BY file ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ({SQL['records']}) r) x) y"
@@ -273,13 +362,14 @@ def _(s, d):
     return checks.salvaged(records(s, d))
 
 
-@query("recovery_candidates", f"WITH v AS (SELECT file, min(\"offset\") AS stop FROM ({VIOLATIONS}) a GROUP BY file), c AS (SELECT r.file, r.\"offset\" + r.stored_len AS ends, row_number() OVER (PARTITION BY r.file ORDER BY r.\"offset\" DESC) AS newest FROM ({SQL['records']}) r LEFT JOIN v ON v.file = r.file WHERE (stop IS NULL OR r.\"offset\" < stop) AND r.\"offset\" % 400 = 0) SELECT file, ends, newest, count(*) OVER (PARTITION BY file) > 8 AS truncated FROM c WHERE newest <= 64")
+@query("recovery_candidates", f"WITH v AS (SELECT file, min(\"offset\") AS stop FROM ({VIOLATIONS}) a GROUP BY file), c AS (SELECT r.file, r.\"offset\" + r.stored_len AS ends, row_number() OVER (PARTITION BY r.file ORDER BY r.\"offset\" DESC) AS newest FROM ({SQL['records']}) r LEFT JOIN v ON v.file = r.file WHERE (stop IS NULL OR r.\"offset\" < stop)) SELECT file, ends, newest, truncated FROM (SELECT *, count(*) OVER (PARTITION BY file) > 64 AS truncated FROM c) x WHERE newest <= 64")
 def _(s, d):
     from pyspark.sql import Window
 
-    kept = checks.salvaged(records(s, d)).filter("offset % 400 = 0").join(records(s, d).select("file", "offset", "stored_len"), ["file", "offset"])
+    kept = checks.salvaged(records(s, d)).join(records(s, d).select("file", "offset", "stored_len"), ["file", "offset"])
     c = kept.select("file", (F.col("offset") + F.col("stored_len")).alias("ends"), F.row_number().over(Window.partitionBy("file").orderBy(F.col("offset").desc())).cast("long").alias("newest"))
-    return c.filter("newest <= 64").withColumn("truncated", F.count("*").over(Window.partitionBy("file")) > 8)
+    more = c.groupBy("file").agg((F.count("*") > 64).alias("truncated"))
+    return c.filter("newest <= 64").join(more, "file")
 
 
 @query("encoded_values")
@@ -296,10 +386,14 @@ def _(s, d):
     return planning.simulated(s.range(1, 17).withColumnRenamed("id", "seed"), cycles=400)
 
 
+#: Tags of the files in the test tables; any would do.
+LAYOUT = container.Layout(b"objects\n", b"item", b"endfile.", 1)
+
+
 def _containers(s, d):
     """Parts as objects in container files of a hundred each."""
     p = table(s, d, "part")
-    return container.built(p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("file"), (F.col("p_partkey") + 1).alias("object_id"), F.col("p_name").cast("binary").alias("payload"), (F.col("p_partkey") % 5 == 0).alias("root")))
+    return container.built(p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("file"), (F.col("p_partkey") + 1).alias("object_id"), F.col("p_name").cast("binary").alias("payload"), (F.col("p_partkey") % 5 == 0).alias("root")), layout=LAYOUT)
 
 
 def _damaged(s, d):
@@ -318,23 +412,23 @@ CONTAINED = 'SELECT file, object_id, "offset", stored_len, sha256(p_name) AS pay
 
 @query("container_records", CONTAINED)
 def _(s, d):
-    r = container.records(_containers(s, d)).filter("kind = 1")
+    r = container.records(_containers(s, d), layout=LAYOUT).filter("kind = 1")
     return r.select("file", "object_id", "offset", "stored_len", F.sha2("payload", 256).alias("payload_sha256"))
 
 
 @query("container_metadata", f'SELECT file, object_id, "offset", stored_len FROM ({CONTAINED}) c')
 def _(s, d):
-    return container.records(_containers(s, d), payloads=False).filter("kind = 1").select("file", "object_id", "offset", "stored_len")
+    return container.records(_containers(s, d), payloads=False, layout=LAYOUT).filter("kind = 1").select("file", "object_id", "offset", "stored_len")
 
 
 @query("container_diagnosis", "SELECT file, CASE WHEN file % 8 = 0 THEN 'Verified' ELSE 'Invalid' END AS status, CASE file % 8 WHEN 3 THEN 'unsupported_epoch' WHEN 4 THEN 'digest_mismatch' WHEN 5 THEN 'unsupported_flags' WHEN 7 THEN 'truncated' WHEN 0 THEN NULL ELSE 'invalid_magic' END AS category, CASE WHEN file % 8 = 0 THEN n + 1 END AS records FROM (SELECT p_partkey // 100 AS file, count(*) AS n FROM part GROUP BY 1) x")
 def _(s, d):
-    return container.diagnosed(_damaged(s, d)).select("file", "status", "category", "records")
+    return container.diagnosed(_damaged(s, d), layout=LAYOUT).select("file", "status", "category", "records")
 
 
 @query("container_salvage", f'SELECT file, object_id, "offset" FROM ({CONTAINED}) c WHERE file % 8 IN (0, 2, 3, 4, 5)')
 def _(s, d):
-    return container.salvaged(_damaged(s, d)).filter("kind = 1").select("file", "object_id", "offset")
+    return container.salvaged(_damaged(s, d), layout=LAYOUT).filter("kind = 1").select("file", "object_id", "offset")
 
 
 @query("container_footers", "SELECT p_partkey // 100 AS file, 0 AS rank, (p_partkey // 100) % 8 = 0 AS valid, (p_partkey // 100) % 8 <> 2 AS exact_end FROM part WHERE (p_partkey // 100) % 8 <> 7 GROUP BY 1")
@@ -342,7 +436,7 @@ def _(s, d):
     from pyspark.sql import Window
 
     newest = F.row_number().over(Window.partitionBy("file").orderBy(F.col("footer_offset").desc())) - 1
-    return container.footers(_damaged(s, d)).select("file", newest.alias("rank"), "valid", "exact_end")
+    return container.footers(_damaged(s, d), layout=LAYOUT).select("file", newest.alias("rank"), "valid", "exact_end")
 
 
 QUERIES |= analytics.QUERIES | updates.QUERIES

@@ -103,15 +103,6 @@ def _(s, d):
     return _put(s, d, table(s, d, "orders").agg((F.max("o_orderkey") * 2 + 5).alias("object_id")))
 
 
-@query("cow_mixed")
-def _(s, d):
-    o = _orders(s, d)
-    ops = o.filter("object_id % 500 = 6").select("object_id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("digest"))
-    fresh = table(s, d, "supplier").select((F.col("s_suppkey") * 2 + 1_000_000_001).alias("object_id"))
-    ops = ops.unionByName(fresh.select("object_id", F.lit("put").alias("op"), digest("object", F.col("object_id"), F.lit("new")).alias("digest")))
-    return cow.mixed(cow.built(o), ops)[1]
-
-
 @query("tree_violations", "SELECT 1 AS level, 0 AS page, 'x' AS \"check\" WHERE FALSE")
 def _(s, d):
     tree, _ = cow.put(cow.built(_orders(s, d)), table(s, d, "customer").select((F.col("c_custkey") * 7 + 3).alias("object_id"), F.lit("x").alias("digest")))

@@ -113,14 +113,37 @@ def test_candidates_are_all_events(spark):
     assert len(ids) > 400
     rows = {i: (i + 1 if i and i % 97 == 13 else i, None if i == 0 else i + 100_000 if i % 89 == 17 else i - 1, i % 101 != 60, i % 103 != 70) for i in ids}
 
-    def verdict(i):
-        sequence, parent, complete, verified = rows[i]
-        p = rows.get(parent)
-        tests = [("NotVerified", not verified), ("Progress", not complete), ("GenesisSequence", parent is None and sequence != 0), ("MissingParent", parent is not None and p is None), ("ParentNotVerified", p and not (p[2] and p[3])), ("SequenceNotIncreasing", p and p[0] >= sequence), ("SequenceGap", p and p[0] + 1 != sequence)]
-        return next((name for name, failed in tests if failed), "Valid")
+    bad_kinds = ["IntegrityFailed", "UnsupportedRequiredCapability", "Truncated", "Invalid"]
+
+    def failure(i):
+        start, depth = i, 1
+        while True:
+            sequence, parent, complete, verified = rows[i]
+            if i == start and not verified:
+                return bad_kinds[i % 4], None
+            if i == start and not complete:
+                return "ProgressCheckpoint", None
+            if parent is None:
+                return None, depth
+            if parent not in rows:
+                return "MissingParent", None
+            p = rows[parent]
+            if not (p[2] and p[3]):
+                return "ParentNotVerified", None
+            if p[0] >= sequence:
+                return "NonIncreasingSequence", None
+            if p[0] + 1 != sequence:
+                return "SequenceGap", None
+            i, depth = parent, depth + 1
 
     run = lambda name: e.queries()[name](spark, d).collect()
-    assert {r.id: (r.sequence, r.verdict, r["rank"]) for r in run("root_enumeration")} == {i: (rows[i][0], verdict(i), len(ids) - k) for k, i in enumerate(ids)}
+    walked = {i: failure(i) for i in ids}
+    live = {i for i in ids if walked[i][0] is None}
+    ends = live - {rows[i][1] for i in live}
+    best = max(rows[i][0] for i in ends)
+    top = [i for i in ends if rows[i][0] == best]
+    status = lambda i: walked[i][0] or ("VerifiedAncestor" if i not in ends else "VerifiedForkTerminal" if len(top) > 1 and i in top else "VerifiedTerminal")
+    assert {r.id: (r.sequence, r.status, r.chain_depth, r["rank"]) for r in run("root_enumeration")} == {i: (rows[i][0], status(i), walked[i][1], len(ids) - k) for k, i in enumerate(ids)}
     fresh = lambda i: "Rollback" if rows[i][0] < 50 else "Advances" if rows[i][0] > 50 else "Current" if i == 50 else "ForkAtTrustedSequence"
     assert {r.digest: (r.sequence, r.freshness) for r in run("freshness")} == {i: (rows[i][0], fresh(i)) for i in ids}
 
@@ -128,11 +151,73 @@ def test_candidates_are_all_events(spark):
     breaks = [(s, "sequence gap") for (b, _), (s, _) in zip(kept, kept[1:]) if s != b + 1] + [(s, "parent digest") for (_, b), (s, i) in zip(kept, kept[1:]) if rows[i][1] != b]
     assert sorted((r.seq, r.check) for r in run("history_breaks")) == sorted(breaks)
 
-    live = set()
-    for i in ids:  # a parent's id is below its child's
-        if verdict(i) == "Valid" and (rows[i][1] is None or rows[i][1] in live):
-            live.add(i)
-    ends = live - {rows[i][1] for i in live}
-    best = max(rows[i][0] for i in ends)
-    ends = [i for i in ends if rows[i][0] == best]
-    assert [(r.sequence, r.id, r.terminals, r.outcome) for r in run("root_selection")] == [(best, ends[0], len(ends), "Selected")]
+    assert [(r.outcome, r.id, r.sequence, r.candidates) for r in run("root_selection")] == [("Selected", top[0], best, len(top))]
+
+
+KIND = "id long, sequence long, parent long, footer_offset long, exact_end boolean, checkpoint string, status string"
+
+
+@pytest.mark.parametrize(
+    "rows,mode,want",
+    [
+        ([(1, 0, None, True), (2, 1, 1, False)], "recovery", ("Selected", 2)),
+        ([(1, 0, None, False), (2, 1, 1, False), (3, 1, 1, False)], "recovery", ("AmbiguousFork", None)),
+        ([(1, 0, None, False), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 3, False)], "recovery", ("Selected", 4)),
+        ([], "recovery", ("NoValidRoot", None)),
+        ([(1, 0, None, False), (2, 1, 1, True)], "strict_exact_end", ("Selected", 2)),
+        ([(1, 0, None, False), (2, 1, 1, False)], "strict_exact_end", ("NoExactEndRoot", None)),
+        ([(1, 0, None, True), (2, 1, 1, True)], "strict_exact_end", ("MultipleExactEndRoots", None)),
+        ([(1, 0, None, False), (2, 3, 1, True)], "strict_exact_end", ("NoExactEndRoot", None)),
+    ],
+)
+def test_fork_recipes(spark, rows, mode, want):
+    df = spark.createDataFrame([(i, s, p, 10 * i, x, "complete", "verified") for i, s, p, x in rows], KIND)
+    got = history.selected(df, mode).first()
+    assert (got.outcome, got.id) == want
+
+
+def test_forks_cycles_and_depths(spark):
+    rows = [(1, 0, None), (2, 1, 1), (3, 1, 1), (4, 5, 5), (5, 6, 4), (6, 2, 2), (7, 3, 6)]
+    df = spark.createDataFrame([(i, s, p, 10 * i, False, "progress" if i == 3 else "complete", "verified") for i, s, p in rows], KIND)
+    got = {r.id: (r.status, r.chain_depth) for r in history.enumerated(df).collect()}
+    assert got == {1: ("VerifiedAncestor", 1), 2: ("VerifiedAncestor", 2), 3: ("ProgressCheckpoint", None), 4: ("NonIncreasingSequence", None), 5: ("NonIncreasingSequence", None), 6: ("VerifiedAncestor", 3), 7: ("VerifiedTerminal", 4)}
+    short = {r.id: r.status for r in history.enumerated(df, max_depth=3).collect()}
+    assert short[7] == "ParentDepthExceeded" and short[6] == "VerifiedTerminal"
+    with pytest.raises(ValueError, match="duplicate"):
+        history.chains(df.unionByName(df))
+
+
+def test_retention_closure_and_repair(spark):
+    # The published dependencies; 9 can't be read, 10 and 11 are a cycle.
+    deps = {1: [2], 2: [3], 3: [], 4: [2, 5], 5: [6], 6: [], 7: [8], 8: [3], 9: None, 10: [11], 11: [10]}
+    objects = spark.createDataFrame([(k, v is not None) for k, v in deps.items()], "id long, known boolean")
+    edges = spark.createDataFrame([(k, x) for k, v in deps.items() for x in v or []], "src long, dst long")
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "id long")
+    kept = lambda policy, *roots: {r.id for r in graph.retention(objects, edges, ids(*roots), policy).filter("status = 'retained'").collect()}
+    assert kept("abort", 4, 7) == {2, 3, 4, 5, 6, 7, 8} and kept("retain_all", 7, 10) == {3, 7, 8, 9, 10, 11}
+    with pytest.raises(ValueError):
+        graph.retention(objects, edges, ids(9), "abort")
+    with pytest.raises(KeyError):
+        graph.kept_objects(objects, edges, ids(1, 77))
+    with pytest.raises(ValueError):
+        graph.closure(edges, ids(1), max_depth=1)
+    reached = graph.closure(edges, ids(1))
+    assert {r.id: r.depth for r in reached.collect()} == {1: 0, 2: 1, 3: 2}
+    assert tuple(graph.totals(edges, reached).first()) == (3, 2, 2)
+    locators = spark.createDataFrame([(1, 0, 10), (2, 5, 10), (3, 40, 5)], "object_id long, record_offset long, record_len long")
+    assert [r.overlaps for r in graph.repair_plan(locators, ids(1, 2, 3)).orderBy("record_offset").collect()] == [False, True, False]
+    with pytest.raises(KeyError):
+        graph.repair_plan(locators, ids(1, 9))
+    with pytest.raises(ValueError):
+        graph.repair_plan(locators, ids(1, 2), max_bytes=15)
+    for bad, error in ((ids(), ValueError), (ids(1, 1), ValueError), (ids(1, 99), KeyError)):
+        with pytest.raises(error):
+            graph.projected(objects, bad, "id")
+
+
+def test_reissue(spark):
+    log = spark.createDataFrame([(0, 1, "put", "a"), (0, 2, "put", "b"), (1, 2, "delete", None), (2, 2, "put", "b"), (3, 1, "put", "c")], "seq long, object_id long, op string, digest string")
+    got = {(r.reissue, r.object_id, r.op, r.digest) for r in history.reissued(log, [0, 2, 3]).collect()}
+    assert got == {(0, 1, "put", "a"), (0, 2, "put", "b"), (1, 1, "put", "a"), (2, 1, "put", "c")}
+    with pytest.raises(ValueError):
+        history.reissued(log, [2, 1])
