@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.codec import digest
 from keyloom.operators import checks, cow, graph, history, merge, tree
 from keyloom.plans import analytics, updates
-from keyloom.sources import container
+from keyloom.sources import container, publication
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -231,14 +231,67 @@ def _(s, d):
     return history.freshness(candidates(s, d).select("sequence", F.col("id").alias("digest")), trusted)
 
 
-@query("freshness_stream", "WITH e AS (SELECT user_id, event_id, user_id * 7 % 5 + event_id % 9 AS sequence FROM events), w AS (SELECT *, max(sequence) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trusted FROM e) SELECT user_id, event_id, sequence, CASE WHEN trusted IS NULL THEN 'Unpinned' WHEN sequence < trusted THEN 'Rollback' WHEN sequence = trusted THEN 'Current' ELSE 'Advances' END AS verdict FROM w")
+@query("freshness_stream", "WITH e AS (SELECT user_id, event_id, user_id * 7 % 5 + event_id % 9 AS sequence, CAST(event_id % 4 AS VARCHAR) AS digest FROM events), w AS (SELECT *, max(sequence) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trusted FROM e), f AS (SELECT user_id, sequence, arg_min(digest, event_id) AS pinned FROM w WHERE trusted IS NULL OR sequence > trusted GROUP BY 1, 2) SELECT w.user_id AS source, event_id AS position, w.sequence, CASE WHEN trusted IS NULL THEN 'Unpinned' WHEN w.sequence < trusted THEN 'Rollback' WHEN w.sequence > trusted THEN 'Advances' WHEN digest = pinned THEN 'Current' ELSE 'ForkAtTrustedSequence' END AS verdict FROM w LEFT JOIN f ON f.user_id = w.user_id AND f.sequence = w.sequence")
 def _(s, d):
-    from pyspark.sql import Window
+    from keyloom.streaming import events
+
+    e = table(s, d, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("position"), (F.col("user_id") * 7 % 5 + F.col("event_id") % 9).alias("sequence"), (F.col("event_id") % 4).cast("string").alias("digest"))
+    return events.freshness(e)
+
+
+class _Failing:
+    """A backend whose named stage fails, to walk through the outcomes."""
+
+    def __init__(self, stage: str):
+        self.stage, self.kept = stage, False
+
+    def _step(self, name: str) -> None:
+        if name == self.stage:
+            raise publication.DestinationExists if name == "link_exists" else OSError(name)
+
+    def begin(self) -> str:
+        self._step("begin")
+        self.kept = True
+        return "private"
+
+    def copy(self, private, data):
+        self._step("copy")
+
+    def validate(self, private, data):
+        self._step("validate")
 
-    e = table(s, d, "events").select("user_id", "event_id", (F.col("user_id") * 7 % 5 + F.col("event_id") % 9).alias("sequence"))
-    t = F.max("sequence").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("t", t)
-    return e.select("user_id", "event_id", "sequence", F.when(F.col("t").isNull(), "Unpinned").when(F.col("sequence") < F.col("t"), "Rollback").when(F.col("sequence") == F.col("t"), "Current").otherwise("Advances").alias("verdict"))
+    def sync(self, private):
+        self._step("sync_private")
+
+    def link(self, private):
+        self._step("link_exists")
+        self._step("link_unknown")
+
+    def sync_parent(self):
+        self._step("sync_parent")
+
+    def retire(self, private):
+        self._step("retire")
+        self.kept = False
+
+    def abort(self, private):
+        self.kept = False
+
+
+@query(
+    "staged_publication",
+    "SELECT * FROM (VALUES ('begin', 'Error', NULL, FALSE, FALSE), ('copy', 'Error', NULL, FALSE, FALSE), ('validate', 'Error', NULL, FALSE, FALSE), ('sync_private', 'Error', NULL, FALSE, FALSE), ('link_exists', 'NotPublishedDestinationExists', NULL, FALSE, FALSE), ('link_unknown', 'PublicationIndeterminate', 'PublishLink', TRUE, FALSE), ('sync_parent', 'PublicationIndeterminate', 'SyncParent', TRUE, FALSE), ('retire', 'PublishedAndDurable', NULL, TRUE, TRUE), ('none', 'PublishedAndDurable', NULL, FALSE, FALSE)) t(failing, outcome, at_stage, private_kept, cleanup_pending)",
+)
+def _(s, d):
+    rows = []
+    for stage in ("begin", "copy", "validate", "sync_private", "link_exists", "link_unknown", "sync_parent", "retire", "none"):
+        backend = _Failing(stage)
+        try:
+            got = publication.publish(backend, b"x")
+        except OSError:
+            got = publication.Outcome("Error")
+        rows.append((stage, got.name, got.stage, backend.kept, got.cleanup_pending))
+    return s.createDataFrame(rows, "failing string, outcome string, at_stage string, private_kept boolean, cleanup_pending boolean")
 
 
 @query("retention", f"WITH c AS (SELECT DISTINCT seq FROM ({SQL['log']}) l) SELECT seq, newest, pinned FROM (SELECT seq, row_number() OVER (ORDER BY seq DESC) <= 3 AS newest, seq IN (0, 2) AS pinned FROM c) x WHERE newest OR pinned")

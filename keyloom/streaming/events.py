@@ -9,40 +9,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_OUT = "file long, status string, records long, reason string"
-_STATE = "ids array<long>, last long, failed string, done boolean"
+_OUT = "status string, records long, reason string"
+_STATE = "ids array<long>, failed string, done boolean"
 
 
 def publish(events: DataFrame) -> DataFrame:
-    """events (file, position, event: 'record' or 'commit', object_id) -> one row per file that commits or fails.
+    """events (file, position, event: 'record', 'commit' or others, object_id) -> one row per file that commits or fails.
 
-    A file's events may come over several batches. A repeated id, an id out of order, or an event after the commit fails the
-    file, and a failure is final. Works on a streaming DataFrame (append or update mode).
+    A file's events may come over several batches. A repeated id, 'failed', or an event after the commit fails the file, and a
+    failure is final. Works on a streaming DataFrame (append or update mode).
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, last, failed, done = state.get if state.exists else ([], 0, None, False)
+        ids, failed, done = state.get if state.exists else ([], None, False)
         ids, was = list(ids or []), (failed, done)
+        known = set(ids)
         rows = pd.concat(list(frames)).sort_values("position")
         for event, object_id in zip(rows.event, rows.object_id, strict=True):
             if failed:
                 break
             if done:
                 failed = "event after commit"
+            elif event == "failed":
+                failed = "failed"
             elif event == "commit":
                 done = True
-            elif object_id in set(ids):
-                failed = "repeated id"
-            elif object_id < last:
-                failed = "out of order"
-            else:
-                ids.append(int(object_id))
-                last = int(object_id)
-        state.update((ids, last, failed, done))
+            elif event == "record":
+                if object_id in known:
+                    failed = "repeated id"
+                else:
+                    known.add(object_id)
+                    ids.append(int(object_id))
+        state.update((ids, failed, done))
         if (failed, done) != was:
             yield pd.DataFrame([(key[0], "failed" if failed else "committed", len(ids), failed)], columns=["file", "status", "records", "reason"])
 
-    return events.groupBy("file").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    kind = dict(events.dtypes)["file"]
+    return events.groupBy("file").applyInPandasWithState(run, f"file {kind}, {_OUT}", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def freshness(heads: DataFrame) -> DataFrame:
+    """heads (source, position, sequence, digest) -> each with a verdict against what the source showed before: the first one is
+    trusted. A rollback or a fork changes nothing; an advance becomes what later ones are held against. Streaming or not."""
+
+    def judged(trusted, rows):
+        for r in rows.sort_values("position").itertuples():
+            if trusted is None:
+                verdict = "Unpinned"
+            elif r.sequence < trusted[0]:
+                verdict = "Rollback"
+            elif r.sequence > trusted[0]:
+                verdict = "Advances"
+            else:
+                verdict = "Current" if r.digest == trusted[1] else "ForkAtTrustedSequence"
+            if verdict in ("Unpinned", "Advances"):
+                trusted = (int(r.sequence), r.digest)
+            yield trusted, (r.source, r.position, r.sequence, verdict)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        trusted, out = state.get if state.exists else None, []
+        for trusted, row in judged(trusted, pd.concat(list(frames))):
+            out.append(row)
+        state.update(trusted)
+        yield pd.DataFrame(out, columns=["source", "position", "sequence", "verdict"])
+
+    kind = dict(heads.dtypes)["source"]
+    out = f"source {kind}, position long, sequence long, verdict string"
+    if heads.isStreaming:
+        return heads.groupBy("source").applyInPandasWithState(run, out, "sequence long, digest string", "update", GroupStateTimeout.NoTimeout)
+    return heads.groupBy("source").applyInPandas(lambda rows: pd.DataFrame([r for _, r in judged(None, rows)], columns=["source", "position", "sequence", "verdict"]), out)
 
 
 def chunked(payloads: DataFrame, size: int = 1024) -> DataFrame:

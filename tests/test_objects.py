@@ -73,16 +73,78 @@ def test_values_round_trip():
             decode_value(bad)
 
 
+CHANGES = "object_id long, op string, kind int, payload binary"
+
+
 def test_store(spark, tmp_path):
-    from keyloom.sources.store import Store
+    from keyloom.sources.store import Conflict, Store
 
-    store, kind = Store(spark, str(tmp_path)), "object_id long, op string, kind int, payload binary"
-    store.commit(spark.createDataFrame([(1, "put", 1, b"a"), (2, "put", 1, b"b")], kind))
-    store.commit(spark.createDataFrame([(1, "delete", None, None), (3, "put", 1, b"c")], kind))
-    assert {r.object_id for r in store.state().collect()} == {2, 3}
+    store = Store(spark, str(tmp_path / "a"))
+    df = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
+    store.commit(df((1, "put", 1, b"a"), (2, "put", 1, b"b")))
+    store.commit(df((1, "delete", None, None), (3, "put", 1, b"c")))
+    assert {r.object_id for r in store.state().collect()} == {2, 3} == {r.object_id for r in store.inventory().collect()}
     assert {r.object_id for r in store.state(0).collect()} == {1, 2}
+    for bad in (df((9, "delete", None, None)), df((0, "put", 1, b"")), df((5, "put", 0, b"")), df((5, "put", 1, b""), (5, "put", 1, b"")), df((2, "delete", None, None), (3, "delete", None, None)), df((5, "touch", 1, b"")), df().limit(0)):
+        with pytest.raises(ValueError):
+            store.commit(bad)
+    with pytest.raises(ValueError, match="duplicate"):
+        store.append(df((3, "put", 1, b"x")).drop("op"))
+    with pytest.raises(Conflict):
+        store.genesis(df((3, "put", 1, b"x")).drop("op"))
+    assert store.sequences() == [0, 1]
+
+
+def test_two_writers_and_a_reader(spark, tmp_path, monkeypatch):
+    """The log entry is there as a whole or not at all, and the second writer of a sequence fails."""
+    from keyloom.sources import publication
+    from keyloom.sources.store import Conflict, SourceChanged, Store
+
+    store, rows = Store(spark, str(tmp_path)), spark.createDataFrame([(1, "put", 1, b"a")], CHANGES)
+    link, seen = publication.HadoopBackend.link, []
+
+    def slow(self, private):
+        seen.append((store.sequences(), store.state().count()))  # a reader between the steps
+        link(self, private)
+
+    monkeypatch.setattr(publication.HadoopBackend, "link", slow)
+    token = store.token()
+    store.commit(rows)
+    assert seen == [([], 0)] and store.state().count() == 1
+    with pytest.raises(SourceChanged):
+        store.check(token)
+    monkeypatch.setattr(Store, "sequences", lambda self: [])
+    with pytest.raises(Conflict, match="DestinationExists"):
+        store.commit(rows)
+    monkeypatch.undo()
+    assert store.sequences() == [0] and not [x for x in (tmp_path / "_log").iterdir() if x.name.endswith(".private")]
+
+
+def test_rewrites(spark, tmp_path):
+    from keyloom.sources.store import Store
+
+    at = lambda name: Store(spark, str(tmp_path / name))
+    a = at("a")
+    a.commit(spark.createDataFrame([(k, "put", 1, bytes([k]) * k) for k in range(1, 6)], CHANGES))
+    a.commit(spark.createDataFrame([(2, "delete", None, None), (5, "put", 2, b"new")], CHANGES))
+    a.commit(spark.createDataFrame([(6, "put", 1, b"six")], CHANGES))
+    ids = lambda *x, name="object_id": spark.createDataFrame([(k,) for k in x], f"{name} long")
+    live = lambda s, seq=None: {r.object_id: bytes(r.payload) for r in s.state(seq).collect()}
+    assert a.rewrite(at("all")) == {"sequence": 0, "objects": 5, "byte_scoped_signatures_preserved": False} and live(at("all")) == live(a)
+    a.rewrite(at("some"), ids=ids(1, 5))
+    assert live(at("some")) == {1: b"\x01", 5: b"new"}
+    edges = spark.createDataFrame([(1, 3), (3, 1), (3, 4)], "src long, dst long")
+    a.rewrite(at("reached"), seq=0, edges=edges, roots=ids(1, name="id"))
+    assert set(live(at("reached"))) == {1, 3, 4}
+    for bad in (dict(ids=ids(2)), dict(ids=ids(1, 1)), dict(edges=edges, roots=ids(2, name="id")), dict(max_bytes=3)):
+        with pytest.raises((KeyError, ValueError)):
+            a.rewrite(at("bad"), **bad)
+    assert at("bad").sequences() == []
+    assert a.copy(at("copy"), spark.createDataFrame([(9, "put", 1, b"t")], CHANGES)) == 3
+    assert live(at("copy"), 2) == live(a) and at("copy").identity(2) == a.identity()
+    assert a.reissue(at("again"), [0, 2]) == 2 and [live(at("again"), k) for k in (0, 1)] == [live(a, 0), live(a, 2)]
     with pytest.raises(ValueError):
-        store.commit(spark.createDataFrame([(9, "delete", None, None)], kind))
+        a.reissue(at("big"), [0, 2], max_bytes=5)
 
 
 def test_stream_publishes_on_commit(spark, tmp_path):
@@ -97,6 +159,22 @@ def test_stream_publishes_on_commit(spark, tmp_path):
     assert {(r.file, r.status) for r in spark.table("published").collect()} == {(1, "committed"), (2, "failed")}
 
 
+def test_freshness_in_a_stream(spark, tmp_path):
+    from keyloom.streaming.events import freshness
+
+    kind = "source long, position long, sequence long, digest string"
+    rows = [(1, 0, 5, "a"), (1, 1, 4, "x"), (1, 2, 5, "b"), (1, 3, 7, "c"), (1, 4, 5, "a"), (1, 5, 7, "c"), (2, 0, 1, "a")]
+    want = {(1, 0, "Unpinned"), (1, 1, "Rollback"), (1, 2, "ForkAtTrustedSequence"), (1, 3, "Advances"), (1, 4, "Rollback"), (1, 5, "Current"), (2, 0, "Unpinned")}
+    batch = spark.createDataFrame(rows, kind)
+    assert {(r.source, r.position, r.verdict) for r in freshness(batch).collect()} == want
+    for k in (0, 1):  # two files, two batches
+        batch.filter(f"(position > 2) = ({k} = 1)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    held = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = freshness(held).writeStream.format("memory").queryName("heads").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.source, r.position, r.verdict) for r in spark.table("heads").collect()} == want
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
