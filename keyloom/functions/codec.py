@@ -29,6 +29,18 @@ def digest(kind: str, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{DOMAIN}:{kind}:"), body).cast("binary"), 256)
 
 
+def checked_end(offset: Column, length: Column, size: Column) -> Column:
+    """offset + length, or an error: a negative number, a sum beyond a long, or an end beyond size."""
+    end = F.try_add(offset, length)
+    good = (offset >= 0) & (length >= 0) & end.isNotNull() & (end <= size)
+    return F.when(F.coalesce(good, F.lit(False)), end).otherwise(F.raise_error(F.lit("a range is out of bounds")).cast("long"))
+
+
+def identity(label: Column) -> Column:
+    """A snapshot's identity from its label."""
+    return digest("snapshot", label)
+
+
 def is_strong_token(x: Column) -> Column:
     """Quoted, nothing quoted inside, not weak."""
     return F.coalesce(x.rlike(r'^"[^"]*"$'), F.lit(False))

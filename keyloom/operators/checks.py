@@ -66,3 +66,11 @@ def stage_order(steps: DataFrame) -> DataFrame:
     bad = F.coalesce(F.lag("stage").over(w) >= F.col("stage"), F.lit(False))
     s = steps.withColumn("bad", bad)
     return s.groupBy("file").agg(F.count("*").alias("steps"), F.count_if("bad").alias("violations"), F.min(F.when(F.col("bad"), F.col("position"))).alias("first_violation"))
+
+
+def range_conflicts(ranges: DataFrame, structural: DataFrame) -> DataFrame:
+    """(id, start, stop) of ranges that overlap one of the structural ranges (name, from_, upto). These are the frames of a file, a
+    handful, and are broadcast; beyond a thousand is an error."""
+    if structural.limit(1001).count() > 1000:
+        raise ValueError("structural ranges are few")
+    return ranges.join(F.broadcast(structural), (F.col("start") < F.col("upto")) & (F.col("from_") < F.col("stop"))).select("id", "start", "stop", "name")

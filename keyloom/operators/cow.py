@@ -350,3 +350,39 @@ def structure_violations(tree: Tree) -> DataFrame:
         out = bad if out is None else out.unionByName(bad)
         members = own.select(F.col("parent").alias("page"), F.col("min_id").alias("low"), F.col("max_id").alias("high"))
     return out.filter("check is not null")
+
+
+def tail(old: Tree, new: Tree) -> DataFrame:
+    """What an update writes behind the former file: the pages (level, page, page_digest) whose bodies the old tree doesn't have."""
+    return digests(new).select("level", "page", "page_digest").join(digests(old).select("level", "page_digest").distinct(), ["level", "page_digest"], "left_anti").select("level", "page", "page_digest")
+
+
+def digest_violations(tree: Tree, stored: DataFrame) -> DataFrame:
+    """(level, page, check) where a stored digest (level, page, page_digest) isn't that of the page, or one of the two is missing."""
+    real = digests(tree).select("level", "page", F.col("page_digest").alias("real"))
+    both = real.join(stored, ["level", "page"], "full_outer").filter(~F.col("real").eqNullSafe(F.col("page_digest")))
+    return both.select("level", "page", F.when(F.col("real").isNull(), "unknown page").when(F.col("page_digest").isNull(), "page not stored").otherwise("page digest").alias("check"))
+
+
+def lookup(tree: Tree, ids: DataFrame) -> DataFrame:
+    """(object_id) -> found, digest, pages_read and the path of page digests from the root: what a reader has to check. A
+    lookup ends at the first page whose children leave a gap around the id, so an absent object may read few pages. Ids meet
+    each level's ranges as in `routed`."""
+    root = tree.root_level()
+    known = digests(tree).select("level", "page", "page_digest")
+    out = written(ids.select("object_id").distinct(), "asked")
+    asked, steps = out, []
+    for level in range(root, -1, -1):
+        own = tree.pages.filter(F.col("level") == level)
+        at = routed(asked, own).join(own.select(F.col("page").alias("leaf"), "min_id", "max_id"), "leaf")
+        inside = at.filter("object_id between min_id and max_id") if level < root else at
+        named = inside.join(known.filter(F.col("level") == level).select(F.col("page").alias("leaf"), "page_digest"), "leaf")
+        step = written(named.select("object_id", F.lit(root - level).alias("k"), "page_digest", F.expr("object_id between min_id and max_id").alias("within")), "step")
+        steps.append(step.select("object_id", "k", "page_digest"))
+        asked = step.filter("within").select("object_id")
+    path = steps[0]
+    for x in steps[1:]:
+        path = path.unionByName(x)
+    path = path.groupBy("object_id").agg(F.count("*").alias("pages_read"), F.transform(F.array_sort(F.collect_list(F.struct("k", "page_digest"))), lambda x: x["page_digest"]).alias("path"))
+    there = tree.entries.select("object_id", "digest")
+    return out.join(path, "object_id").join(there, "object_id", "left").select("object_id", F.col("digest").isNotNull().alias("found"), "digest", "pages_read", "path")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.codec import digest
-from keyloom.operators import cow, planning
+from keyloom.operators import checks, cow, planning
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -116,3 +116,33 @@ def _(s, d):
     leaf = c.withColumn("leaf", F.floor(F.col("object_id") / 40))
     ops = c.filter("object_id % 11 = 3").select("tree", "object_id", F.lit("delete").alias("op")).unionByName(c.filter("object_id % 7 = 2").select("tree", (F.col("object_id") + 100_000).alias("object_id"), F.lit("put").alias("op")))
     return planning.planned(leaf, ops, 24, 2, 8, 2)
+
+
+@query("cow_tail", f"WITH t AS ({_put_sql('SELECT c_custkey * 7 + 3 AS id FROM customer', 'put_batch')}) SELECT pages_written AS pages, result_pages FROM t")
+def _(s, d):
+    old = cow.built(_orders(s, d))
+    new, _ = cow.put(old, table(s, d, "customer").select((F.col("c_custkey") * 7 + 3).alias("object_id"), digest("object", F.lit("n"), F.col("c_custkey")).alias("digest")))
+    return cow.tail(old, new).agg(F.count("*").alias("pages")).crossJoin(new.pages.agg(F.count("*").alias("result_pages")))
+
+
+@query("distinct_pages", f"WITH t AS ({_put_sql('SELECT c_custkey * 7 + 3 AS id FROM customer', 'put_batch')}) SELECT source_pages + pages_written AS pages FROM t")
+def _(s, d):
+    old = cow.built(_orders(s, d))
+    new, _ = cow.put(old, table(s, d, "customer").select((F.col("c_custkey") * 7 + 3).alias("object_id"), digest("object", F.lit("n"), F.col("c_custkey")).alias("digest")))
+    both = cow.digests(old).unionByName(cow.digests(new))
+    return both.agg(F.count_distinct("level", "page_digest").alias("pages"))
+
+
+_LEAVES = "(SELECT p, min(id) AS lo, max(id) AS hi FROM (SELECT o_orderkey * 2 + 2 AS id, CASE WHEN t <= 185 OR t % 185 = 0 OR t % 185 >= 93 THEN (rn - 1) // 185 WHEN rn <= (t // 185 - 1) * 185 THEN (rn - 1) // 185 WHEN rn <= (t // 185 - 1) * 185 + 185 - (93 - t % 185) THEN t // 185 - 1 ELSE t // 185 END AS p FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS t FROM orders) a) b GROUP BY p)"
+
+
+# At sf0.01 the root's children are the leaves, so a lookup reads the root, and a leaf if one's range holds the id.
+@query("authenticated_lookup", f"SELECT k.id AS object_id, k.id IN (SELECT o_orderkey * 2 + 2 FROM orders) AS found, 1 + (SELECT count(*) FROM {_LEAVES} l WHERE k.id BETWEEN l.lo AND l.hi) AS pages_read FROM (SELECT p_partkey * 19 + 1 AS id FROM part) k")
+def _(s, d):
+    return cow.lookup(cow.built(_orders(s, d)), table(s, d, "part").select((F.col("p_partkey") * 19 + 1).alias("object_id"))).select("object_id", "found", "pages_read")
+
+
+@query("structural_conflicts", "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey * 10 AS start, l_partkey * 10 + CAST(l_quantity AS BIGINT) AS stop, name FROM lineitem, (VALUES ('header', 0, 32), ('directory', 9000, 9400), ('footer', 19920, 20000)) s(name, a, b) WHERE l_partkey * 10 < b AND a < l_partkey * 10 + CAST(l_quantity AS BIGINT)")
+def _(s, d):
+    r = table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("stop"))
+    return checks.range_conflicts(r, s.createDataFrame([("header", 0, 32), ("directory", 9000, 9400), ("footer", 19920, 20000)], "name string, from_ long, upto long"))

@@ -155,3 +155,14 @@ def test_tree_plans():
     less = planning.tree_plan([[1, 2, 3], [4, 5, 6]], [(1, "delete")], 6, 3, 4, 2)
     assert (less["transition"], less["after"]) == ("Collapsed", [1])
     assert planning.shape_of(9, 4, 2) == [[4, 3, 2], [3]]
+
+
+def test_lookups_and_digests(spark):
+    tree = cow.of_sizes(spark, [3] * 8, [[4, 4], [2]])
+    shifted = cow.Tree(tree.entries.selectExpr("object_id * 10 AS object_id", "digest", "leaf"), tree.pages.selectExpr("level", "page", "min_id * 10 AS min_id", "max_id * 10 AS max_id", "entry_count", "parent"))
+    got = {r.object_id: (r.found, r.pages_read) for r in cow.lookup(shifted, spark.createDataFrame([(k,) for k in (10, 15, 35, 125, 5, 999)], "object_id long")).collect()}
+    assert got == {10: (True, 3), 15: (False, 3), 35: (False, 2), 125: (False, 1), 5: (False, 1), 999: (False, 1)}
+    stored = cow.digests(tree).select("level", "page", "page_digest")
+    assert cow.digest_violations(tree, stored).isEmpty()
+    wrong = stored.selectExpr("level", "page", "CASE WHEN level = 0 AND page = 2 THEN 'x' ELSE page_digest END AS page_digest")
+    assert [(r.level, r.page) for r in cow.digest_violations(tree, wrong).collect()] == [(0, 2)]

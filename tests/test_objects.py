@@ -299,3 +299,30 @@ def test_reissue(spark):
     assert got == {(0, 1, "put", "a"), (0, 2, "put", "b"), (1, 1, "put", "a"), (2, 1, "put", "c")}
     with pytest.raises(ValueError):
         history.reissued(log, [2, 1])
+
+
+def test_stream_to_a_store(spark, tmp_path):
+    from keyloom.sources.store import Store
+    from keyloom.streaming.sink import write_stream
+
+    kind = "object_id long, op string, kind int, payload binary"
+    for k, rows in enumerate([[(1, "put", 1, b"a"), (2, "put", 1, b"b")], [(2, "delete", None, None), (3, "put", 1, b"c")]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        held = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        store = Store(spark, str(tmp_path / "store"))
+        write_stream(held, store, str(tmp_path / "cp")).start().awaitTermination(120)
+        assert store.sequences() == list(range(k + 1))
+    assert {r.object_id for r in store.state().collect()} == {1, 3} and {r.object_id for r in store.state(0).collect()} == {1, 2}
+
+
+def test_checked_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from keyloom.functions.codec import checked_end, identity
+
+    end = lambda a, b, n: spark.range(1).select(checked_end(F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(n).cast("long")).alias("e")).first().e
+    assert end(3, 4, 7) == 7
+    for bad in ((3, 5, 7), (-1, 1, 7), (2**63 - 1, 1, 2**63 - 1)):
+        with pytest.raises(Exception, match="out of bounds"):
+            end(*bad)
+    assert len({r.i for r in spark.createDataFrame([("a",), ("b",)], "s string").select(identity(F.col("s")).alias("i")).collect()}) == 2
