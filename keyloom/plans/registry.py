@@ -425,7 +425,16 @@ def _(s, d):
     return c.filter("newest <= 64").join(more, "file")
 
 
-@query("encoded_values")
+def _uint(x: str, major: int = 0) -> str:
+    return f"CASE WHEN {x} < 24 THEN printf('%02x', {32 * major} + {x}) WHEN {x} < 256 THEN printf('%02x%02x', {32 * major + 24}, {x}) WHEN {x} < 65536 THEN printf('%02x%04x', {32 * major + 25}, {x}) ELSE printf('%02x%08x', {32 * major + 26}, {x}) END"
+
+
+def _text(x: str) -> str:
+    return f"({_uint(f'strlen({x})', 3)}) || lower(hex({x}))"
+
+
+# The map by hand: keys by their encoded length, then bytewise; integers and lengths in their shortest form.
+@query("encoded_values", f"SELECT object_id, encoded, length(encoded) // 2 AS length, TRUE AS round_trip FROM (SELECT p_partkey + 1 AS object_id, 'a4' || '636b6579' || ({_uint('p_partkey')}) || '646e616d65' || {_text('p_name')} || '6473697a65' || ({_uint('p_size')}) || '6474616773' || '83' || {_text('p_brand')} || 'f6f5' AS encoded FROM part) x")
 def _(s, d):
     from keyloom.operators import planning
 
