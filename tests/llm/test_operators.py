@@ -98,7 +98,18 @@ def test_language_rejects_narrow_margins_and_ties():
     assert classify("kata mela kata")[0] == "aa" and classify("kata mela kata")[3]
     known = langid.classifier({"aa": b" the house is near the old river and the long road ", "bb": b" das haus steht am alten fluss und der langen strasse "})
     assert not known("the old house is near the river")[3] and not known("das alte haus am fluss")[3]
-    assert known("zzz " * 4000)[3]
+
+
+def test_language_rejects_what_it_has_not_learnt(spark):
+    """Held-out prose and repeated lines stay; texts in none of the languages go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classify = langid.classifier(langid.learn(docs.filter("doc_id % 2 = 0").select("text", "lang")))
+    rng = random.Random(6)
+    foreign = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwz") + rng.choice("aiu") for _ in range(rng.randint(2, 5))) for _ in range(300)) for _ in range(40)]
+    assert sum(classify(t)[3] for t in foreign) >= 39
+    held = [r.text for r in docs.filter("doc_id % 2 = 1").collect()]
+    long = [t for t in held if t and len(t) > 200]
+    assert sum(classify(t)[3] for t in long) <= 0.01 * len(long)
 
 
 def test_lm_base_and_filter(docs):
