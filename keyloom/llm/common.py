@@ -40,7 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -258,6 +258,12 @@ def compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int =
     return out
 
 
+def held_back(df: DataFrame, label: str, made: list[DataFrame]) -> DataFrame:
+    """`written`, and noted in made, to be removed."""
+    made.append(written(df, label))
+    return made[-1]
+
+
 def needed(a, b, percent: int = PERCENT):
     """The least overlap of linked sets of sizes a and b, times (100 + percent)."""
     return (a + b) * percent
@@ -274,6 +280,7 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     entries: rep, n, pos, shingle, hot (a ranked shingle); classes: class, rep, n; bitmaps: rep, n, bits;
     texts: one column.
     """
+    made: list[DataFrame] = []  # tables that nothing reads once the links are written
     first = F.min(F.struct("pos", "rep", "n"))
     # An unranked shingle's list holds at most one in RANKED of all entries (else its cell were ranked): one shuffle and a window.
     # The others' lists may hold many of all rows: counts are combined before the shuffle, and the join's large partitions can be split.
@@ -282,10 +289,10 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     cold = cold.withColumn("k", F.count("*").over(by)).withColumn("lead", first.over(by)).filter("k > 1").select("shingle", "rep", "n", "pos", "k", "lead")
     some = entries.filter("hot").select("shingle", "rep", "n", "pos")
     leads = some.groupBy("shingle").agg(F.count("*").alias("k"), first.alias("lead")).filter("k > 1")
-    lists = written(cold.unionByName(some.join(leads, "shingle").select("shingle", "rep", "n", "pos", "k", "lead")), "lists")
+    lists = held_back(cold.unionByName(some.join(leads, "shingle").select("shingle", "rep", "n", "pos", "k", "lead")), "lists", made)
     mine = lists.filter(F.col("rep") != F.col("lead.rep"))
     star = mine.filter(room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent)).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")).distinct()
-    known = compare(written(possible(star, bitmaps, percent), "star"), classes, texts, width)
+    known = compare(held_back(possible(star, bitmaps, percent), "star", made), classes, texts, width)
 
     # A list of two has no pair but the one with its leader.
     held = lists.filter("k > 2").select("shingle", "rep", "n", "pos", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
@@ -293,7 +300,7 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     held = held.join(o, ["rep", "lead"], "left")
     linked = F.coalesce(F.col("overlap") * (100 + percent) >= needed(F.col("n"), F.col("lead_n"), percent), F.lit(False)) | (F.col("rep") == F.col("lead"))
     held = held.withColumn("linked", linked).withColumn("overlap", F.when(F.col("rep") == F.col("lead"), F.col("n")).otherwise(F.col("overlap")))
-    held = written(held, "held")
+    held = held_back(held, "held", made)
     # Blocks: what links to the leader and what doesn't, by power of 1.25 of the size and by zone of the position in the set.
     block = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     blocked = held.withColumn("block", block).withColumn("zone", F.floor(F.col("pos") * ZONES / F.col("n")).cast("int"))
@@ -311,10 +318,14 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     )
     pair = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     done = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = compare(written(possible(pair.join(done, ["x", "y"], "left_anti"), bitmaps, percent), "rest"), classes, texts, width)
+    more = compare(held_back(possible(pair.join(done, ["x", "y"], "left_anti"), bitmaps, percent), "rest", made), classes, texts, width)
+    made += [known, more]
     sizes = classes.select("rep", "n")
     both = known.unionByName(more).join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("x_n")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("y_n")), "y")
-    return both.filter(F.col("overlap") * 100 >= (F.col("x_n") + F.col("y_n") - F.col("overlap")) * percent).select("x", "y")
+    linked = written(both.filter(F.col("overlap") * 100 >= (F.col("x_n") + F.col("y_n") - F.col("overlap")) * percent).select("x", "y"), "links")
+    for x in made:
+        drop_written(x)
+    return linked
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -364,10 +375,14 @@ def _components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     entries = entries.select("rep", "n", "pos", "shingle", (F.col("pos") >= F.col("cold")).alias("hot"))
     found = links(entries, classes, sets.filter("prefix is not null").select(F.col("row").alias("rep"), "n", "bits"), texts, width, percent)
     roots = components(found)
+    drop_written(found)
+    drop_written(again)
     labelled = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     least = labelled.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_row")).alias("least"))
-    named = labelled.join(least, "root").select(F.col("class").alias("of"), F.col("least.first_id").alias("component"), F.col("least.first_row").alias("stays"))
-    slim = sets.select("row", "doc_id", "n", "class")
+    named = written(labelled.join(least, "root").select(F.col("class").alias("of"), F.col("least.first_id").alias("component"), F.col("least.first_row").alias("stays")), "named")
+    slim = written(sets.select("row", "doc_id", "n", "class"), "classified")
+    for x in (sets, classes, roots):
+        drop_written(x)
     return slim.join(named, F.col("class") == F.col("of"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

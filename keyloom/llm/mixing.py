@@ -144,7 +144,8 @@ def _mixed(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, source_
     # u / (u + part / (1 - part)) rises with the sequential Poisson quotient u / part, and lies in (0, 1).
     quotient = F.when((F.col("part") > 1e-9) & (F.col("size") > 0), F.col("unit") / (F.col("unit") + F.col("part") / (1 - F.least(F.col("part"), F.lit(1 - 1e-9)))))
     known = written(known.withColumn("quotient", quotient), "rates")
-    drop_written(sized)
+    for x in (sized, histogram, solved):
+        drop_written(x)
 
     picked, left = _below(known)
     for _ in range(FILL):  # the last words of a source: the document that comes nearest to them, one in each round
