@@ -25,3 +25,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table that `written` made and that nothing will read again."""
+    spark = df.sparkSession
+    conf, new = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = new(folder)
+        path.getFileSystem(conf).delete(path, True)

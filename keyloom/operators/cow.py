@@ -326,6 +326,18 @@ def mixed(tree: Tree, ops: DataFrame, geometry: Geometry = Geometry()) -> tuple[
     return new, found.select(F.lit("canonical_mixed").alias("mode"), "result_pages", "pages_written", "pages_reused")
 
 
+def update(tree: Tree, ops: DataFrame, geometry: Geometry = Geometry()) -> tuple[Tree, DataFrame]:
+    """A batch (object_id, op, digest) by the way its shape asks for: one deletion, puts alone, or both together."""
+    shape = ops.agg(F.count("*"), F.count_if(F.col("op") == "delete")).first()
+    if not shape[0]:
+        raise ValueError("an empty batch")
+    if not shape[1]:
+        return put(tree, ops, geometry)
+    if shape[0] == 1:
+        return delete(tree, ops.first().object_id, geometry)[:2]
+    return mixed(tree, ops, geometry)
+
+
 def occupancy_violations(tree: Tree, geometry: Geometry = Geometry()) -> DataFrame:
     """Pages that break the half-full rule: (level, page, check)."""
     root = tree.root_level()

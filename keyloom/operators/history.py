@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.session import written
+from keyloom.functions.session import removed, written
 from keyloom.operators.tree import global_rank
 
 
@@ -77,7 +77,8 @@ def chains(candidates: DataFrame, max_depth: int | None = None) -> DataFrame:
         ahead = now.select(F.col("id").alias("at"), F.col("to").alias("next"), F.col("state").alias("then"), F.col("steps").alias("more"))
         both = now.join(ahead, (F.col("to") == F.col("at")) & (F.col("state") == "open"), "left")
         went = F.col("at").isNotNull()
-        now = written(both.select("id", F.when(went, F.col("next")).otherwise(F.col("to")).alias("to"), F.when(went, F.col("then")).otherwise(F.col("state")).alias("state"), F.when(went, F.col("steps") + 1 + F.col("more")).otherwise(F.col("steps")).alias("steps")), "chains")
+        former, now = now, written(both.select("id", F.when(went, F.col("next")).otherwise(F.col("to")).alias("to"), F.when(went, F.col("then")).otherwise(F.col("state")).alias("state"), F.when(went, F.col("steps") + 1 + F.col("more")).otherwise(F.col("steps")).alias("steps")), "chains")
+        removed(former)
     failure = F.when(F.col("state") == "open", "ParentCycle").when(F.col("state") != "root", F.col("state"))
     if max_depth is not None:
         failure = F.when(F.col("steps") + 1 > max_depth, "ParentDepthExceeded").otherwise(failure)

@@ -90,3 +90,20 @@ def coalesced(requests: DataFrame, keys: list[str], started: str, ended: str) ->
     begin = F.struct(F.lit(None).cast(kind).alias("until"), zero.alias("sent"), zero.alias("run"), zero.alias("most"))
     held = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(started).alias("s"), F.col(ended).alias("e")))).alias("x"))
     return held.withColumn("f", F.aggregate("x", begin, flight)).select(*keys, F.size("x").cast("long").alias("asked"), F.col("f.sent").alias("sent"), F.col("f.most").alias("most_shared"))
+
+
+def sessions(decided: DataFrame, key: str, order: str, budget: int) -> DataFrame:
+    """Classified exchanges of each key in order -> its result, attempts, and bytes accepted.
+
+    A range that is accepted adds its bytes and the key goes on; a failure ends it, so does the second demand to authenticate and
+    the retry beyond the budget, which metadata and ranges share. What comes after the end isn't sent.
+    """
+    w = _upto(key, order)
+    is_ = lambda name: F.col("decision") == name
+    retries, refreshes = F.sum(is_("Retry").cast("long")).over(w), F.sum(is_("RefreshAuthentication").cast("long")).over(w)
+    d = decided.withColumn("retries", retries).withColumn("refreshes", refreshes)
+    end = F.when(is_("Retry") & (F.col("retries") > budget), "Limit(transport attempts)").when(is_("RefreshAuthentication") & (F.col("refreshes") > 1), "Fail(client)").when(F.col("decision").startswith("Fail"), F.col("decision"))
+    d = d.withColumn("end", end)
+    first = d.filter("end is not null").groupBy(key).agg(F.min(F.struct(order, "end")).alias("first"))
+    sent = d.join(first, key, "left").filter(F.col("first").isNull() | (F.col(order) <= F.col(f"first.{order}")))
+    return sent.groupBy(key).agg(F.coalesce(F.max("first.end"), F.lit("Complete")).alias("result"), F.count("*").alias("attempts"), F.sum(F.when(is_("AcceptRange"), F.col("length")).otherwise(0)).cast("long").alias("accepted_bytes"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import models, stats
@@ -307,6 +307,23 @@ def _(s, d):
     return transport.classified(exchanges(s, d)).select("request", "kind", "status", "decision", "retry_after")
 
 
+@query(
+    "conditional_sessions",
+    f"""WITH q AS ({_EXCHANGES}), d AS (SELECT i, i // 4 AS k, len, CASE
+  WHEN status IN (429, 500, 503) THEN 'Retry' WHEN status = 401 AND i % 3 = 0 THEN 'RefreshAuthentication' WHEN status IN (401, 403, 404, 416, 418) THEN 'Fail(client)'
+  WHEN status = 412 THEN 'Fail(version changed)' WHEN status = 301 THEN 'Fail(redirect)'
+  WHEN meta AND status = 200 AND i % 4 <> 0 AND i % 26 <> 6 AND i % 22 <> 4 AND i % 31 <> 1 THEN 'AcceptMetadata'
+  WHEN NOT meta AND status = 206 AND i % 5 > 0 AND o + len <= 700 AND i % 17 <> 3 AND i % 19 <> 7 AND i % 31 <> 1 AND i % 23 <> 5 THEN 'AcceptRange'
+  ELSE 'Fail(protocol)' END AS decision FROM q),
+e AS (SELECT *, (SELECT count(*) FROM d b WHERE b.k = d.k AND b.i <= d.i AND b.decision = 'Retry') AS r, (SELECT count(*) FROM d b WHERE b.k = d.k AND b.i <= d.i AND b.decision = 'RefreshAuthentication') AS a FROM d),
+f AS (SELECT k, min(i) AS stop FROM e WHERE decision LIKE 'Fail%' OR (decision = 'Retry' AND r > 1) OR (decision = 'RefreshAuthentication' AND a > 1) GROUP BY k)
+SELECT e.k AS session, coalesce(max(CASE WHEN i = stop THEN CASE decision WHEN 'Retry' THEN 'Limit(transport attempts)' WHEN 'RefreshAuthentication' THEN 'Fail(client)' ELSE decision END END), 'Complete') AS result, count(*) AS attempts, CAST(sum(CASE WHEN decision = 'AcceptRange' THEN len ELSE 0 END) AS BIGINT) AS accepted_bytes FROM e LEFT JOIN f ON f.k = e.k WHERE stop IS NULL OR i <= stop GROUP BY e.k""",
+)
+def _(s, d):
+    decided = transport.classified(exchanges(s, d)).withColumn("session", F.floor(F.col("request") / 4))
+    return transport.sessions(decided, "session", "request", 1)
+
+
 @query("retry_budget", "WITH a AS (SELECT user_id, event_id, event_id % 3 = 0 AS r, count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM events), f AS (SELECT user_id, min(event_id) AS stop FROM a WHERE used > 3 GROUP BY 1) SELECT a.user_id, event_id, used, CASE WHEN event_id > stop THEN 'AfterTerminal' WHEN event_id = stop THEN 'Limit(transport attempts)' WHEN r THEN 'Retry' ELSE 'Done' END AS outcome FROM a LEFT JOIN f ON f.user_id = a.user_id")
 def _(s, d):
     e = table(s, d, "events").select("user_id", "event_id")

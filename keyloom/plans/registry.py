@@ -12,8 +12,6 @@ from keyloom.operators import checks, cow, graph, history, merge, tree
 from keyloom.plans import analytics, updates
 from keyloom.sources import container, publication
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
-
 # ---- inputs, in Spark and in SQL ----------------------------------------------------------------------------------------
 
 

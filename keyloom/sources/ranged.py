@@ -14,7 +14,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.sources import container
-from keyloom.sources.container import DIRECTORY, FOOTER, OPAQUE, Broken, Layout, Limits
+from keyloom.sources.container import DIRECTORY, OPAQUE, Broken, Layout, Limits
 
 
 class Budget(ValueError):
@@ -59,6 +59,20 @@ class Ranged:
         self.held.close()
 
 
+class Prefix:
+    """The first bytes of a file, as if it ended there."""
+
+    def __init__(self, held: Ranged, end: int):
+        self.held, self.end = held, end
+
+    def __len__(self) -> int:
+        return self.end
+
+    def __getitem__(self, key: slice) -> bytes:
+        start, stop, _ = key.indices(self.end)
+        return self.held[start : max(start, stop)]
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """(file, length) of the files under a path, without reading them."""
     return spark.read.format("binaryFile").load(path).selectExpr("path AS file", "length")
@@ -115,6 +129,28 @@ def inventory(files: DataFrame, layout: Layout, limits: Limits = Limits()) -> Da
     return _over(files, one, "object_id long, kind int, offset long, stored_len long, logical_len long")
 
 
+def recovered(files: DataFrame, layout: Layout, limits: Limits = Limits(), suffix: int = 4 << 20, most: int = 64) -> DataFrame:
+    """(file) -> footer_offset, valid, category, exact_end, truncated: the footers whose magic lies in the last `suffix` bytes, newest
+    first, each with whether the file up to it is valid. At most `most` a file; truncated says if there were more. Selects none."""
+
+    def one(held: Ranged):
+        start = max(0, len(held) - suffix)
+        window, places = held[start : len(held)], []
+        at = window.rfind(layout.footer_magic)
+        while at >= 0 and len(places) <= most:
+            places.append(start + at)
+            at = window.rfind(layout.footer_magic, 0, at + len(layout.footer_magic) - 1)
+        out = []
+        for place in places[:most]:
+            end = container.after_footer(place)
+            _, category, *_ = container.diagnosis(Prefix(held, min(end, len(held))), layout, limits) if end <= len(held) else ("Invalid", "truncated")
+            out.append((place, category is None, category, end == len(held), len(places) > most))
+        if out:
+            yield out
+
+    return _over(files, one, "footer_offset long, valid boolean, category string, exact_end boolean, truncated boolean")
+
+
 def looked_up(files: DataFrame, asked: DataFrame, layout: Layout, limits: Limits = Limits()) -> DataFrame:
     """asked (file, object_id) -> with payload (null: not there): the directory is read once for a file, then the objects' ranges."""
 
@@ -161,4 +197,4 @@ def events(files: DataFrame, layout: Layout, limits: Limits = Limits(), chunk: i
     return _over(files, one, "position long, event string, object_id long, start long, bytes binary, reason string")
 
 
-__all__ = ["FOOTER", "Budget", "Ranged", "events", "inspected", "inventory", "listed", "looked_up"]
+__all__ = ["Budget", "Prefix", "Ranged", "events", "inspected", "inventory", "listed", "looked_up", "recovered"]

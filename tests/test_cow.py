@@ -166,3 +166,15 @@ def test_lookups_and_digests(spark):
     assert cow.digest_violations(tree, stored).isEmpty()
     wrong = stored.selectExpr("level", "page", "CASE WHEN level = 0 AND page = 2 THEN 'x' ELSE page_digest END AS page_digest")
     assert [(r.level, r.page) for r in cow.digest_violations(tree, wrong).collect()] == [(0, 2)]
+
+
+def test_dispatch(spark):
+    tree = cow.of_sizes(spark, [4, 4, 4], [[3]])
+    ops = lambda *rows: spark.createDataFrame(list(rows), "object_id long, op string, digest string")
+    modes = {cow.update(tree, ops(*rows), SMALL)[1].first().mode for rows in ([(3, "delete", None)],)}
+    assert modes == {"delete"}
+    assert cow.update(tree, ops((3, "put", "x")), SMALL)[1].first().mode == "replacements"
+    assert cow.update(tree, ops((99, "put", "x")), SMALL)[1].first().mode == "single_insert"
+    assert cow.update(tree, ops((99, "put", "x"), (3, "delete", None)), SMALL)[1].first().mode == "canonical_mixed"
+    with pytest.raises(ValueError):
+        cow.update(tree, ops((1, "put", "x")).limit(0), SMALL)
