@@ -377,9 +377,9 @@ def digest_violations(tree: Tree, stored: DataFrame) -> DataFrame:
 
 
 def lookup(tree: Tree, ids: DataFrame) -> DataFrame:
-    """(object_id) -> found, digest, pages_read and the path of page digests from the root: what a reader has to check. A
-    lookup ends at the first page whose children leave a gap around the id, so an absent object may read few pages. Ids meet
-    each level's ranges as in `routed`."""
+    """(object_id) -> found, digest, pages_read, whether a leaf's range holds the id (in_leaf), and the path of page digests from
+    the root: what a reader has to check. A lookup ends at the first page whose children leave a gap around the id, so an
+    absent object may read few pages. Ids meet each level's ranges as in `routed`."""
     root = tree.root_level()
     known = digests(tree).select("level", "page", "page_digest")
     out = written(ids.select("object_id").distinct(), "asked")
@@ -390,11 +390,11 @@ def lookup(tree: Tree, ids: DataFrame) -> DataFrame:
         inside = at.filter("object_id between min_id and max_id") if level < root else at
         named = inside.join(known.filter(F.col("level") == level).select(F.col("page").alias("leaf"), "page_digest"), "leaf")
         step = written(named.select("object_id", F.lit(root - level).alias("k"), "page_digest", F.expr("object_id between min_id and max_id").alias("within")), "step")
-        steps.append(step.select("object_id", "k", "page_digest"))
+        steps.append(step)
         asked = step.filter("within").select("object_id")
     path = steps[0]
     for x in steps[1:]:
         path = path.unionByName(x)
-    path = path.groupBy("object_id").agg(F.count("*").alias("pages_read"), F.transform(F.array_sort(F.collect_list(F.struct("k", "page_digest"))), lambda x: x["page_digest"]).alias("path"))
+    path = path.groupBy("object_id").agg(F.count("*").alias("pages_read"), F.max((F.col("k") == root) & F.col("within")).alias("in_leaf"), F.transform(F.array_sort(F.collect_list(F.struct("k", "page_digest"))), lambda x: x["page_digest"]).alias("path"))
     there = tree.entries.select("object_id", "digest")
-    return out.join(path, "object_id").join(there, "object_id", "left").select("object_id", F.col("digest").isNotNull().alias("found"), "digest", "pages_read", "path")
+    return out.join(path, "object_id").join(there, "object_id", "left").select("object_id", F.col("digest").isNotNull().alias("found"), "digest", "pages_read", "in_leaf", "path")

@@ -178,3 +178,22 @@ def test_dispatch(spark):
     assert cow.update(tree, ops((99, "put", "x"), (3, "delete", None)), SMALL)[1].first().mode == "canonical_mixed"
     with pytest.raises(ValueError):
         cow.update(tree, ops((1, "put", "x")).limit(0), SMALL)
+
+
+def test_lookup_query_counts_root_and_leaf(spark, tmp_path):
+    """With more leaves than the root has room for, as in the SQL: the pages between don't count."""
+    import duckdb
+
+    from keyloom.plans import registry
+
+    spark.range(60_000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0, 8_000, 7).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = registry.queries()["authenticated_lookup"](spark, str(tmp_path)).collect()
+    want = con.sql(registry.oracle_sql()["authenticated_lookup"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.pages_read for r in got} == {1, 2}
+    tree = cow.of_sizes(spark, [3] * 8, [[4, 4], [2]])
+    whole = {r.object_id: (r.pages_read, r.in_leaf) for r in cow.lookup(tree, spark.createDataFrame([(1,), (24,), (99,)], "object_id long")).collect()}
+    assert whole == {1: (3, True), 24: (3, True), 99: (1, False)}
