@@ -127,24 +127,27 @@ def renumbered(pages: DataFrame) -> DataFrame:
 def routed(ids: DataFrame, leaves: DataFrame) -> DataFrame:
     """(object_id, ...) with the leaf of the first maximum that isn't less, or the last leaf.
 
-    Ids and maxima are cut into the same ranges of ids and sorted there together: a maximum is carried back to the ids before it.
-    What lies beyond the last maximum of a range takes the first of the next range that has one.
+    Ids and maxima are cut into the same ranges of ids and sorted there together, from the top: a maximum is carried on to the ids
+    after it, in one pass (a frame that ends at a range's end would be gone through again for each row). What lies beyond the last
+    maximum of a range takes the first of the next range that has one; ids beyond all of them, however many, are spread by hash.
     """
     columns = ids.columns
-    both = ids.withColumn("at", F.col("object_id")).withColumn("is_max", F.lit(1)).withColumn("leaf", F.lit(None).cast("long"))
-    marks = leaves.select(F.col("max_id").alias("at"), F.lit(0).alias("is_max"), F.col("page").alias("leaf"))
     cuts = sorted(set(leaves.agg(F.percentile_approx("max_id", [k / 64 for k in range(1, 64)], 10_000)).first()[0] or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("at"))) if cuts else F.lit(0)
-    rows = both.unionByName(marks, allowMissingColumns=True).withColumn("part", part)
-    # A mark comes after the ids that are equal to it, so the next mark at or after an id is what it looks for.
-    ahead = Window.partitionBy("part").orderBy("at", F.col("is_max").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.withColumn("next", F.first("leaf", ignorenulls=True).over(ahead)).filter("is_max = 1")
-    firsts = marks.withColumn("part", part).groupBy("part").agg(F.min_by("leaf", "at").alias("first"))
-    later = firsts.withColumnRenamed("part", "p2").withColumnRenamed("first", "f2")  # at most a row for each range
-    last = marks.agg(F.max_by("leaf", "at").alias("last"))
-    parts = found.select("part").distinct().join(F.broadcast(later), F.col("p2") > F.col("part"), "left").groupBy("part").agg(F.min_by("f2", "p2").alias("over"))
-    out = found.join(F.broadcast(parts), "part", "left").crossJoin(F.broadcast(last))
-    return out.withColumn("leaf", F.coalesce("next", "over", "last")).select(*columns, "leaf")
+    marks = leaves.select(F.col("max_id").alias("at"), F.lit(0).alias("is_max"), F.col("page").cast("long").alias("leaf")).withColumn("part", part)
+    ends = marks.groupBy("part").agg(F.min_by("leaf", "at").alias("first"), F.max_by("leaf", "at").alias("last"), F.max("at").alias("top")).collect()  # at most a row for each range
+    if not ends:
+        return ids.withColumn("leaf", F.lit(None).cast("long"))
+    firsts, end = {r.part: r.first for r in ends}, max(ends, key=lambda r: r.part)
+    overs = [next((firsts[q] for q in sorted(firsts) if q > p), end.last) for p in range(len(cuts) + 1)]
+    spread = F.when(F.col("at") > end.top, len(overs) + F.pmod(F.xxhash64("at"), F.lit(64)).cast("int")).otherwise(part)
+    both = ids.withColumn("at", F.col("object_id")).withColumn("is_max", F.lit(1)).withColumn("leaf", F.lit(None).cast("long")).withColumn("part", spread)
+    rows = both.unionByName(marks, allowMissingColumns=True)
+    # A mark comes before the ids that are equal to it, so the mark that was last seen at an id is what it looks for.
+    seen = Window.partitionBy("part").orderBy(F.col("at").desc(), "is_max").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("next", F.last("leaf", ignorenulls=True).over(seen)).filter("is_max = 1")
+    over = F.get(F.array(*[F.lit(x).cast("long") for x in overs]), F.col("part"))
+    return found.withColumn("leaf", F.coalesce("next", over, F.lit(end.last).cast("long"))).select(*columns, "leaf")
 
 
 def put(tree: Tree, puts: DataFrame, geometry: Geometry = Geometry()) -> tuple[Tree, DataFrame]:

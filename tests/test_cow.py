@@ -197,3 +197,22 @@ def test_lookup_query_counts_root_and_leaf(spark, tmp_path):
     tree = cow.of_sizes(spark, [3] * 8, [[4, 4], [2]])
     whole = {r.object_id: (r.pages_read, r.in_leaf) for r in cow.lookup(tree, spark.createDataFrame([(1,), (24,), (99,)], "object_id long")).collect()}
     assert whole == {1: (3, True), 24: (3, True), 99: (1, False)}
+
+
+def test_routing_in_one_pass(spark):
+    """Routed by the first maximum that isn't less, most ids beyond all of them; no frame that is gone through again for each row."""
+    import bisect
+    import io
+    from contextlib import redirect_stdout
+
+    rng = random.Random(5)
+    tops = sorted(rng.sample(range(10_000), 300))
+    leaves = spark.createDataFrame([(k, top) for k, top in enumerate(tops)], "page long, max_id long")
+    ids = [*tops, 0, *(rng.randrange(40_000) for _ in range(3_000))]
+    got = cow.routed(spark.createDataFrame([(k,) for k in ids], "object_id long"), leaves)
+    assert sorted((r.object_id, r.leaf) for r in got.collect()) == sorted((k, min(bisect.bisect_left(tops, k), 299)) for k in ids)
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        got.explain()
+    assert "unboundedfollowing" not in shown.getvalue().lower()
+    assert {r.leaf for r in cow.routed(got.select("object_id"), leaves.limit(0)).collect()} == {None}
