@@ -12,8 +12,9 @@
    compared. So a group of k near copies costs k comparisons, not k * k, and no link between different groups is lost.
 5. Links and equal sets give components (alternating large-star and small-star steps on written tables).
 
-Before two sets are compared, their parity bitmaps (a bit for each shingle) have to leave room for a link. Comparisons read
-the sets again from the texts; sets are 64-bit shingle hashes, classes 128-bit hashes of whole sets.
+Before two sets are compared, their parity bitmaps (a bit for each shingle) have to leave room for a link. Comparisons make
+the sets again from the texts, those alone whose own hash is noted for a class that is compared; sets are 64-bit shingle hashes,
+classes 128-bit hashes of whole sets.
 
 Defined cases: null or blank text has the empty set (0 shingles) and is its own component; fewer words than `width` give one
 shingle, the whole sequence; null ids count as larger than all others, a component of null ids only has a null id;
@@ -41,7 +42,7 @@ COUNT_AT, BUCKET = 4_000_000, 1_500_000
 OFTEN, RANKED = 4, 2_000_000
 #: Zones of a set in which positions are told apart when blocks are skipped.
 ZONES = 40
-#: 64-bit words of the bitmap of classes whose sets are read again.
+#: 64-bit words of the bitmap of texts whose sets are made again.
 BITMAP = 1 << 21
 
 
@@ -53,6 +54,11 @@ def class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def key_of(text: pa.Scalar) -> bytes | None:
+    """A 128-bit hash of a text as it lies in the column; nothing is decoded."""
+    return xxhash.xxh3_128_digest(text.as_buffer()) if text.is_valid else None
+
+
 def _counted(width: int, bits: int, buckets: int):
     """Texts -> (bucket, packed counts of cells): the cell of a shingle is the first bits of its hash."""
 
@@ -170,15 +176,17 @@ def possible(pairs: DataFrame, bitmaps: DataFrame, percent: int = PERCENT) -> Da
 
 
 def _indexed(width: int, percent: int, shared):
-    """(row, doc_id, text) -> row, doc_id, n, class, cold, prefix, bits (the last three null after the first of a class in a task)."""
+    """(row, doc_id, text) -> row, doc_id, n, class, cold, prefix, bits, key (the last four null after the first of a class in a task).
+
+    key: the upper half of the text's own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, classes, prefixes, colds, bits = [], [], [], [], []
-            for text in texts_of(batch.column(2)):
-                s = set_of(text, width)
+            sizes, classes, prefixes, colds, bits, keys = [], [], [], [], [], []
+            for text in batch.column(2):
+                s = set_of(text.as_py(), width)
                 n = len(s)
                 key = class_of(s) if n else None
                 sizes.append(n)
@@ -189,30 +197,35 @@ def _indexed(width: int, percent: int, shared):
                     prefixes.append(ordered[: n + (-percent * n) // 100 + 1].view(np.int64))
                     colds.append(cold)
                     bits.append(parity(s))
+                    keys.append(int.from_bytes(key_of(text)[:8], "big", signed=True))
                 else:
                     prefixes.append(None)
                     colds.append(None)
                     bits.append(None)
+                    keys.append(None)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(colds, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["row", "doc_id", "n", "class", "cold", "prefix", "bits"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(colds, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(keys, pa.int64())],
+                names=["row", "doc_id", "n", "class", "cold", "prefix", "bits", "key"],
             )
 
     return run
 
 
 def _sets_again(width: int, shared):
-    """Texts -> (class, set) of classes that the bitmap holds, once in a task."""
+    """Texts -> (class, set) of texts whose keys the bitmap holds, each text and class once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+        bits, known, seen = shared.value, set(), set()
         for batch in batches:
             classes, sets = [], []
-            for text in texts_of(batch.column(0)):
-                s = set_of(text, width)
-                key = class_of(s)
-                place = int.from_bytes(key[:4], "big")
-                if len(s) and int(bits[(place >> 6) % BITMAP]) >> (place & 63) & 1 and key not in seen:
+            for text in batch.column(0):
+                name = key_of(text)
+                place = int.from_bytes(name[:8], "big") % (64 * BITMAP) if name else 0
+                if not name or not int(bits[place >> 6]) >> (place & 63) & 1 or name in known:
+                    continue
+                known.add(name)
+                s = set_of(text.as_py(), width)
+                if len(s) and (key := class_of(s)) not in seen:
                     seen.add(key)
                     classes.append(key)
                     sets.append(s.tobytes())
@@ -240,16 +253,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Overlaps of pairs (x, y) of classes' rows; the sets are made again from texts (one column)."""
     spark = pairs.sparkSession
-    keyed = classes.select("rep", "class")
+    keyed = classes.select("rep", "class", "key")
     ends = written(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct().join(keyed, "rep"), "ends")
-    place = F.conv(F.hex(F.substring("class", 1, 4)), 16, 10).cast("long")
-    where = ends.select((F.shiftright(place, 6) % BITMAP).cast("int").alias("at"), (place % 64).cast("int").alias("bit"))
+    place = F.pmod("key", F.lit(64 * BITMAP))  # a power of two, so the sign doesn't matter
+    where = ends.select(F.shiftright(place, 6).cast("int").alias("at"), (place % 64).cast("int").alias("bit"))
     cells = where.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bits = np.zeros(BITMAP, np.uint64)
     bits[cells.column("at").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)
     sets = texts.mapInArrow(_sets_again(width, shared), "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
-    sets = written(sets.join(ends, "class").select("rep", "set"), "sets")
+    sets = written(sets.join(ends.select("rep", "class"), "class").select("rep", "set"), "sets")
     one = pairs.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set_x")), "x")
     two = one.join(sets.select(F.col("rep").alias("y"), F.col("set").alias("set_y")), "y")
     out = written(two.select("x", "y", "set_x", "set_y").mapInArrow(_compared, "x long, y long, overlap long"), "overlaps")
@@ -277,7 +290,7 @@ def room(a, i, b, j, percent: int = PERCENT):
 def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Pairs (x, y) of classes that link; of classes that a leader links, only those with the leader.
 
-    entries: rep, n, pos, shingle, hot (a ranked shingle); classes: class, rep, n; bitmaps: rep, n, bits;
+    entries: rep, n, pos, shingle, hot (a ranked shingle); classes: class, rep, n, key; bitmaps: rep, n, bits;
     texts: one column.
     """
     made: list[DataFrame] = []  # tables that nothing reads once the links are written
@@ -364,10 +377,10 @@ def _components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = rows.sparkSession
     texts = rows.select("text")
     order = ranked(texts, width)
-    sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary"), "index")
+    sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary, key long"), "index")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    classes = sets.filter("n > 0").groupBy("class").agg(F.min(F.when(F.col("prefix").isNotNull(), F.col("row"))).alias("rep"), F.max("n").alias("n"), first.alias("first"))
-    classes = written(classes.select("class", "rep", "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "classes")
+    classes = sets.filter("n > 0").groupBy("class").agg(F.min(F.when(F.col("prefix").isNotNull(), F.struct("row", "key"))).alias("rep"), F.max("n").alias("n"), first.alias("first"))
+    classes = written(classes.select("class", F.col("rep.row").alias("rep"), F.col("rep.key").alias("key"), "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "classes")
     # Classes that several tasks met first have a prefix for each; few rows, so these are taken away rather than the others kept.
     firsts = sets.filter("prefix is not null").select("row", "class")
     again = written(firsts.join(classes.select("class", "rep"), "class").filter("row <> rep").select("row"), "again")
