@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACE_RUN, named_again, numbered, picked, place_of, written
+from keyloom.llm.common import SPACE_RUN, named_again, numbered, picked, place_of, staying, written
 
 SLOTS = 4
 #: Distinct digests that a task holds before it hands its partial rows on.
@@ -192,7 +192,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, text = place_of(docs, id_col), place_of(docs, text_col)
     digests = rows.select(digest_of(F.col(text)).alias("digest"), F.col(key).cast("long").alias("doc_id"), "row", F.lit(1).cast("long").alias("n"))
     kept = groups(digests).select(F.col("keep_row").alias("row"))
-    return named_again(rows.join(kept, "row", "left_semi"), docs)
+    return named_again(staying(rows, kept), docs)
 
 
 def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import added, drop_written, hashes_of, named_again, numbered, packed, picked, place_of, shingle_hashes, texts_of, unpacked, words_of, written
+from keyloom.llm.common import added, drop_written, hashes_of, named_again, numbered, packed, picked, place_of, shingle_hashes, staying, texts_of, unpacked, words_of, written
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -414,4 +414,4 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = numbered(docs, "rows")
     key, text = F.col(place_of(docs, id_col)).cast("long"), F.col(place_of(docs, text_col))
     stays = _components(rows.select("row", key.alias("doc_id"), text.alias("text"))).filter("kept").select("row")
-    return named_again(rows.join(stays, "row", "left_semi"), docs)
+    return named_again(staying(rows, stays), docs)

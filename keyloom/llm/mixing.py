@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import WORD, by_position, drop_written, named_again, numbered, place_of, written
+from keyloom.llm.common import WORD, by_position, drop_written, named_again, numbered, place_of, staying, written
 
 CAP = 3.0
 #: Newton steps at most, and steps between two written tables.
@@ -226,5 +226,5 @@ def _below(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> DataFrame:
     """The rows of docs, each repeated by its copies (0 or more). docs is evaluated once and written with its row numbers."""
     rows = numbered(docs, "rows")
-    made = _mixed(rows, docs, id_col, text_col, source_col, cap).select("row", "copies").filter("copies > 0")
-    return named_again(rows.join(made, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
+    made = _mixed(rows, docs, id_col, text_col, source_col, cap).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return named_again(staying(rows, made), docs)

@@ -750,3 +750,24 @@ def test_sets_are_made_again_for_noted_texts_only(monkeypatch):
     bits[place >> 6] = 1 << (place & 63)
     out = list(jaccard._sets_again(5, types.SimpleNamespace(value=bits))(iter([pa.record_batch([texts], names=["text"])])))
     assert made == [texts[7].as_py()] and out[0].column("class").to_pylist() == [jaccard.class_of(whole(texts[7].as_py()))]
+
+
+def test_rows_stay_where_they_are(spark):
+    """Each row as often as asked for, over several parts and bitmaps; no stage of the pipeline joins its texts by row."""
+    from keyloom.llm import common
+
+    rows = common.numbered(spark.range(0, 100_000, 1, 3), "rows")
+    numbers = [r.row for r in rows.collect()]
+    asked = [(x, c) for k, x in enumerate(numbers) if k % 11 == 3 for c in range(k % 3)]
+    got = common.staying(rows, spark.createDataFrame(asked, "row long, copy int")).collect()
+    assert sorted(r.row for r in got) == sorted(x for x, _ in asked)
+    assert common.staying(rows, rows.select("row").limit(0)).isEmpty()
+    docs = spark.createDataFrame([(k, "en", f"s{k % 2}", f"text {k % 40} of a few words") for k in range(120)], "doc_id long, lang string, source string, text string")
+    former = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (dedup.deduplicated, jaccard.near_deduplicated, mixing.mixed):
+            plan = stage(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+            assert not any(line.lstrip(" +-:").startswith("Join LeftSemi") for line in plan[:4]) and any("strategy=broadcast" in line for line in plan[:4])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
