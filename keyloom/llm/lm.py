@@ -40,6 +40,8 @@ HEAD = 400_000
 FLUSH_TOKENS, FLUSH_HASHES = 600_000, 4_000_000
 #: N-grams of a bucket, about; tokens that are scored at a time.
 BUCKET, SCORED = 4_000_000, 400_000
+#: The least level that is remembered, and n-grams at which a task stops to remember more.
+REMEMBERED, REMEMBERED_AT_MOST = 3, 1_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _48 = np.uint64((1 << 48) - 1)
 
@@ -152,23 +154,54 @@ class Filter:
         return self.means[self.levels(hashes)]
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: the last one before the first that misses."""
-        of = hashes % np.uint64(self.buckets)
-        levels = np.zeros(len(hashes), np.int64)
-        at = np.arange(len(hashes))
+        """The level of each n-gram: the last one before the first that misses. N-grams are probed bucket by bucket, so that the
+        bits that are looked at lie near each other."""
+        of = (hashes % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int64)
+        levels = np.zeros(len(hashes), np.uint8)
+        at = np.argsort(of, kind="stable")
+        of = of[at]
+        asked, size, start = hashes[at], self.sizes[of], self.starts[of]
         for level in range(1, len(self.means)):
-            one, two = _halves(hashes[at], level)
-            size, start = self.sizes[of[at]], self.starts[of[at]]
+            one, two = _halves(asked, level)
             for k in range(PROBES):  # after each probe only those that hit go on
                 place = (one + np.uint64(k) * two) % size + start
-                hit = (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, one, two, size, start = at[hit], one[hit], two[hit], size[hit], start[hit]
+                hit = (self.bits[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    at, asked, one, two, size, start = at[hit], asked[hit], one[hit], two[hit], size[hit], start[hit]
             if not len(at):
                 break
             levels[at] = level
         return levels
 
 
+class Remembered:
+    """A filter, with the levels of n-grams that were found often: these cost most probes and come again with each piece."""
+
+    def __init__(self, held: Filter):
+        self.held, self.means = held, held.means
+        self.hashes, self.found = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return self.means[self.levels(hashes)]
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """As `Filter.levels`; hashes are sought once each."""
+        if not len(self.hashes):
+            levels = self.held.levels(hashes)
+            fresh = levels >= REMEMBERED
+        else:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            levels = self.found[at]
+            new = self.hashes[at] != hashes
+            levels[new] = self.held.levels(hashes[new])
+            fresh = new & (levels >= REMEMBERED)
+        if len(self.hashes) < REMEMBERED_AT_MOST:
+            both = np.concatenate((self.hashes, hashes[fresh]))
+            by_hash = np.argsort(both, kind="stable")
+            self.hashes, self.found = both[by_hash], np.concatenate((self.found, levels[fresh]))[by_hash]
+        return levels
+
+
 class Answers:
     """The levels of a chunk's different n-grams, as the buckets gave them; counts as a `Filter` has."""
 
@@ -207,6 +240,17 @@ def laid_out(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, tuple[np
     return tokens, lengths, np.unique(tokens, return_inverse=True), np.repeat(np.arange(len(texts)), lengths)
 
 
+def tails_of(texts: list[list[bytes]], starts: np.ndarray, place: np.ndarray, docs: np.ndarray, rare: np.ndarray) -> pa.Array:
+    """Each text's different words at the positions `rare`, with how often they are there."""
+    _, first, n = np.unique(docs[rare] * (int(place.max(initial=0)) + 1) + place[rare], return_index=True, return_counts=True)
+    first = rare[first]
+    of = docs[first]
+    tokens = [texts[d][k] for d, k in zip(of.tolist(), (first - starts[of] - 1).tolist(), strict=True)]
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    rows = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(n.astype(np.int64))], fields=list(KIND_OF_TAIL.value_type))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), rows)
+
+
 def scores_of(columns: list[pa.Array], texts: list[list[bytes]], held: Filter | Answers, head: np.ndarray, logs_of: np.ndarray, order: int, n: int, v: int) -> pa.RecordBatch:
     """row, doc_id, held_out and the words of their texts -> row, doc_id, held_out, n_tokens, known, base, score, tail.
 
@@ -220,14 +264,11 @@ def scores_of(columns: list[pa.Array], texts: list[list[bytes]], held: Filter |
     base = np.add.reduceat(np.where(frequent, logs_of[near], 0.0)[place], starts) - math.log10(n + v + 1.0) * (lengths - 1)
     n_known = np.add.reduceat(known.astype(np.int64), starts)
     known[starts] = known[starts + lengths - 1] = True  # begin and end are no words
-    tails = []
-    for words, start, length in zip(texts, starts, lengths, strict=True):
-        rare = Counter(words[k] for k in np.flatnonzero(~known[start + 1 : start + length - 1]))
-        tails.append([{"token": k, "n": c} for k, c in rare.items()])
+    tails = tails_of(texts, starts, place, docs, np.flatnonzero(~known))
     logs = log_probabilities(tokens, (distinct, place), docs, held, order, n, v)
     logs[starts] = 0.0  # the begin is given
     return pa.record_batch(
-        [*columns, pa.array(lengths - 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(logs, starts)), pa.array(tails, KIND_OF_TAIL)],
+        [*columns, pa.array(lengths - 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(logs, starts)), tails],
         names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
     )
 
@@ -250,6 +291,7 @@ def _scored(shared, order: int, n: int, v: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head, logs_of = shared.value
+        held = Remembered(held)
         for part, texts in _pieces(batches):
             yield scores_of(part.columns[:3], texts, held, head, logs_of, order, n, v)
 

@@ -771,3 +771,27 @@ def test_rows_stay_where_they_are(spark):
             assert not any(line.lstrip(" +-:").startswith("Join LeftSemi") for line in plan[:4]) and any("strategy=broadcast" in line for line in plan[:4])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
+
+
+def test_often_found_levels_are_remembered():
+    """The same levels as the filter's, which is asked once only for what is found often; each text's rare words with their counts."""
+    asked = []
+
+    class Held:
+        means = np.arange(9.0)
+
+        def levels(self, hashes):
+            asked.append(hashes)
+            return (hashes % np.uint64(9)).astype(np.uint8)
+
+    held = lm.Remembered(Held())
+    for values in (np.arange(0, 90, 2), np.arange(60), np.arange(90)):
+        values = values.astype(np.uint64)
+        assert (held.counts(values) == values % 9).all()
+    often = np.concatenate(asked)[np.concatenate(asked) % 9 >= lm.REMEMBERED]
+    assert len(often) == len(np.unique(often)) == 60
+    texts = [[b"a", b"b", b"a"], [], [b"c", b"a", b"c"]]
+    tokens, lengths, (_, place), docs = lm.laid_out(texts)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    tails = lm.tails_of(texts, starts, place, docs, np.array([1, 2, 3, 8, 10])).to_pylist()  # the last text's a isn't rare
+    assert [{r["token"]: r["n"] for r in x} for x in tails] == [{b"a": 2, b"b": 1}, {}, {b"c": 2}]
