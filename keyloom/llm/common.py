@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Row numbers of a bitmap, as a power of two: what Spark's bitmap_construct_agg holds.
 BLOCK_BITS = 15
+#: Rows of a table that one task groups and joins in many rounds; above, each round shuffles.
+TOGETHER = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,21 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has `rows` rows, in one partition if these are few: what groups or joins it then needs no shuffle.
+
+    A round over some thousand rows else is a task for each shuffle partition and step, most of them empty, and each leaves its
+    share of garbage and metrics in the driver.
+    """
+    return df.coalesce(1) if rows <= TOGETHER else df
+
+
+def released(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that its heap shrinks to what is used, and broadcasts and shuffles that nothing refers to go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder_is(column: Column, modulus: int, value: int) -> Column:
     """crc32(column as text) mod modulus = value; false where the column is null."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == value, F.lit(False))

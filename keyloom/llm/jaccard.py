@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import added, drop_written, hashes_of, named_again, numbered, packed, picked, place_of, shingle_hashes, staying, texts_of, unpacked, words_of, written
+from keyloom.llm.common import added, drop_written, hashes_of, named_again, numbered, packed, picked, place_of, released, shingle_hashes, staying, texts_of, together, unpacked, words_of, written
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -266,8 +266,10 @@ def compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int =
     one = pairs.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set_x")), "x")
     two = one.join(sets.select(F.col("rep").alias("y"), F.col("set").alias("set_y")), "y")
     out = written(two.select("x", "y", "set_x", "set_y").mapInArrow(_compared, "x long, y long, overlap long"), "overlaps")
+    shared.destroy()
     drop_written(sets)
     drop_written(ends)
+    released(spark)
     return out
 
 
@@ -338,6 +340,7 @@ def links(entries: DataFrame, classes: DataFrame, bitmaps: DataFrame, texts: Dat
     linked = written(both.filter(F.col("overlap") * 100 >= (F.col("x_n") + F.col("y_n") - F.col("overlap")) * percent).select("x", "y"), "links")
     for x in made:
         drop_written(x)
+    released(linked.sparkSession)
     return linked
 
 
@@ -346,23 +349,23 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     def stars(e: DataFrame, larger: bool) -> DataFrame:
         if larger:
-            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            e = together(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
         least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         near = e.join(least, "a")
         if larger:
             return near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         out = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.filter("a != b").distinct()
+        return together(out.filter("a != b"), rows).distinct()
 
     e = written(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a != b").distinct(), "edges")
-    state = None
+    state, rows = None, e.count()
     for _ in range(rounds):
-        former, e = e, written(stars(stars(e, True), False), "edges")
+        former, e = e, written(stars(stars(together(e, rows), True), False), "edges")
         now = e.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_written(former)
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+        state, rows = now, now[0]
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
@@ -377,7 +380,9 @@ def _components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = rows.sparkSession
     texts = rows.select("text")
     order = ranked(texts, width)
-    sets = written(rows.mapInArrow(_indexed(width, percent, spark.sparkContext.broadcast(order)), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary, key long"), "index")
+    shared = spark.sparkContext.broadcast(order)
+    sets = written(rows.mapInArrow(_indexed(width, percent, shared), "row long, doc_id long, n long, class binary, cold long, prefix array<long>, bits binary, key long"), "index")
+    shared.destroy()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = sets.filter("n > 0").groupBy("class").agg(F.min(F.when(F.col("prefix").isNotNull(), F.struct("row", "key"))).alias("rep"), F.max("n").alias("n"), first.alias("first"))
     classes = written(classes.select("class", F.col("rep.row").alias("rep"), F.col("rep.key").alias("key"), "n", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "classes")
@@ -396,6 +401,7 @@ def _components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     slim = written(sets.select("row", "doc_id", "n", "class"), "classified")
     for x in (sets, classes, roots):
         drop_written(x)
+    released(spark)
     return slim.join(named, F.col("class") == F.col("of"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

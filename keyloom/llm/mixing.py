@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import WORD, by_position, drop_written, named_again, numbered, place_of, staying, written
+from keyloom.llm.common import WORD, by_position, drop_written, named_again, numbered, place_of, released, staying, together, written
 
 CAP = 3.0
 #: Newton steps at most, and steps between two written tables.
@@ -67,18 +67,19 @@ def tilts(histogram: DataFrame, per_source: DataFrame, cap: float = CAP, rounds:
 
     lam is null where the target is the cap times the size (the root is at infinity, all rates are the cap) or the size is 0.
     """
-    sized = histogram.filter("size > 0")
+    rows = histogram.count()
+    sized = together(histogram.filter("size > 0"), rows)
     counts = sized.groupBy("source").agg(F.sum("n").alias("rows")).withColumnRenamed("source", "of")
     start = per_source.join(counts, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", (F.col("source_size") / F.col("rows")).alias("mean_size"), F.lit(0.0).alias("lam"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(False).alias("met"))
     start = written(start, "state")  # not checkpoint(): its size estimates multiply from round to round
     open_ = F.col("mean_size").isNotNull() & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
     settled = start.filter(~F.coalesce(open_, F.lit(False))).select("source", "source_size", "target", "mean_size", F.lit(None).cast("double").alias("lam"))
-    state = start.filter(open_)
+    state = together(start.filter(open_), rows)
     for done in range(0, rounds, STEPS):
         former = state
         for _ in range(STEPS):
             state = _newton(sized.withColumnRenamed("source", "of"), state, cap)
-        state = written(state, "state")
+        state = together(written(state, "state"), rows)
         if done:  # the table that this began with is read once more
             drop_written(former)
         if state.filter("not met").isEmpty():
@@ -146,6 +147,7 @@ def _mixed(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, source_
     known = written(known.withColumn("quotient", quotient), "rates")
     for x in (sized, histogram, solved):
         drop_written(x)
+    released(docs.sparkSession)
 
     picked, left = _below(known)
     for _ in range(FILL):  # the last words of a source: the document that comes nearest to them, one in each round

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from keyloom.llm import decontam, dedup, htmltext, jaccard, langid, licenses, lm, mixing, tokencount, urlgraph
+from keyloom.llm import common, decontam, dedup, htmltext, jaccard, langid, licenses, lm, mixing, tokencount, urlgraph
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, row long, kept boolean"
 WORDS = [a + b for a in "ka ro mi te su lan por vek".split() for b in "na li to er um ish".split()]
@@ -795,3 +795,39 @@ def test_often_found_levels_are_remembered():
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     tails = lm.tails_of(texts, starts, place, docs, np.array([1, 2, 3, 8, 10])).to_pylist()  # the last text's a isn't rare
     assert [{r["token"]: r["n"] for r in x} for x in tails] == [{b"a": 2, b"b": 1}, {}, {b"c": 2}]
+
+
+def tasks_of(spark, work):
+    """What work returns, and how many tasks its jobs ran."""
+    sc, tracker, group = spark.sparkContext, spark.sparkContext.statusTracker(), f"counted-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def test_rounds_over_few_rows_are_few_tasks(spark, monkeypatch):
+    """Many shuffle partitions don't make the rounds over small tables many tasks, and the results are those of the shuffling way."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)], "x long, y long")
+    histogram = common.written(spark.createDataFrame([(s, k, rng.randint(1, 9)) for s in ("a", "b", None) for k in range(12)], "source string, size long, n long"), "histogram")
+    per_source = mixing.targets(histogram.selectExpr("source", "size * n as words").groupBy("source").sum("words").toDF("source", "source_size"))
+    per_source = common.written(per_source, "sources")
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found, n = tasks_of(spark, lambda: sorted(map(tuple, jaccard.components(edges).collect())))
+        lam, m = tasks_of(spark, lambda: {r.source: r.lam for r in mixing.tilts(histogram, per_source).collect()})
+        monkeypatch.setattr(common, "TOGETHER", 0)
+        assert found == sorted(map(tuple, jaccard.components(edges).collect()))
+        apart = {r.source: r.lam for r in mixing.tilts(histogram, per_source).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert lam.keys() == apart.keys() and all((lam[k] is None) == (apart[k] is None) and (lam[k] is None or math.isclose(lam[k], apart[k], rel_tol=1e-6)) for k in lam)
+    assert max(n, m) < 200, (n, m)
